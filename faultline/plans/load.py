@@ -75,6 +75,8 @@ def _stage(
     seen = Observation(f"{name} lines")
     mapped = mapper(lines.observed(seen), aliases, groups)
     written = run.write(f"staging/{name}", mapped.records)
+    if seen.get["malformed_lines"]:
+        run.write(f"staging/{name}-malformed", lines.malformed)
     return MappedRecords(written, mapped.columns), seen.get
 
 
@@ -171,11 +173,12 @@ def _counters(mapped: MappedRecords, seen: Mapping[str, int]) -> DataFrame:
     counted = mapped.records.agg(
         F.count("*").alias("vehicle_records"), F.count("reject_reason").alias("mapping_failures")
     )
-    lines, blank = F.lit(seen["lines_read"]), F.lit(seen["blank_lines"])
+    lines, malformed = F.lit(seen["lines_read"]), F.lit(seen["malformed_lines"])
     return counted.select(
         lines.alias("lines_read"),
-        blank.alias("blank_lines"),
-        (lines - F.col("vehicle_records")).alias("non_vehicle"),
+        F.lit(seen["blank_lines"]).alias("blank_lines"),
+        malformed.alias("malformed_lines"),
+        (lines - malformed - F.col("vehicle_records")).alias("non_vehicle"),
         "mapping_failures",
         (F.col("vehicle_records") - F.col("mapping_failures")).alias("accepted"),
     )

@@ -62,6 +62,9 @@ class FlatLines:
             observation,
             F.count_if(~F.col("is_blank")).alias("lines_read"),
             F.count_if(F.col("is_blank")).alias("blank_lines"),
+            F.count_if(~F.col("is_blank") & (F.col("field_count") != self.expected)).alias(
+                "malformed_lines"
+            ),
         )
         return FlatLines(watched, self.expected)
 
