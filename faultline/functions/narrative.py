@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.fixed_values import (
@@ -104,85 +104,115 @@ def highlight_pattern(term: str) -> str | None:
     return rf"(?<![{LETTER}])(?iu:{'|'.join(forms)})(?![{LETTER}])"
 
 
-def snippet(text: Column, term: str | None) -> Column:
-    """A window on a narrative around its first match, as a struct.
+def _first_space(text: Column, position: Column) -> Column:
+    """Position of the first space at or after a one-based position, 0 when there is none."""
+    return F.call_function("locate", F.lit(" "), text, position)
+
+
+def _segment(piece: Column, is_match: Column) -> Column:
+    return F.struct(piece.alias("text"), is_match.alias("is_match"))
+
+
+def with_snippet(df: DataFrame, text: str, term: str | None, name: str = "snippet") -> DataFrame:
+    """Add a window on a narrative around its first match, as a struct column.
 
     `text`, `clipped_start`, `clipped_end`, `has_match` and `segments`, an array of (text, is_match).
+    Works in stages of columns: each intermediate value is computed once and used several times.
+    Offsets count the characters before a position, so 0 is the start of the text.
     """
     pattern = highlight_pattern(term) if term else None
-    whole = collapse_ws(text)
-    length = F.length(whole)
-    first = F.lit(0) if pattern is None else F.regexp_instr(whole, F.lit(pattern))
-    hit = F.lit("") if pattern is None else F.regexp_extract(whole, pattern, 0)
-    has_match = first > 0
-
-    # Offsets count characters before the position, so 0 is the start of the text.
-    anchor = F.greatest(first - 1, F.lit(0))
-    floor = F.when(has_match, anchor + F.length(hit)).otherwise(F.lit(1))
-    rough_start = F.greatest(anchor - SNIPPET_LEAD, F.lit(0))
-    rough_end = F.least(length, F.greatest(rough_start + SNIPPET_LENGTH, floor))
-
-    # The start moves on to the next word and stops at the match at the latest.
-    next_space = _locate(whole, rough_start)
+    nothing = F.lit(False)
+    c = F.col
+
+    staged = df.withColumn("_whole", collapse_ws(c(text)))
+    if pattern is None:
+        staged = staged.withColumns({"_first": F.lit(0), "_hit": F.lit("")})
+    else:
+        staged = staged.withColumns(
+            {
+                "_first": F.regexp_instr("_whole", F.lit(pattern)),
+                "_hit": F.regexp_extract("_whole", pattern, 0),
+            }
+        )
+    staged = staged.withColumns(
+        {
+            "_length": F.length("_whole"),
+            "_matched": c("_first") > 0,
+            "_anchor": F.greatest(c("_first") - 1, F.lit(0)),
+        }
+    )
+    staged = staged.withColumns(
+        {
+            "_hit_end": F.when(c("_matched"), c("_anchor") + F.length("_hit")).otherwise(F.lit(1)),
+            "_from": F.greatest(c("_anchor") - SNIPPET_LEAD, F.lit(0)),
+        }
+    )
+    staged = staged.withColumn(
+        "_to", F.least(c("_length"), F.greatest(c("_from") + SNIPPET_LENGTH, c("_hit_end")))
+    )
+    staged = staged.withColumns(
+        {
+            "_after": _first_space(c("_whole"), c("_from")),
+            "_before": c("_to") + 1
+            - F.nullif(
+                _first_space(F.reverse(F.substring("_whole", F.lit(1), c("_to") + 1)), F.lit(1)), F.lit(0)
+            ),
+            "_least_end": F.least("_hit_end", "_to"),
+        }
+    )
+    # The start moves on to the next word, at most to the match; the end moves back to the last space,
+    # never into the match. A text that fits is shown whole.
+    fits = c("_length") <= SNIPPET_LENGTH
     start = (
-        F.when(rough_start == 0, F.lit(0))
-        .when((next_space > 0) & (next_space < anchor), next_space)
-        .otherwise(anchor)
+        F.when(fits | (c("_from") == 0), F.lit(0))
+        .when((c("_after") > 0) & (c("_after") < c("_anchor")), c("_after"))
+        .otherwise(c("_anchor"))
     )
-    # The end moves back to the last space, but never into the match.
-    earliest_end = F.least(floor, rough_end)
-    from_end = _locate(F.reverse(F.substring(whole, F.lit(1), rough_end + 1)), F.lit(1))
-    last_space = rough_end + 1 - from_end
     end = (
-        F.when(rough_end >= length, length)
-        .when((from_end > 0) & (last_space > earliest_end), last_space)
-        .otherwise(earliest_end)
+        F.when(fits | (c("_to") >= c("_length")), c("_length"))
+        .otherwise(F.greatest(F.coalesce("_before", "_least_end"), c("_least_end")))
     )
-    short = length <= SNIPPET_LENGTH
-    start, end = F.when(short, F.lit(0)).otherwise(start), F.when(short, length).otherwise(end)
-    shown = F.substring(whole, start + 1, end - start)
-    return F.struct(
-        shown.alias("text"),
-        (start > 0).alias("clipped_start"),
-        (end < length).alias("clipped_end"),
-        has_match.alias("has_match"),
-        _segments(whole, shown, start, end, pattern).alias("segments"),
+    staged = staged.withColumns({"_start": start, "_end": end})
+    staged = staged.withColumn(
+        "_shown", F.substring("_whole", c("_start") + 1, c("_end") - c("_start"))
     )
-
-
-def _locate(text: Column, position: Column) -> Column:
-    """Position of the first space at or after a one-based position, 0 when there is none."""
-    return F.call_function("locate", F.lit(" "), text, position)
-
-
-def _segments(
-    whole: Column, shown: Column, start: Column, end: Column, pattern: str | None
-) -> Column:
-    """The shown text cut at the edges of its matches.
-
-    A word that the window itself cuts is never a match, so such a piece is split off first.
-    """
-
-    def segment(piece: Column, is_match: Column) -> Column:
-        return F.struct(piece.alias("text"), is_match.alias("is_match"))
-
-    not_empty = lambda s: s.text != ""
     if pattern is None:
-        return F.filter(F.array(segment(shown, F.lit(False))), not_empty)
-
-    def is_inside_word(position: Column) -> Column:
-        return F.substring(whole, position, F.lit(2)).rlike(f"^[{LETTER}]{{2}}$")
-
-    head = F.when((start > 0) & is_inside_word(start), F.regexp_extract(shown, f"^{WORD}", 0)).otherwise("")
-    tail = F.when(is_inside_word(end), F.regexp_extract(shown, f"{WORD}$", 0)).otherwise("")
-    middle = F.substring(shown, F.length(head) + 1, F.length(shown) - F.length(head) - F.length(tail))
-    pieces = F.split(middle, f"(?={pattern})|(?<={pattern})", -1)
-    parts = F.concat(
-        F.array(segment(head, F.lit(False))),
-        F.transform(pieces, lambda p: segment(p, p.rlike(f"^{pattern}$"))),
-        F.array(segment(tail, F.lit(False))),
+        staged = staged.withColumn("_parts", F.array(_segment(c("_shown"), nothing)))
+    else:
+        # A word that the window itself cuts is never a match, so such a piece is split off first.
+        def cuts_word(position: Column) -> Column:
+            return F.substring("_whole", position, F.lit(2)).rlike(f"^[{LETTER}]{{2}}$")
+
+        staged = staged.withColumns(
+            {
+                "_head": F.when(
+                    (c("_start") > 0) & cuts_word(c("_start")), F.regexp_extract("_shown", f"^{WORD}", 0)
+                ).otherwise(""),
+                "_tail": F.when(
+                    cuts_word(c("_end")), F.regexp_extract("_shown", f"{WORD}$", 0)
+                ).otherwise(""),
+            }
+        )
+        inner = F.length("_shown") - F.length("_head") - F.length("_tail")
+        pieces = F.split(
+            F.substring("_shown", F.length("_head") + 1, inner), f"(?={pattern})|(?<={pattern})", -1
+        )
+        staged = staged.withColumn(
+            "_parts",
+            F.concat(
+                F.array(_segment(c("_head"), nothing)),
+                F.transform(pieces, lambda piece: _segment(piece, piece.rlike(f"^{pattern}$"))),
+                F.array(_segment(c("_tail"), nothing)),
+            ),
+        )
+    shown = F.struct(
+        c("_shown").alias("text"),
+        (c("_start") > 0).alias("clipped_start"),
+        (c("_end") < c("_length")).alias("clipped_end"),
+        c("_matched").alias("has_match"),
+        F.filter("_parts", lambda part: part.text != "").alias("segments"),
     )
-    return F.filter(parts, not_empty)
+    return staged.select(*df.columns, shown.alias(name))
 
 
 def shorten(text: Column) -> Column:
@@ -191,7 +221,7 @@ def shorten(text: Column) -> Column:
     is_long = F.length(whole) > NARRATIVE_LIMIT
     # A space just after the limit still counts: the text before it fits.
     reach = F.reverse(F.substring(whole, F.lit(1), F.lit(NARRATIVE_LIMIT + 1)))
-    space = _locate(reach, F.lit(1))
+    space = _first_space(reach, F.lit(1))
     cut = F.lit(NARRATIVE_LIMIT + 1) - space
     usable = (space > 0) & (cut > NARRATIVE_LIMIT // 2)
     keep = F.when(usable, cut).otherwise(F.lit(NARRATIVE_LIMIT))

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from faultline.fixed_values import CORPORATE_SUFFIXES, UNKNOWN_NAME, UNKNOWN_SLUG
 
-# `(?U)` makes \s cover all Unicode white space; plain `trim` removes spaces only.
-EDGE_SPACE = r"(?U)^\s+|\s+$"
+# All Unicode white space: plain `trim` removes spaces only, and `(?U)` makes \s cover the same set.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 SPACE_RUN = r"(?U)\s+"
 
 _SUFFIX = "|".join(r"\.*".join(word) for word in CORPORATE_SUFFIXES)
@@ -17,7 +20,7 @@ SUFFIX_TAIL = rf"^(.*?)(?:[ ,]* \.*(?:{_SUFFIX})\.*)*[ ,]*$"
 
 def trim_ws(text: Column) -> Column:
     """Text without leading and trailing white space of any kind."""
-    return F.regexp_replace(text, EDGE_SPACE, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def collapse_ws(text: Column) -> Column:

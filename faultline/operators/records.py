@@ -61,22 +61,21 @@ class MappedRecords:
 
 def with_make(df: DataFrame, raw: Column, aliases: DataFrame) -> DataFrame:
     """Add the canonical `make` and `make_slug` of a raw make."""
-    spelled = df.withColumn("_spelling", strip_corporate_suffixes(normalise(raw)))
-    own_slug = slug(F.col("_spelling"))
+    spelled = df.withColumn("_spelling", strip_corporate_suffixes(normalise(raw))).withColumn(
+        "_slug", slug(F.col("_spelling"))
+    )
     joined = spelled.join(aliases, F.col("_spelling") == F.col("alias"), "left")
     return joined.select(
         *df.columns,
-        F.coalesce("alias_name", display_name(F.col("_spelling"), own_slug)).alias("make"),
-        F.coalesce("alias_slug", own_slug).alias("make_slug"),
+        F.coalesce("alias_name", display_name(F.col("_spelling"), F.col("_slug"))).alias("make"),
+        F.coalesce("alias_slug", "_slug").alias("make_slug"),
     )
 
 
 def with_model(df: DataFrame, raw: Column) -> DataFrame:
     """Add the canonical `model` and `model_slug` of a raw model; models have no aliases."""
-    name = normalise(raw)
-    return df.select(
-        "*", display_name(name, slug(name)).alias("model"), slug(name).alias("model_slug")
-    )
+    named = df.withColumn("_name", normalise(raw)).withColumn("model_slug", slug(F.col("_name")))
+    return named.withColumn("model", display_name(F.col("_name"), F.col("model_slug"))).drop("_name")
 
 
 def component_levels(raw: Column) -> Column:
@@ -120,7 +119,7 @@ def _picked(lines: FlatLines, positions: dict[str, int]) -> DataFrame:
     """The allow-listed fields as raw text columns; no other field leaves the file."""
     return lines.good.select(
         "file",
-        *[F.col("fields")[position].alias(f"raw_{name}") for name, position in positions.items()],
+        *[F.get("fields", F.lit(at)).alias(f"raw_{name}") for name, at in positions.items()],
     )
 
 

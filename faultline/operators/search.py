@@ -13,8 +13,8 @@ from faultline.functions.narrative import (
     matches_term,
     outcome_labels,
     query_words,
-    snippet,
     stem,
+    with_snippet,
     words,
 )
 from faultline.functions.text import key_make, key_model
@@ -145,13 +145,13 @@ def search_page(
 
 def search_hits(page: DataFrame, term: str | None) -> DataFrame:
     """Matches as shown: vehicle, narrative snippet with highlighted words, and outcomes."""
-    return page.select(
+    return with_snippet(page, "description", term).select(
         "id", "make", key_make(F.col("vehicle_key")).alias("make_slug"),
         "model", key_model(F.col("vehicle_key")).alias("model_slug"),
         "model_year", "vehicle_key", "received_date", "miles_at_failure",
         F.col("component.group").alias("component_group"),
         F.col("component.raw").alias("component_raw"),
-        snippet(F.col("description"), term).alias("snippet"),
+        "snippet",
         outcome_labels().alias("outcomes"),
     )
 

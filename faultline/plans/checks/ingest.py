@@ -56,7 +56,8 @@ COMPLAINT_TEXT = {
     "injured": "CASE l_linenumber WHEN 1 THEN '-3' WHEN 2 THEN 'NONE'"
     " ELSE CAST(CAST(l_quantity AS INT) % 3 AS STRING) END",
     "deaths": "CASE WHEN l_quantity = 50 THEN '+1' ELSE '' END",
-    "component": f"coalesce(concat(' ', {TOP_LEVEL}, ' : ', p_type, '::', p_name), ' : ')",
+    "component": "CASE WHEN l_quantity = 1 THEN ' : '"
+    f" ELSE concat(' ', {TOP_LEVEL}, ' : ', p_type, '::', p_name) END",
     "date_added": f"CASE WHEN l_quantity = 15 THEN '' ELSE {_day('o_orderdate')} END",
     "received_date": f"CASE WHEN l_quantity IN (15, 16) THEN 'NOTADATE' ELSE {_day('l_shipdate')} END",
     "miles": "CASE l_linenumber WHEN 1 THEN '0' WHEN 3 THEN '9999999' WHEN 5 THEN '52,000'"
@@ -79,7 +80,7 @@ RECALL_TEXT = {
     "make": MAKE_RAW,
     "model": "p_type",
     "model_year": "CASE WHEN o_orderstatus = 'P' THEN '1899' ELSE CAST(year(o_orderdate) AS STRING) END",
-    "component": f"coalesce(concat({TOP_LEVEL}, ':', p_type), '')",
+    "component": f"CASE WHEN l_quantity = 1 THEN '' ELSE concat({TOP_LEVEL}, ':', p_type) END",
     "manufacturer": "concat('Maker ', p_brand)",
     "recall_type": "CASE l_linenumber WHEN 7 THEN 'E' WHEN 6 THEN 'v' ELSE 'V' END",
     "potentially_affected": "CASE l_linenumber WHEN 1 THEN '1,200' WHEN 2 THEN '0'"
@@ -111,7 +112,8 @@ def _lines(spark, sf_dir, text, positions, count):
         .when(F.expr(SHORT), F.concat_ws("\t", *cells[:-1]))
         .otherwise(F.concat_ws("\t", *cells))
     )
-    return split_lines(joined.select(value.alias("value")), count)
+    # Generated rows keep the line a plain column, as if it had been read from a file.
+    return split_lines(joined.select(F.explode(F.array(value)).alias("value")), count)
 
 
 def _complaint_lines(spark, sf_dir):

@@ -12,7 +12,7 @@ from faultline.functions.narrative import (
     is_severe,
     outcome_labels,
     shorten,
-    snippet,
+    with_snippet,
 )
 from faultline.operators import search as ops
 from faultline.operators.catalog import make_totals, vehicle_entries
@@ -49,14 +49,14 @@ FORM = SearchRequest(
     make_slug="brand-17", component_group="BRAKES", year_from=1997, year_to=1999, mileage_only=True
 )
 TEXT = SearchRequest(term="  Thering oners the -heder  -ithin ", page=2, page_size=15)
-TEXT_AND_FORM = SearchRequest(term="ended", make_slug="src7", component_group="EN", year_from=2003)
+TEXT_AND_FORM = SearchRequest(term="things thered", make_slug="src7", component_group="EN", year_from=2003)
 _FORM_SQL = """
 vehicle_key LIKE 'brand-17|%' AND component_group = 'BRAKES' AND model_year BETWEEN 1997 AND 1999
 AND miles IS NOT NULL
 """
 _TEXT_SQL = f"{_sql_has('thering', 'oners')} AND NOT {_sql_has('heder')} AND NOT {_sql_has('ithin')}"
 _BOTH_SQL = f"""
-{_sql_has('ended')} AND vehicle_key LIKE 'src7|%' AND component_group = 'EN' AND model_year >= 2003
+{_sql_has('things', 'thered')} AND vehicle_key LIKE 'src7|%' AND component_group = 'EN' AND model_year >= 2003
 """
 
 
@@ -189,16 +189,16 @@ pieces AS (
     FROM (SELECT id, regexp_extract_all(w, '{SQL_WORD}|[^\\p{{L}}\\p{{Nd}}]+') AS p FROM whole)),
 placed AS (
     SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY id ORDER BY i
-                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at,
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos,
            {_sql_highlighted('piece')} AS hit
     FROM pieces),
 firsts AS (
-    SELECT id, min(at) AS anchor, arg_min(at + length(piece), at) AS floor FROM placed WHERE hit GROUP BY id),
+    SELECT id, min(pos) AS anchor, arg_min(pos + length(piece), pos) AS hit_end FROM placed WHERE hit GROUP BY id),
 rough AS (
     SELECT id, w, length(w) AS len, anchor IS NOT NULL AS has_match, coalesce(anchor, 0) AS anchor,
-           coalesce(floor, 1) AS floor, greatest(coalesce(anchor, 0) - 90, 0) AS s
+           coalesce(hit_end, 1) AS hit_end, greatest(coalesce(anchor, 0) - 90, 0) AS s
     FROM whole LEFT JOIN firsts USING (id)),
-rough_end AS (SELECT *, least(len, greatest(s + 380, floor)) AS e FROM rough),
+rough_end AS (SELECT *, least(len, greatest(s + 380, hit_end)) AS e FROM rough),
 spaces AS (
     SELECT *, CASE WHEN s > 0 THEN strpos(substr(w, s), ' ') ELSE 0 END AS next_space,
            strpos(reverse(substr(w, 1, e + 1)), ' ') AS back
@@ -209,25 +209,23 @@ cut AS (
              WHEN next_space > 0 AND s + next_space - 1 < anchor THEN s + next_space - 1
              ELSE anchor END AS b,
         CASE WHEN len <= 380 OR e >= len THEN len
-             WHEN back > 0 AND e + 1 - back > least(floor, e) THEN e + 1 - back
-             ELSE least(floor, e) END AS f
+             WHEN back > 0 AND e + 1 - back > least(hit_end, e) THEN e + 1 - back
+             ELSE least(hit_end, e) END AS f
     FROM spaces)
 SELECT id, substr(w, b + 1, f - b) AS snippet, b > 0 AS clipped_start, f < len AS clipped_end, has_match,
        coalesce(marked, '') AS marked
 FROM cut LEFT JOIN (
-    SELECT id, string_agg(CASE WHEN hit AND at >= b AND at + length(piece) <= f THEN '[' || piece || ']'
-                          ELSE substr(piece, greatest(b - at, 0) + 1,
-                                      least(at + length(piece), f) - greatest(at, b)) END,
+    SELECT id, string_agg(CASE WHEN hit AND pos >= b AND pos + length(piece) <= f THEN '[' || piece || ']'
+                          ELSE substr(piece, greatest(b - pos, 0) + 1,
+                                      least(pos + length(piece), f) - greatest(pos, b)) END,
                           '' ORDER BY i) AS marked
-    FROM placed JOIN cut USING (id) WHERE at < f AND at + length(piece) > b GROUP BY id) USING (id)
+    FROM placed JOIN cut USING (id) WHERE pos < f AND pos + length(piece) > b GROUP BY id) USING (id)
 """
 
 
 @check(_SNIPPET_SQL, NARRATIVES)
 def snippets(spark, sf_dir):
-    shown = views.narratives(spark, sf_dir).select(
-        "id", snippet(F.col("description"), SNIPPET_TERM).alias("s")
-    )
+    shown = with_snippet(views.narratives(spark, sf_dir), "description", SNIPPET_TERM, "s")
     mark = F.transform(
         "s.segments",
         lambda e: F.when(e.is_match, F.concat(F.lit("["), e.text, F.lit("]"))).otherwise(e.text),

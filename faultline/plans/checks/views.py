@@ -59,7 +59,7 @@ def groups(spark: SparkSession) -> DataFrame:
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vehicles: make and model are made canonical on the parts, before they meet the line items."""
     named = table(spark, sf_dir, "part").selectExpr(
-        "p_partkey", "p_brand", "p_name", "p_type", f"{MAKE_RAW} AS make_raw"
+        "p_partkey", "p_brand", "p_name", "p_type", "p_size", f"{MAKE_RAW} AS make_raw"
     )
     return with_model(with_make(named, F.col("make_raw"), aliases(spark)), F.col("p_type"))
 
@@ -183,7 +183,7 @@ _STRIPPED = sql_strip(sql_normalise(MAKE_RAW))
 
 SQL_VIEWS = {
     "parts": f"""
-SELECT p_partkey, p_brand, p_name, p_type, {MAKE_RAW} AS make_raw,
+SELECT p_partkey, p_brand, p_name, p_type, p_size, {MAKE_RAW} AS make_raw,
        {sql_alias(_STRIPPED)} AS make, {sql_slug(sql_alias(_STRIPPED))} AS make_slug,
        {sql_normalise('p_type')} AS model, {sql_slug('p_type')} AS model_slug
 FROM part
