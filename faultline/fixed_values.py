@@ -66,7 +66,6 @@ PERSONAL_DATA_NAMES = (
 )
 
 VEHICLE_TYPE = "V"
-DATE_PATTERN = "yyyyMMdd"
 EARLIEST_MODEL_YEAR = 1900
 LATEST_MODEL_YEAR = 2035
 HIGHEST_MILEAGE = 999_999

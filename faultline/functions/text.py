@@ -65,5 +65,5 @@ def key_model(key: Column) -> Column:
 
 
 def upper_or_null(text: Column) -> Column:
-    """Trimmed upper-case text, null when nothing is left."""
-    return F.nullif(F.upper(trim_ws(text)), F.lit(""))
+    """Upper-case text, null when it is empty."""
+    return F.when(text != "", F.upper(text))

@@ -116,10 +116,10 @@ def unmapped_top_levels(levels: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _picked(lines: FlatLines, positions: dict[str, int]) -> DataFrame:
-    """The allow-listed fields as raw text columns; no other field leaves the file."""
+    """The allow-listed fields as trimmed text columns; no other field leaves the file."""
     return lines.good.select(
         "file",
-        *[F.get("fields", F.lit(at)).alias(f"raw_{name}") for name, at in positions.items()],
+        *[trim_ws(F.get("fields", F.lit(at))).alias(f"raw_{name}") for name, at in positions.items()],
     )
 
 
@@ -142,39 +142,41 @@ def map_complaints(lines: FlatLines, aliases: DataFrame, groups: DataFrame) -> M
         {
             "id": parse.whole_number(_raw("id")),
             "odi_number": parse.whole_number(_raw("odi_number")),
-            "model_year": parse.model_year(_raw("model_year")),
+            "_year": parse.whole_number(_raw("model_year")),
+            "_miles": parse.whole_number(_raw("miles")),
+            "_cylinders": parse.whole_number(_raw("cylinders")),
             "received_date": F.coalesce(
                 parse.strict_date(_raw("received_date")), parse.strict_date(_raw("date_added"))
             ),
         }
-    )
+    ).withColumn("model_year", parse.model_year(F.col("_year")))
     df = df.select(
         "file",
-        trim_ws(_raw("id")).alias("raw_id"),
+        "raw_id",
         "id",
         "odi_number",
-        trim_ws(_raw("manufacturer")).alias("manufacturer"),
+        _raw("manufacturer").alias("manufacturer"),
         "make",
-        trim_ws(_raw("make")).alias("make_raw"),
+        _raw("make").alias("make_raw"),
         "model",
-        trim_ws(_raw("model")).alias("model_raw"),
+        _raw("model").alias("model_raw"),
         "model_year",
         "component",
-        parse.mileage(_raw("miles")).alias("miles_at_failure"),
-        trim_ws(_raw("description")).alias("description"),
+        parse.mileage(F.col("_miles")).alias("miles_at_failure"),
+        _raw("description").alias("description"),
         parse.strict_date(_raw("failure_date")).alias("failure_date"),
         "received_date",
         parse.is_y(_raw("crash")).alias("crash"),
         parse.is_y(_raw("fire")).alias("fire"),
-        parse.casualties(_raw("injured")).alias("injured"),
-        parse.casualties(_raw("deaths")).alias("deaths"),
+        parse.casualties(parse.signed_number(_raw("injured"))).alias("injured"),
+        parse.casualties(parse.signed_number(_raw("deaths"))).alias("deaths"),
         parse.is_y(_raw("police_report")).alias("police_report"),
         parse.is_y(_raw("vehicle_towed")).alias("vehicle_towed"),
         parse.is_y(_raw("medical_attention")).alias("medical_attention"),
         upper_or_null(_raw("drive_train")).alias("drive_train"),
         upper_or_null(_raw("fuel_type")).alias("fuel_type"),
         upper_or_null(_raw("transmission_type")).alias("transmission_type"),
-        parse.cylinders(_raw("cylinders")).alias("cylinders"),
+        parse.cylinders(F.col("_cylinders")).alias("cylinders"),
         vehicle_key(F.col("make_slug"), F.col("model_slug"), F.col("model_year")).alias("vehicle_key"),
         _first_failure(
             (F.col("id").isNull(), "complaint id is not a number"),
@@ -194,37 +196,36 @@ def map_recalls(lines: FlatLines, aliases: DataFrame, groups: DataFrame) -> Mapp
     df = df.withColumns(
         {
             "id": parse.whole_number(_raw("id")),
-            "model_year": parse.model_year(_raw("model_year")),
-            "campaign_number": trim_ws(_raw("campaign_number")),
+            "_year": parse.whole_number(_raw("model_year")),
         }
-    )
+    ).withColumn("model_year", parse.model_year(F.col("_year")))
     df = df.select(
         "file",
-        trim_ws(_raw("id")).alias("raw_id"),
+        "raw_id",
         "id",
-        "campaign_number",
-        trim_ws(_raw("manufacturer")).alias("manufacturer"),
+        _raw("campaign_number").alias("campaign_number"),
+        _raw("manufacturer").alias("manufacturer"),
         "make",
-        trim_ws(_raw("make")).alias("make_raw"),
+        _raw("make").alias("make_raw"),
         "model",
-        trim_ws(_raw("model")).alias("model_raw"),
+        _raw("model").alias("model_raw"),
         "model_year",
-        trim_ws(_raw("component")).alias("component_name"),
+        _raw("component").alias("component_name"),
         F.col("component.group").alias("component_group"),
         F.col("component.levels").alias("levels"),
-        trim_ws(_raw("recall_type")).alias("recall_type"),
+        _raw("recall_type").alias("recall_type"),
         parse.whole_number(_raw("potentially_affected")).alias("potentially_affected"),
         parse.strict_date(_raw("owners_notified_date")).alias("owners_notified_date"),
         parse.strict_date(_raw("report_received_date")).alias("report_received_date"),
-        trim_ws(_raw("defect_description")).alias("defect_description"),
-        trim_ws(_raw("consequence")).alias("consequence"),
-        trim_ws(_raw("corrective_action")).alias("corrective_action"),
+        _raw("defect_description").alias("defect_description"),
+        _raw("consequence").alias("consequence"),
+        _raw("corrective_action").alias("corrective_action"),
         parse.is_yes(_raw("do_not_drive")).alias("do_not_drive"),
         parse.is_yes(_raw("park_outside")).alias("park_outside"),
         vehicle_key(F.col("make_slug"), F.col("model_slug"), F.col("model_year")).alias("vehicle_key"),
         _first_failure(
             (F.col("id").isNull(), "record id is not a number"),
-            (F.col("campaign_number") == "", "campaign number is empty"),
+            (_raw("campaign_number") == "", "campaign number is empty"),
         ).alias("reject_reason"),
     )
     return MappedRecords(df, RECALL_COLUMNS)

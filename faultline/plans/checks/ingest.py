@@ -16,7 +16,13 @@ from faultline.fixed_values import (
 )
 from faultline.functions import fields as parse
 from faultline.functions.measures import as_measures
-from faultline.functions.text import collapse_ws, normalise, slug, strip_corporate_suffixes
+from faultline.functions.text import (
+    collapse_ws,
+    normalise,
+    slug,
+    strip_corporate_suffixes,
+    trim_ws,
+)
 from faultline.operators import maintain as ops
 from faultline.operators import records
 from faultline.operators.profile import profile_scalars
@@ -547,15 +553,17 @@ FROM events
     (),
 )
 def safe_ints(spark, sf_dir):
-    text = F.expr(_NUMBER)
+    text = trim_ws(F.expr(_NUMBER))
+    number = parse.whole_number(text)
     return views.table(spark, sf_dir, "events").select(
-        "event_id", parse.whole_number(text).alias("whole"), parse.model_year(text).alias("year"),
-        parse.mileage(text).alias("miles"), parse.casualties(text).alias("casualties"),
+        "event_id", number.alias("whole"), parse.model_year(number).alias("year"),
+        parse.mileage(number).alias("miles"),
+        parse.casualties(parse.signed_number(text)).alias("casualties"),
     )
 
 
 @check(f"SELECT event_id, {_sql_date(_DAY_TEXT)} AS day FROM events", ())
 def strict_dates(spark, sf_dir):
     return views.table(spark, sf_dir, "events").select(
-        "event_id", parse.strict_date(F.expr(_DAY_TEXT)).alias("day")
+        "event_id", parse.strict_date(trim_ws(F.expr(_DAY_TEXT))).alias("day")
     )

@@ -70,14 +70,20 @@ class FlatLines:
 
 
 def split_lines(lines: DataFrame, expected: int, file: Column | None = None) -> FlatLines:
-    """Split a frame with a `value` column; `file` names the origin of a line."""
-    fields = F.split(F.col("value"), "\t", -1)
+    """Split a frame with a `value` column; `file` names the origin of a line.
+
+    The fields are generated rather than projected: filters on them then stay above the split instead
+    of being pushed below it with a copy of it each, so a line is split once.
+    """
+    split = lines.select(
+        (F.lit(None).cast("string") if file is None else file).alias("file"),
+        "value",
+        F.explode(F.array(F.split(F.col("value"), "\t", -1))).alias("fields"),
+    )
     return FlatLines(
-        lines.select(
-            (F.lit(None).cast("string") if file is None else file).alias("file"),
-            "value",
-            fields.alias("fields"),
-            F.size(fields).alias("field_count"),
+        split.select(
+            "*",
+            F.size("fields").alias("field_count"),
             (trim_ws(F.col("value")) == "").alias("is_blank"),
         ),
         expected,
