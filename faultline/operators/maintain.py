@@ -90,7 +90,7 @@ def write_report(rows: DataFrame, path: str) -> None:
 def complaint_metrics(lines: FlatLines, mapped: MappedRecords) -> DataFrame:
     """One row of load counters: lines, blanks, other products, mapping failures, accepted rows."""
     counted = lines.counts()
-    rejected = mapped.records.agg(
+    rejected = mapped.parsed.agg(
         F.struct(
             F.count("*").alias("vehicle"),
             F.count("reject_reason").alias("failed"),
@@ -109,7 +109,7 @@ def complaint_metrics(lines: FlatLines, mapped: MappedRecords) -> DataFrame:
 def recall_metrics(lines: FlatLines, mapped: MappedRecords) -> DataFrame:
     """The same for recalls, with the number of accepted rows that carry each advisory."""
     good = F.col("reject_reason").isNull()
-    flags = mapped.records.agg(
+    flags = mapped.parsed.agg(
         F.struct(
             F.count_if(good & F.col("do_not_drive")).alias("do_not_drive"),
             F.count_if(good & F.col("park_outside")).alias("park_outside"),

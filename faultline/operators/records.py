@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -43,18 +44,29 @@ RECALL_COLUMNS = (
 
 @dataclass(frozen=True)
 class MappedRecords:
-    """Vehicle records of one kind; `records` carries the kept columns and a `reject_reason`."""
+    """Vehicle records of one kind.
 
-    records: DataFrame
+    `parsed` decides about every record from its own fields; `canonical` adds names, groups and keys.
+    """
+
+    parsed: DataFrame
+    canonical: Callable[[DataFrame], DataFrame]
     columns: tuple[str, ...]
 
+    @property
+    def records(self) -> DataFrame:
+        """Accepted and rejected records with all kept columns and their `reject_reason`."""
+        return self.canonical(self.parsed)
+
     @property
     def good(self) -> DataFrame:
-        return self.records.filter(F.col("reject_reason").isNull()).select(*self.columns)
+        """Accepted records; the others are dropped before names are looked up."""
+        accepted = self.parsed.filter(F.col("reject_reason").isNull())
+        return self.canonical(accepted).select(*self.columns)
 
     @property
     def rejected(self) -> DataFrame:
-        return self.records.filter(F.col("reject_reason").isNotNull()).select(
+        return self.parsed.filter(F.col("reject_reason").isNotNull()).select(
             "file", "raw_id", "reject_reason"
         )
 
@@ -134,101 +146,134 @@ def _first_failure(*checks: tuple[Column, str]) -> Column:
 
 def map_complaints(lines: FlatLines, aliases: DataFrame, groups: DataFrame) -> MappedRecords:
     """Canonical rows of all vehicle complaints."""
-    df = _picked(lines, COMPLAINT_POSITIONS).filter(parse.is_vehicle(_raw("product_type")))
-    df = with_make(df, _raw("make"), aliases)
-    df = with_model(df, _raw("model"))
-    df = with_component(df, _raw("component"), groups)
-    df = df.withColumns(
-        {
-            "id": parse.whole_number(_raw("id")),
-            "odi_number": parse.whole_number(_raw("odi_number")),
-            "_year": parse.whole_number(_raw("model_year")),
-            "_miles": parse.whole_number(_raw("miles")),
-            "_cylinders": parse.whole_number(_raw("cylinders")),
-            "received_date": F.coalesce(
-                parse.strict_date(_raw("received_date")), parse.strict_date(_raw("date_added"))
+    received = F.coalesce(
+        parse.strict_date(_raw("received_date")), parse.strict_date(_raw("date_added"))
+    )
+    parsed = (
+        _picked(lines, COMPLAINT_POSITIONS)
+        .filter(parse.is_vehicle(_raw("product_type")))
+        .withColumns(
+            {
+                "id": parse.whole_number(_raw("id")),
+                "odi_number": parse.whole_number(_raw("odi_number")),
+                "received_date": received,
+            }
+        )
+        .withColumn(
+            "reject_reason",
+            _first_failure(
+                (F.col("id").isNull(), "complaint id is not a number"),
+                (F.col("odi_number").isNull(), "odi number is not a number"),
+                (F.col("received_date").isNull(), "no usable received or added date"),
             ),
-        }
-    ).withColumn("model_year", parse.model_year(F.col("_year")))
-    df = df.select(
-        "file",
-        "raw_id",
-        "id",
-        "odi_number",
-        _raw("manufacturer").alias("manufacturer"),
-        "make",
-        _raw("make").alias("make_raw"),
-        "model",
-        _raw("model").alias("model_raw"),
-        "model_year",
-        "component",
-        parse.mileage(F.col("_miles")).alias("miles_at_failure"),
-        _raw("description").alias("description"),
-        parse.strict_date(_raw("failure_date")).alias("failure_date"),
-        "received_date",
-        parse.is_y(_raw("crash")).alias("crash"),
-        parse.is_y(_raw("fire")).alias("fire"),
-        parse.casualties(parse.signed_number(_raw("injured"))).alias("injured"),
-        parse.casualties(parse.signed_number(_raw("deaths"))).alias("deaths"),
-        parse.is_y(_raw("police_report")).alias("police_report"),
-        parse.is_y(_raw("vehicle_towed")).alias("vehicle_towed"),
-        parse.is_y(_raw("medical_attention")).alias("medical_attention"),
-        upper_or_null(_raw("drive_train")).alias("drive_train"),
-        upper_or_null(_raw("fuel_type")).alias("fuel_type"),
-        upper_or_null(_raw("transmission_type")).alias("transmission_type"),
-        parse.cylinders(F.col("_cylinders")).alias("cylinders"),
-        vehicle_key(F.col("make_slug"), F.col("model_slug"), F.col("model_year")).alias("vehicle_key"),
-        _first_failure(
-            (F.col("id").isNull(), "complaint id is not a number"),
-            (F.col("odi_number").isNull(), "odi number is not a number"),
-            (F.col("received_date").isNull(), "no usable received or added date"),
-        ).alias("reject_reason"),
+        )
     )
-    return MappedRecords(df, COMPLAINT_COLUMNS)
+
+    def canonical(df: DataFrame) -> DataFrame:
+        df = with_make(df, _raw("make"), aliases)
+        df = with_model(df, _raw("model"))
+        df = with_component(df, _raw("component"), groups)
+        df = df.withColumns(
+            {
+                "_year": parse.whole_number(_raw("model_year")),
+                "_miles": parse.whole_number(_raw("miles")),
+                "_cylinders": parse.whole_number(_raw("cylinders")),
+            }
+        ).withColumn("model_year", parse.model_year(F.col("_year")))
+        return df.select(
+            "file",
+            "raw_id",
+            "reject_reason",
+            "id",
+            "odi_number",
+            _raw("manufacturer").alias("manufacturer"),
+            "make",
+            _raw("make").alias("make_raw"),
+            "model",
+            _raw("model").alias("model_raw"),
+            "model_year",
+            "component",
+            parse.mileage(F.col("_miles")).alias("miles_at_failure"),
+            _raw("description").alias("description"),
+            parse.strict_date(_raw("failure_date")).alias("failure_date"),
+            "received_date",
+            parse.is_y(_raw("crash")).alias("crash"),
+            parse.is_y(_raw("fire")).alias("fire"),
+            parse.casualties(parse.signed_number(_raw("injured"))).alias("injured"),
+            parse.casualties(parse.signed_number(_raw("deaths"))).alias("deaths"),
+            parse.is_y(_raw("police_report")).alias("police_report"),
+            parse.is_y(_raw("vehicle_towed")).alias("vehicle_towed"),
+            parse.is_y(_raw("medical_attention")).alias("medical_attention"),
+            upper_or_null(_raw("drive_train")).alias("drive_train"),
+            upper_or_null(_raw("fuel_type")).alias("fuel_type"),
+            upper_or_null(_raw("transmission_type")).alias("transmission_type"),
+            parse.cylinders(F.col("_cylinders")).alias("cylinders"),
+            vehicle_key(F.col("make_slug"), F.col("model_slug"), F.col("model_year")).alias(
+                "vehicle_key"
+            ),
+        )
+
+    return MappedRecords(parsed, canonical, COMPLAINT_COLUMNS)
 
 
 def map_recalls(lines: FlatLines, aliases: DataFrame, groups: DataFrame) -> MappedRecords:
     """Canonical rows of all vehicle recalls: one per campaign, model and year."""
-    df = _picked(lines, RECALL_POSITIONS).filter(parse.is_vehicle(_raw("recall_type")))
-    df = with_make(df, _raw("make"), aliases)
-    df = with_model(df, _raw("model"))
-    df = with_component(df, _raw("component"), groups)
-    df = df.withColumns(
-        {
-            "id": parse.whole_number(_raw("id")),
-            "_year": parse.whole_number(_raw("model_year")),
-        }
-    ).withColumn("model_year", parse.model_year(F.col("_year")))
-    df = df.select(
-        "file",
-        "raw_id",
-        "id",
-        _raw("campaign_number").alias("campaign_number"),
-        _raw("manufacturer").alias("manufacturer"),
-        "make",
-        _raw("make").alias("make_raw"),
-        "model",
-        _raw("model").alias("model_raw"),
-        "model_year",
-        _raw("component").alias("component_name"),
-        F.col("component.group").alias("component_group"),
-        F.col("component.levels").alias("levels"),
-        _raw("recall_type").alias("recall_type"),
-        parse.whole_number(_raw("potentially_affected")).alias("potentially_affected"),
-        parse.strict_date(_raw("owners_notified_date")).alias("owners_notified_date"),
-        parse.strict_date(_raw("report_received_date")).alias("report_received_date"),
-        _raw("defect_description").alias("defect_description"),
-        _raw("consequence").alias("consequence"),
-        _raw("corrective_action").alias("corrective_action"),
-        parse.is_yes(_raw("do_not_drive")).alias("do_not_drive"),
-        parse.is_yes(_raw("park_outside")).alias("park_outside"),
-        vehicle_key(F.col("make_slug"), F.col("model_slug"), F.col("model_year")).alias("vehicle_key"),
-        _first_failure(
-            (F.col("id").isNull(), "record id is not a number"),
-            (_raw("campaign_number") == "", "campaign number is empty"),
-        ).alias("reject_reason"),
+    parsed = (
+        _picked(lines, RECALL_POSITIONS)
+        .filter(parse.is_vehicle(_raw("recall_type")))
+        .withColumns(
+            {
+                "id": parse.whole_number(_raw("id")),
+                "do_not_drive": parse.is_yes(_raw("do_not_drive")),
+                "park_outside": parse.is_yes(_raw("park_outside")),
+            }
+        )
+        .withColumn(
+            "reject_reason",
+            _first_failure(
+                (F.col("id").isNull(), "record id is not a number"),
+                (_raw("campaign_number") == "", "campaign number is empty"),
+            ),
+        )
     )
-    return MappedRecords(df, RECALL_COLUMNS)
+
+    def canonical(df: DataFrame) -> DataFrame:
+        df = with_make(df, _raw("make"), aliases)
+        df = with_model(df, _raw("model"))
+        df = with_component(df, _raw("component"), groups)
+        df = df.withColumn("_year", parse.whole_number(_raw("model_year"))).withColumn(
+            "model_year", parse.model_year(F.col("_year"))
+        )
+        return df.select(
+            "file",
+            "raw_id",
+            "reject_reason",
+            "id",
+            _raw("campaign_number").alias("campaign_number"),
+            _raw("manufacturer").alias("manufacturer"),
+            "make",
+            _raw("make").alias("make_raw"),
+            "model",
+            _raw("model").alias("model_raw"),
+            "model_year",
+            _raw("component").alias("component_name"),
+            F.col("component.group").alias("component_group"),
+            F.col("component.levels").alias("levels"),
+            _raw("recall_type").alias("recall_type"),
+            parse.whole_number(_raw("potentially_affected")).alias("potentially_affected"),
+            parse.strict_date(_raw("owners_notified_date")).alias("owners_notified_date"),
+            parse.strict_date(_raw("report_received_date")).alias("report_received_date"),
+            _raw("defect_description").alias("defect_description"),
+            _raw("consequence").alias("consequence"),
+            _raw("corrective_action").alias("corrective_action"),
+            "do_not_drive",
+            "park_outside",
+            vehicle_key(F.col("make_slug"), F.col("model_slug"), F.col("model_year")).alias(
+                "vehicle_key"
+            ),
+        )
+
+    return MappedRecords(parsed, canonical, RECALL_COLUMNS)
 
 
 def personal_data_columns(schema: T.DataType, prefix: str = "") -> list[str]:

@@ -343,9 +343,10 @@ WHERE component_group = 'OTHER' GROUP BY upper(top_level)
 )
 def unmapped_levels(spark, sf_dir):
     """One count shared by accepted complaints and recalls."""
-    complaints = _complaints(spark, sf_dir).good.select(F.col("component.levels").alias("levels"))
-    accepted = _recalls(spark, sf_dir).records.filter("reject_reason IS NULL").select("levels")
-    return records.unmapped_top_levels(complaints.unionByName(accepted), views.groups(spark))
+    complaints, recalls = _complaints(spark, sf_dir), _recalls(spark, sf_dir)
+    levels = records.component_levels(F.col("raw_component")).alias("levels")
+    accepted = [m.parsed.filter("reject_reason IS NULL").select(levels) for m in (complaints, recalls)]
+    return records.unmapped_top_levels(accepted[0].unionByName(accepted[1]), views.groups(spark))
 
 
 @check(

@@ -68,16 +68,29 @@ def recall_order() -> list[Column]:
     ]
 
 
+@dataclass(frozen=True)
+class Staged:
+    """Parsed records of one load as written: accepted and rejected ones, and the lines seen."""
+
+    records: DataFrame
+    columns: tuple[str, ...]
+    lines: Mapping[str, int]
+
+    @property
+    def accepted(self) -> DataFrame:
+        return self.records.filter(F.col("reject_reason").isNull())
+
+
 def _stage(
     run: Run, name: str, lines: FlatLines, mapper, aliases: DataFrame, groups: DataFrame
-) -> tuple[MappedRecords, dict[str, int]]:
+) -> Staged:
     """Parse once, write accepted and rejected records together, and count lines on the way."""
     seen = Observation(f"{name} lines")
-    mapped = mapper(lines.observed(seen), aliases, groups)
+    mapped: MappedRecords = mapper(lines.observed(seen), aliases, groups)
     written = run.write(f"staging/{name}", mapped.records)
     if seen.get["malformed_lines"]:
         run.write(f"staging/{name}-malformed", lines.malformed)
-    return MappedRecords(written, mapped.columns), seen.get
+    return Staged(written, mapped.columns, seen.get)
 
 
 def load(
@@ -102,34 +115,28 @@ def load(
     alias_table, group_table = alias_dimension(spark, aliases), group_dimension(spark, groups)
 
     complaint_lines = read_complaint_lines(spark, complaint_files, strict)
-    complaints, complaint_counts = _stage(
+    complaints = _stage(
         run, "complaints", complaint_lines, map_complaints, alias_table, group_table
     )
-    incoming = complaints.good
+    incoming = complaints.accepted.select(*COMPLAINT_COLUMNS)
     if record_limit is not None:
         incoming = incoming.orderBy("id").limit(record_limit)
     _store_complaints(run, incoming, before)
-    accepted_levels = complaints.records.filter("reject_reason IS NULL").select(
-        F.col("component.levels").alias("levels")
-    )
+    accepted_levels = complaints.accepted.select(F.col("component.levels").alias("levels"))
 
     if recall_files:
         recall_lines = read_recall_lines(spark, recall_files, strict)
-        recalls, recall_counts = _stage(
-            run, "recalls", recall_lines, map_recalls, alias_table, group_table
-        )
-        _store_recalls(run, recalls.good, before)
-        accepted_levels = accepted_levels.unionByName(
-            recalls.records.filter("reject_reason IS NULL").select("levels")
-        )
-        maintain.write_report(_counters(recalls, recall_counts), run.path("reports/recall-load"))
+        recalls = _stage(run, "recalls", recall_lines, map_recalls, alias_table, group_table)
+        _store_recalls(run, recalls.accepted.select(*RECALL_COLUMNS), before)
+        accepted_levels = accepted_levels.unionByName(recalls.accepted.select("levels"))
+        maintain.write_report(_counters(recalls), run.path("reports/recall-load"))
     elif before is not None:
         run.write("recalls", before.read("recalls"))
     else:
         run.write("recalls", spark.createDataFrame([], RECALL_SCHEMA))
 
-    maintain.write_report(_counters(complaints, complaint_counts), run.path("reports/complaint-load"))
-    maintain.write_report(maintain.rare_makes(complaints.good), run.path("reports/rare-makes"))
+    maintain.write_report(_counters(complaints), run.path("reports/complaint-load"))
+    maintain.write_report(maintain.rare_makes(complaints.accepted), run.path("reports/rare-makes"))
     maintain.write_report(
         unmapped_top_levels(accepted_levels, group_table), run.path("reports/unmapped-components")
     )
@@ -168,15 +175,15 @@ def _store_recalls(run: Run, incoming: DataFrame, before: Run | None) -> None:
     run.write("recalls", ordered.sortWithinPartitions("vehicle_key", "id"))
 
 
-def _counters(mapped: MappedRecords, seen: Mapping[str, int]) -> DataFrame:
+def _counters(staged: Staged) -> DataFrame:
     """Load counters: lines seen while parsing plus outcomes counted on the staged records."""
-    counted = mapped.records.agg(
+    counted = staged.records.agg(
         F.count("*").alias("vehicle_records"), F.count("reject_reason").alias("mapping_failures")
     )
-    lines, malformed = F.lit(seen["lines_read"]), F.lit(seen["malformed_lines"])
+    lines, malformed = F.lit(staged.lines["lines_read"]), F.lit(staged.lines["malformed_lines"])
     return counted.select(
         lines.alias("lines_read"),
-        F.lit(seen["blank_lines"]).alias("blank_lines"),
+        F.lit(staged.lines["blank_lines"]).alias("blank_lines"),
         malformed.alias("malformed_lines"),
         (lines - malformed - F.col("vehicle_records")).alias("non_vehicle"),
         "mapping_failures",
