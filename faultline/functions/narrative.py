@@ -25,17 +25,8 @@ from faultline.functions.text import collapse_ws
 LETTER = r"\p{L}\p{Nd}"
 WORD = rf"[{LETTER}]+"
 
-# Suffix rules of the stemmer, applied in this order to a lower-case word.
-STEM_RULES = (
-    ("(ss|us|is)$", "$1_"),
-    ("ies$", "y"),
-    ("sses$", "ss_"),
-    ("s$", ""),
-    ("_$", ""),
-    ("([aeiouy][a-z]*)(ing|ed)$", "$1"),
-    *[(f"{letter}{letter}$", letter) for letter in "bdfgmnprt"],
-    ("e$", ""),
-)
+# Letters that lose their doubling when a suffix is gone: slipp(ed) -> slip.
+DOUBLED = tuple("bdfgmnprt")
 
 
 def words(text: Column) -> Column:
@@ -43,13 +34,64 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def _without(word: Column, count: int) -> Column:
+    return F.left(word, F.length(word) - count)
+
+
+def _singular(word: Column) -> Column:
+    return (
+        F.when(~word.endswith("s") | word.rlike("(ss|us|is)$"), word)
+        .when(word.endswith("ies"), F.concat(_without(word, 3), F.lit("y")))
+        .when(word.endswith("sses"), _without(word, 2))
+        .otherwise(_without(word, 1))
+    )
+
+
+def _uninflected(word: Column) -> Column:
+    """Without `ing` or `ed` when a vowel remains before it."""
+    stripped = F.regexp_replace(word, "([aeiouy][a-z]*)(ing|ed)$", "$1")
+    return F.when(word.endswith("ing") | word.endswith("ed"), stripped).otherwise(word)
+
+
+def _undoubled(word: Column) -> Column:
+    doubled = word.rlike(f"({'|'.join(letter * 2 for letter in DOUBLED)})$")
+    return F.when(doubled, _without(word, 1)).otherwise(word)
+
+
+def _without_final_e(word: Column) -> Column:
+    return F.when(word.endswith("e"), _without(word, 1)).otherwise(word)
+
+
+# Applied in this order to a lower-case word.
+STEM_STEPS = (_singular, _uninflected, _undoubled, _without_final_e)
+
+
 def stem(word: Column) -> Column:
-    """A lower-case word reduced to its stem: inflections of one word share it."""
-    for pattern, replacement in STEM_RULES:
-        word = F.regexp_replace(word, pattern, replacement)
+    """A lower-case word reduced to its stem: inflections of one word share it.
+
+    Every step reads its word several times, so this is for literals, which fold into a constant. Use
+    `stem_all` or `with_stem` on data: they keep the result of each step.
+    """
+    for step in STEM_STEPS:
+        word = step(word)
     return word
 
 
+def stem_all(several: Column) -> Column:
+    """The stems of an array of words."""
+    for step in STEM_STEPS:
+        several = F.transform(several, step)
+    return several
+
+
+def with_stem(df: DataFrame, word: str, name: str = "stem") -> DataFrame:
+    """Add the stem of a word column."""
+    staged = df.withColumn(name, F.col(word))
+    for step in STEM_STEPS:
+        staged = staged.withColumn(name, step(F.col(name)))
+    return staged
+
+
 def query_words(term: str, stop_words: tuple[str, ...] = STOP_WORDS) -> tuple[list[str], list[str]]:
     """The words a term asks for and the words it excludes with a leading hyphen."""
     wanted, excluded = [], []
@@ -69,7 +111,7 @@ def contains_stem(text: Column, word: str) -> Column:
     prefix = F.regexp_replace(wanted, "y$", "")
     starts = F.concat(F.lit(rf"(?<![{LETTER}])"), prefix, F.lit(rf"[{LETTER}]*"))
     candidates = F.regexp_extract_all(F.lower(text), starts, F.lit(0))
-    return F.exists(candidates, lambda candidate: stem(candidate) == wanted)
+    return F.array_contains(stem_all(F.array_distinct(candidates)), wanted)
 
 
 def matches_term(text: Column, term: str, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:

@@ -15,6 +15,7 @@ from faultline.functions.narrative import (
     query_words,
     stem,
     with_snippet,
+    with_stem,
     words,
 )
 from faultline.functions.text import key_make, key_model
@@ -92,9 +93,11 @@ def inverted_index(
     reports: DataFrame, key: str = "id", text: str = "description", stop_words: Sequence[str] = STOP_WORDS
 ) -> DataFrame:
     """One row per stem and report. Words are made distinct per report before they are stemmed."""
-    kept = F.filter(F.array_distinct(words(F.col(text))), lambda w: ~w.isin(list(stop_words)))
-    stems = F.array_distinct(F.transform(kept, stem))
-    return reports.select(F.explode(stems).alias("stem"), key)
+    distinct = F.array_distinct(words(F.col(text)))
+    exploded = reports.select(key, F.explode(distinct).alias("word"))
+    kept = exploded.filter(~F.col("word").isin(list(stop_words)))
+    # Different words of a report can share a stem; the pair is kept once, after a map-side combine.
+    return with_stem(kept, "word").select("stem", key).distinct()
 
 
 def write_inverted_index(index: DataFrame, path: str, key: str = "id") -> None:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.functions.measures import as_measures, histogram_rows, report_cells
+from faultline.functions import measures
+from faultline.functions.measures import as_measures, histogram_rows
 from faultline.operators import profile as ops
 from faultline.plans.checks import views
 from faultline.plans.checks.registry import check
@@ -72,6 +73,21 @@ def profile_severity(spark, sf_dir):
     return ops.severity_summary(_profiles(spark, sf_dir))
 
 
+@check(
+    """
+SELECT vehicle_key, make, model, model_year, component_group, top_level, received_year,
+       count(*) AS complaints, count(miles) AS with_mileage,
+       coalesce(sum(miles), 0)::BIGINT AS mileage_total, sum(injured)::BIGINT AS injured,
+       count(*) FILTER (bin = 0) AS bin_0, count(*) FILTER (bin = 10) AS bin_10
+FROM reports GROUP BY ALL
+"""
+)
+def report_cells(spark, sf_dir):
+    return measures.report_cells(views.reports(spark, sf_dir)).select(
+        *measures.DIMENSIONS, "complaints", "with_mileage", "mileage_total", "injured", "bin_0", "bin_10"
+    )
+
+
 @check(
     """
 SELECT vehicle_key, p.total_complaints, p.with_mileage, p.crashes,
@@ -86,8 +102,8 @@ JOIN (SELECT vehicle_key, count(*) AS groups, max(n) AS leading_count,
     (*BREAKDOWN, "timeline"),
 )
 def profile_table(spark, sf_dir):
-    """The nested profile table built from shared cells, summarised from its arrays."""
-    nested = ops.vehicle_profiles(report_cells(views.reports(spark, sf_dir)))
+    """The nested profile table, summarised from its arrays."""
+    nested = ops.vehicle_profiles(_measures(spark, sf_dir))
     return nested.select(
         "vehicle_key", "total_complaints", "with_mileage", F.col("severity.crashes").alias("crashes"),
         F.size("timeline").cast("bigint").alias("years"),
@@ -183,8 +199,8 @@ FROM breakdown b JOIN profiles USING (vehicle_key)
     BREAKDOWN,
 )
 def component_shares(spark, sf_dir):
-    measures = _measures(spark, sf_dir)
-    return ops.component_shares(ops.component_rows(measures), ops.profile_scalars(measures))
+    rows = _measures(spark, sf_dir)
+    return ops.component_shares(ops.component_rows(rows), ops.profile_scalars(rows))
 
 
 @check(
@@ -223,9 +239,7 @@ JOIN (SELECT vehicle_key, sum(miles)::DOUBLE / nullif(count(miles), 0) AS avg_mi
     (*BREAKDOWN, "timeline"),
 )
 def profile_summary(spark, sf_dir):
-    measures = _measures(spark, sf_dir)
-    return ops.profile_summary(
-        ops.profile_scalars(measures), ops.component_rows(measures), ops.timeline_rows(measures)
-    )
+    rows = _measures(spark, sf_dir)
+    return ops.profile_summary(ops.profile_scalars(rows), ops.component_rows(rows), ops.timeline_rows(rows))
 
 

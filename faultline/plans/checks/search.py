@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from faultline.fixed_values import STOP_WORDS
 from faultline.functions.measures import as_measures
 from faultline.functions.narrative import (
-    STEM_RULES,
     component_detail,
     is_severe,
     outcome_labels,
@@ -23,11 +22,17 @@ from faultline.plans.checks.registry import check
 
 NARRATIVES = ("narratives",)
 SQL_WORD = r"[\p{L}\p{Nd}]+"
+_STEM_RULES = (
+    ("(ss|us|is)$", r"\1_"), ("ies$", "y"), ("sses$", "ss_"), ("s$", ""), ("_$", ""),
+    ("([aeiouy][a-z]*)(ing|ed)$", r"\1"),
+    *[(f"{letter}{letter}$", letter) for letter in "bdfgmnprt"],
+    ("e$", ""),
+)
 
 
 def sql_stem(word: str) -> str:
-    for pattern, replacement in STEM_RULES:
-        word = f"regexp_replace({word}, '{pattern}', '{replacement.replace('$1', chr(92) + '1')}')"
+    for pattern, replacement in _STEM_RULES:
+        word = f"regexp_replace({word}, '{pattern}', '{replacement}')"
     return word
 
 

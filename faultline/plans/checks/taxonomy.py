@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.functions.measures import as_measures, histogram_rows, report_cells
+from faultline.functions.measures import as_measures, histogram_rows
 from faultline.operators import taxonomy as ops
 from faultline.operators.profile import component_rows, profile_scalars
 from faultline.plans.checks import views
@@ -92,9 +92,9 @@ LEFT JOIN ({_TOP_VEHICLES}) v ON v.component_group = g.component_group AND v.pos
     (*BREAKDOWN, "group_totals"),
 )
 def taxonomy_table(spark, sf_dir):
-    """The nested component table built from shared cells, summarised from its arrays."""
-    cells = report_cells(views.reports(spark, sf_dir))
-    nested = ops.component_taxonomy(cells, component_rows(cells), profile_scalars(cells))
+    """The nested component table, summarised from its arrays."""
+    measures = _measures(spark, sf_dir)
+    nested = ops.component_taxonomy(measures, component_rows(measures), profile_scalars(measures))
     make, vehicle = F.get("top_makes", F.lit(0)), F.get("top_vehicles", F.lit(0))
     return nested.select(
         "component_group", "complaint_count", "with_mileage",
