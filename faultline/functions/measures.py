@@ -28,14 +28,13 @@ DIMENSIONS = (
 )
 
 
-def bin_index(miles: Column) -> Column:
-    """Histogram bin of a reading, null without one.
+def bin_index(miles: str) -> str:
+    """SQL for the histogram bin of a reading, null without one.
 
     The guard matters: `least` and `greatest` skip nulls, so a missing reading would land in a bin.
     """
-    floored = F.floor(miles / F.lit(MILEAGE_BIN_WIDTH)).cast("int")
-    clamped = F.least(F.greatest(floored, F.lit(0)), F.lit(MILEAGE_LAST_BIN))
-    return F.when(miles.isNotNull(), clamped)
+    floored = f"cast(floor({miles} / {MILEAGE_BIN_WIDTH}) AS int)"
+    return f"CASE WHEN {miles} IS NOT NULL THEN least(greatest({floored}, 0), {MILEAGE_LAST_BIN}) END"
 
 
 def bin_bounds(index: int) -> tuple[int, int | None]:
@@ -50,34 +49,33 @@ def bin_label(index: int) -> str:
 
 def as_measures(reports: DataFrame) -> DataFrame:
     """Dimensions and additive measures of every report. A projection: no shuffle, prunable."""
-    one = {True: F.lit(1).cast("bigint"), False: F.lit(0).cast("bigint")}
 
-    def flag(condition: Column) -> Column:
-        return F.when(condition, one[True]).otherwise(one[False])
+    def flag(condition: str) -> str:
+        return f"CASE WHEN {condition} THEN 1L ELSE 0L END"
 
-    index = bin_index(F.col("miles_at_failure"))
+    index = bin_index("miles_at_failure")
     measures = {
-        "complaints": one[True],
-        "with_mileage": flag(F.col("miles_at_failure").isNotNull()),
-        "mileage_total": F.coalesce(F.col("miles_at_failure"), F.lit(0)).cast("bigint"),
-        "crashes": flag(F.col("crash")),
-        "fires": flag(F.col("fire")),
-        "injured": F.col("injured").cast("bigint"),
-        "deaths": F.col("deaths").cast("bigint"),
-        "police_reports": flag(F.col("police_report")),
-        "vehicles_towed": flag(F.col("vehicle_towed")),
-        "medical_attention": flag(F.col("medical_attention")),
-        **{f"bin_{i}": flag(index == i) for i in BINS},
+        "complaints": "1L",
+        "with_mileage": flag("miles_at_failure IS NOT NULL"),
+        "mileage_total": "cast(coalesce(miles_at_failure, 0) AS bigint)",
+        "crashes": flag("crash"),
+        "fires": flag("fire"),
+        "injured": "cast(injured AS bigint)",
+        "deaths": "cast(deaths AS bigint)",
+        "police_reports": flag("police_report"),
+        "vehicles_towed": flag("vehicle_towed"),
+        "medical_attention": flag("medical_attention"),
+        **{f"bin_{i}": flag(f"mileage_bin = {i}") for i in BINS},
     }
-    return reports.select(
+    return reports.selectExpr("*", f"{index} AS mileage_bin").selectExpr(
         "vehicle_key",
         "make",
         "model",
         "model_year",
-        F.col("component.group").alias("component_group"),
-        F.get(F.col("component.levels"), F.lit(0)).alias("top_level"),
-        F.year("received_date").alias("received_year"),
-        *[column.alias(name) for name, column in measures.items()],
+        "component.group AS component_group",
+        "get(component.levels, 0) AS top_level",
+        "year(received_date) AS received_year",
+        *[f"{column} AS {name}" for name, column in measures.items()],
     )
 
 
@@ -91,22 +89,18 @@ def report_cells(reports: DataFrame) -> DataFrame:
 
 
 def summed(names: Iterable[str]) -> list[Column]:
-    return [F.sum(name).alias(name) for name in names]
+    return [F.expr(f"sum({name}) AS {name}") for name in names]
 
 
 def histogram_array() -> Column:
     """The eleven bins of a row as an array of (from, to, count); every bin is present."""
-    bins = []
-    for i in BINS:
+
+    def cell(i: int) -> str:
         low, high = bin_bounds(i)
-        bins.append(
-            F.struct(
-                F.lit(low).alias("from"),
-                F.lit(high).cast("int").alias("to"),
-                F.col(f"bin_{i}").alias("count"),
-            )
-        )
-    return F.array(*bins)
+        upper = "cast(NULL AS int)" if high is None else str(high)
+        return f"named_struct('from', {low}, 'to', {upper}, 'count', bin_{i})"
+
+    return F.expr(f"array({', '.join(cell(i) for i in BINS)})")
 
 
 def histogram_rows(table: DataFrame, *keep: str) -> DataFrame:

@@ -6,6 +6,8 @@ the dates. All rows are used; spellings, gaps and oddities are derived from thei
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,23 +47,30 @@ CASE WHEN l_quantity = 1 THEN NULL
 MODEL_YEAR = "CASE WHEN o_orderstatus <> 'P' THEN CAST(year(o_orderdate) AS INT) END"
 
 
+# A view is a plan, not data: each is built once per session and folder and shared by the queries.
+view = lru_cache(maxsize=64)
+
 # Large tables and the key that spreads them when their file has too few splits.
 SPREAD_BY = {"lineitem": ("l_orderkey", "l_linenumber"), "documents": ("doc_id",)}
 
 
+@view
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
     return spread(rows, *SPREAD_BY[name]) if name in SPREAD_BY else rows
 
 
+@view
 def aliases(spark: SparkSession) -> DataFrame:
     return alias_dimension(spark, ALIASES)
 
 
+@view
 def groups(spark: SparkSession) -> DataFrame:
     return group_dimension(spark, GROUPS)
 
 
+@view
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vehicles: make and model are made canonical on the parts, before they meet the line items."""
     named = table(spark, sf_dir, "part").selectExpr(
@@ -70,6 +79,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_model(with_make(named, F.col("make_raw"), aliases(spark)), F.col("p_type"))
 
 
+@view
 def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     return (
@@ -89,6 +99,7 @@ def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@view
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as complaint rows. (order, line) is not unique, so there is no real id."""
     return joined(spark, sf_dir).selectExpr(
@@ -111,6 +122,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@view
 def recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as recall rows: the supplier is the campaign."""
     return joined(spark, sf_dir).selectExpr(
@@ -136,6 +148,7 @@ RECALL_ROW = (
 )
 
 
+@view
 def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as complaint rows with a whole narrative each."""
     return table(spark, sf_dir, "documents").selectExpr(
