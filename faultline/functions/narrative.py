@@ -62,34 +62,30 @@ def _without_final_e(word: Column) -> Column:
     return F.when(word.endswith("e"), _without(word, 1)).otherwise(word)
 
 
-# Applied in this order to a lower-case word.
+# Applied in this order to lower-case words.
 STEM_STEPS = (_singular, _uninflected, _undoubled, _without_final_e)
 
 
-def stem(word: Column) -> Column:
-    """A lower-case word reduced to its stem: inflections of one word share it.
+def stem_all(several: Column) -> Column:
+    """The stems of an array of words: inflections of one word share a stem.
 
-    Every step reads its word several times, so this is for literals, which fold into a constant. Use
-    `stem_all` or `with_stem` on data: they keep the result of each step.
+    One transform per step, so that each step reads the result of the one before instead of repeating
+    its expression.
     """
-    for step in STEM_STEPS:
-        word = step(word)
-    return word
-
-
-def stem_all(several: Column) -> Column:
-    """The stems of an array of words."""
     for step in STEM_STEPS:
         several = F.transform(several, step)
     return several
 
 
-def with_stem(df: DataFrame, word: str, name: str = "stem") -> DataFrame:
-    """Add the stem of a word column."""
-    staged = df.withColumn(name, F.col(word))
-    for step in STEM_STEPS:
-        staged = staged.withColumn(name, step(F.col(name)))
-    return staged
+def stem_word(word: str) -> str:
+    """The stem of one query word, by the same steps, so that it enters a plan as a literal."""
+    if word.endswith("s") and not word.endswith(("ss", "us", "is")):
+        ending = next(end for end in ("ies", "sses", "s") if word.endswith(end))
+        word = word.removesuffix(ending) + {"ies": "y", "sses": "ss", "s": ""}[ending]
+    word = re.sub("([aeiouy][a-z]*)(ing|ed)$", r"\1", word)
+    if word[-2:] in [letter * 2 for letter in DOUBLED]:
+        word = word[:-1]
+    return word.removesuffix("e")
 
 
 def query_words(term: str, stop_words: tuple[str, ...] = STOP_WORDS) -> tuple[list[str], list[str]]:
@@ -101,28 +97,27 @@ def query_words(term: str, stop_words: tuple[str, ...] = STOP_WORDS) -> tuple[li
     return wanted, excluded
 
 
-def contains_stem(text: Column, word: str) -> Column:
-    """Whether a text has a whole word with the same stem as `word`.
+def contains_stem(text: Column, several: list[str]) -> Column:
+    """Whether a text has a whole word with the same stem as any of the given words.
 
     A stem is a prefix of its word, up to a final `y` that may replace `ies`. So only words starting
-    with that prefix are extracted, and only those few are stemmed and compared.
+    with such a prefix are extracted, in one pass, and only those few are stemmed and compared.
     """
-    wanted = stem(F.lit(word))
-    prefix = F.regexp_replace(wanted, "y$", "")
-    starts = F.concat(F.lit(rf"(?<![{LETTER}])"), prefix, F.lit(rf"[{LETTER}]*"))
-    candidates = F.regexp_extract_all(F.lower(text), starts, F.lit(0))
-    return F.array_contains(stem_all(F.array_distinct(candidates)), wanted)
+    stems = [stem_word(word) for word in several]
+    # The literal leads and the look-behind follows, so most positions fail on their first letter.
+    starts = [f"{start}(?<![{LETTER}]{start})" for start in (s.removesuffix("y") for s in stems)]
+    pattern = f"(?:{'|'.join(starts)})[{LETTER}]*"
+    candidates = F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
+    return F.arrays_overlap(stem_all(F.array_distinct(candidates)), F.array(*map(F.lit, stems)))
 
 
 def matches_term(text: Column, term: str, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     """Full-text match: any wanted word, and none of the excluded ones."""
     wanted, excluded = query_words(term, stop_words)
-    hit = F.lit(False)
-    for word in wanted:
-        hit = hit | contains_stem(text, word)
-    for word in excluded:
-        hit = hit & ~contains_stem(text, word)
-    return hit
+    if not wanted:
+        return F.lit(False)
+    hit = contains_stem(text, wanted)
+    return hit & ~contains_stem(text, excluded) if excluded else hit
 
 
 def highlight_words(term: str) -> list[str]:

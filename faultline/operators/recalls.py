@@ -27,13 +27,14 @@ def urgent() -> Column:
 
 
 def vehicle_recalls(recalls: DataFrame, keep: Sequence[str], tie_break: Sequence[Column]) -> DataFrame:
-    """Recall rows with their position per vehicle, newest first.
+    """Recall rows of every vehicle, newest first.
 
-    The position is a ranking for readers; a caller after one vehicle filters on `vehicle_key`, which
-    is pushed below the window.
+    A sort, not a window: ranges are cut over vehicle, date and tie-break, so the rows of one vehicle may
+    spread over many tasks. A caller after one vehicle filters on `vehicle_key`, ahead of the sort.
     """
-    newest = Window.partitionBy("vehicle_key").orderBy(F.desc("report_received_date"), *tie_break)
-    return recalls.select("vehicle_key", F.row_number().over(newest).alias("position"), *keep)
+    return recalls.orderBy("vehicle_key", F.desc("report_received_date"), *tie_break).select(
+        "vehicle_key", *keep
+    )
 
 
 def campaign_detail(

@@ -13,9 +13,9 @@ from faultline.functions.narrative import (
     matches_term,
     outcome_labels,
     query_words,
-    stem,
+    stem_all,
+    stem_word,
     with_snippet,
-    with_stem,
     words,
 )
 from faultline.functions.text import key_make, key_model
@@ -92,12 +92,13 @@ def search(
 def inverted_index(
     reports: DataFrame, key: str = "id", text: str = "description", stop_words: Sequence[str] = STOP_WORDS
 ) -> DataFrame:
-    """One row per stem and report. Words are made distinct per report before they are stemmed."""
-    distinct = F.array_distinct(words(F.col(text)))
-    exploded = reports.select(key, F.explode(distinct).alias("word"))
-    kept = exploded.filter(~F.col("word").isin(list(stop_words)))
-    # Different words of a report can share a stem; the pair is kept once, after a map-side combine.
-    return with_stem(kept, "word").select("stem", key).distinct()
+    """One row per stem and report.
+
+    Words are made distinct before they are stemmed and stems before they are exploded, all within the
+    row, so building the index needs no shuffle.
+    """
+    kept = F.filter(F.array_distinct(words(F.col(text))), lambda word: ~word.isin(list(stop_words)))
+    return reports.select(F.explode(F.array_distinct(stem_all(kept))).alias("stem"), key)
 
 
 def write_inverted_index(index: DataFrame, path: str, key: str = "id") -> None:
@@ -125,7 +126,7 @@ def search_index(
     def postings(asked: list[str]) -> DataFrame:
         if not asked:
             return index.filter(F.lit(False)).select(key)
-        return index.filter(F.col("stem").isin([*map(_literal_stem, asked)])).select(key).distinct()
+        return index.filter(F.col("stem").isin([stem_word(word) for word in asked])).select(key).distinct()
 
     matched = reports
     for condition in filters(request):
@@ -134,11 +135,6 @@ def search_index(
     return matched.join(postings(excluded), key, "left_anti") if excluded else matched
 
 
-def _literal_stem(word: str) -> Column:
-    """Folded to a constant by the optimizer, so the stem filter reaches the index files."""
-    return stem(F.lit(word))
-
-
 def search_page(
     matched: DataFrame, request: SearchRequest, keep: Sequence[str], order: Sequence[str | Column]
 ) -> DataFrame:

@@ -24,10 +24,9 @@ def _rank():
 
 @check(
     f"""
-SELECT vehicle_key, CAST(row_number() OVER (PARTITION BY vehicle_key ORDER BY {NEWEST}) AS INT) AS position,
-       campaign_number, report_received_date, component_group, do_not_drive, park_outside,
+SELECT vehicle_key, campaign_number, report_received_date, component_group, do_not_drive, park_outside,
        potentially_affected
-FROM recalls
+FROM recalls ORDER BY vehicle_key, {NEWEST}
 """,
     RECALLS,
 )

@@ -1,6 +1,14 @@
+import random
+
 from pyspark.sql import functions as F
 
-from faultline.functions.narrative import outcome_labels, shorten, stem, with_snippet, with_stem
+from faultline.functions.narrative import (
+    outcome_labels,
+    shorten,
+    stem_all,
+    stem_word,
+    with_snippet,
+)
 from faultline.operators import search as ops
 from faultline.operators.search import SearchRequest
 from samples import report, reports, rows
@@ -23,17 +31,22 @@ def ids(df):
     return [r[0] for r in rows(df, "id")]
 
 
-def test_stems_fold_inflections(spark):
+def test_stems_fold_inflections(values):
     groups = [
         ["brake", "brakes", "braked", "braking"], ["slip", "slips", "slipped", "slipping"],
         ["battery", "batteries"], ["glass", "glasses"], ["shudder", "shudders"], ["shud"], ["bus"], ["ring"],
     ]
-    words = [(w, i) for i, g in enumerate(groups) for w in g]
-    df = with_stem(spark.createDataFrame(words, "word string, g int"), "word")
-    found = df.withColumn("direct", stem(F.col("word"))).collect()
-    assert all(r.stem == r.direct for r in found)
-    assert [len({r.stem for r in found if r.g == i}) for i in range(len(groups))] == [1] * len(groups)
-    assert len({r.stem for r in found}) == len(groups)
+    words = [w for group in groups for w in group]
+    stems = dict(zip(words, values(stem_all(F.array("t")), words)))
+    assert {w: [stem_word(w)] for w in words} == stems
+    assert [len({stem_word(w) for w in group}) for group in groups] == [1] * len(groups)
+    assert len({stem_word(w) for w in words}) == len(groups)
+
+
+def test_both_stemmers_agree_on_random_words(values):
+    chance = random.Random(7)
+    words = ["".join(chance.choices("aesidgnuyb", k=chance.randint(1, 7))) for _ in range(3000)]
+    assert values(stem_all(F.array("t")), words) == [[stem_word(w)] for w in words]
 
 
 def test_text_matches_whole_words(spark):
