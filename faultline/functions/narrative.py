@@ -7,6 +7,7 @@ literals; narratives are only ever touched by built-in column expressions.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,13 +89,32 @@ def stem_word(word: str) -> str:
     return word.removesuffix("e")
 
 
-def query_words(term: str, stop_words: tuple[str, ...] = STOP_WORDS) -> tuple[list[str], list[str]]:
-    """The words a term asks for and the words it excludes with a leading hyphen."""
-    wanted, excluded = [], []
-    for piece in term.lower().split():
-        target = excluded if piece.startswith("-") else wanted
-        target += [w for w in re.findall(r"[^\W_]+", piece) if w not in stop_words]
-    return wanted, excluded
+@dataclass(frozen=True)
+class QueryParts:
+    """What a search term asks for: any of the words, all of the phrases, nothing excluded."""
+
+    words: list[str]
+    excluded_words: list[str]
+    phrases: list[str]
+    excluded_phrases: list[str]
+
+
+def query_parts(term: str, stop_words: tuple[str, ...] = STOP_WORDS) -> QueryParts:
+    """Split a term. A leading hyphen excludes a word or a quoted phrase."""
+    parts = QueryParts([], [], [], [])
+
+    def meaningful(text: str) -> list[str]:
+        return [w for w in re.findall(r"[^\W_]+", text) if w not in stop_words]
+
+    for hyphen, phrase, plain in re.findall(r'(-?)"([^"]*)"|([^\s"]+)', term.lower()):
+        if plain:
+            (parts.excluded_words if plain.startswith("-") else parts.words).extend(meaningful(plain))
+        elif phrase and hyphen:
+            parts.excluded_phrases.append(phrase)
+        elif phrase:
+            parts.phrases.append(phrase)
+            parts.words.extend(meaningful(phrase))
+    return parts
 
 
 def contains_stem(text: Column, several: list[str]) -> Column:
@@ -111,13 +131,21 @@ def contains_stem(text: Column, several: list[str]) -> Column:
     return F.arrays_overlap(stem_all(F.array_distinct(candidates)), F.array(*map(F.lit, stems)))
 
 
-def matches_term(text: Column, term: str, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
-    """Full-text match: any wanted word, and none of the excluded ones."""
-    wanted, excluded = query_words(term, stop_words)
-    if not wanted:
-        return F.lit(False)
-    hit = contains_stem(text, wanted)
-    return hit & ~contains_stem(text, excluded) if excluded else hit
+def phrase_conditions(text: Column, parts: QueryParts) -> list[Column]:
+    """Phrases are looked up in the text as they are written, without regard to case."""
+    lowered = F.lower(text)
+    wanted = [F.contains(lowered, F.lit(phrase)) for phrase in parts.phrases]
+    return wanted + [~F.contains(lowered, F.lit(phrase)) for phrase in parts.excluded_phrases]
+
+
+def term_conditions(text: Column, parts: QueryParts) -> list[Column]:
+    """Full-text match as conditions that must all hold; a term without words matches nothing."""
+    if not parts.words:
+        return [F.lit(False)]
+    conditions = [*phrase_conditions(text, parts), contains_stem(text, parts.words)]
+    if parts.excluded_words:
+        conditions.append(~contains_stem(text, parts.excluded_words))
+    return conditions
 
 
 def highlight_words(term: str) -> list[str]:

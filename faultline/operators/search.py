@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from faultline.fixed_values import LARGEST_PAGE, MATCH_COUNT_CAP, STOP_WORDS
 from faultline.functions.narrative import (
-    matches_term,
     outcome_labels,
-    query_words,
+    phrase_conditions,
+    query_parts,
     stem_all,
     stem_word,
+    term_conditions,
     with_snippet,
     words,
 )
@@ -79,14 +80,17 @@ def search(
     """All matching reports by a scan. Plain conditions come first, so they reach the files."""
     if request.is_empty:
         return reports.filter(F.lit(False))
-    matched = reports
-    for condition in filters(request):
-        matched = matched.filter(condition)
+    conditions = filters(request)
     if request.clean_term:
-        matched = matched.filter(
-            matches_term(F.col("description"), request.clean_term, tuple(stop_words))
-        )
-    return matched
+        parts = query_parts(request.clean_term, tuple(stop_words))
+        conditions += term_conditions(F.col("description"), parts)
+    return _all_of(reports, conditions)
+
+
+def _all_of(reports: DataFrame, conditions: Sequence[Column]) -> DataFrame:
+    for condition in conditions:
+        reports = reports.filter(condition)
+    return reports
 
 
 def inverted_index(
@@ -121,18 +125,16 @@ def search_index(
     """The same matches as `search`, found through the stored index."""
     if request.clean_term is None:
         return search(reports, request, stop_words)
-    wanted, excluded = query_words(request.clean_term, tuple(stop_words))
+    parts = query_parts(request.clean_term, tuple(stop_words))
 
     def postings(asked: list[str]) -> DataFrame:
-        if not asked:
-            return index.filter(F.lit(False)).select(key)
-        return index.filter(F.col("stem").isin([stem_word(word) for word in asked])).select(key).distinct()
-
-    matched = reports
-    for condition in filters(request):
-        matched = matched.filter(condition)
-    matched = matched.join(postings(wanted), key, "left_semi")
-    return matched.join(postings(excluded), key, "left_anti") if excluded else matched
+        stems = [stem_word(word) for word in asked]
+        return index.filter(F.col("stem").isin(stems)).select(key).distinct()
+
+    matched = _all_of(reports, filters(request)).join(postings(parts.words), key, "left_semi")
+    if parts.excluded_words:
+        matched = matched.join(postings(parts.excluded_words), key, "left_anti")
+    return _all_of(matched, phrase_conditions(F.col("description"), parts))
 
 
 def search_page(

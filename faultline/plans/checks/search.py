@@ -85,6 +85,21 @@ def search_text_filtered(spark, sf_dir):
     return ops.search(views.narratives(spark, sf_dir), TEXT_AND_FORM).select("id", "vehicle_key")
 
 
+PHRASE = SearchRequest(term='oners "of the" -"in the th" zzz')
+
+
+@check(
+    f"""
+SELECT id, vehicle_key FROM narratives
+WHERE {_sql_has('oners', 'zzz')} AND contains(lower(description), 'of the')
+  AND NOT contains(lower(description), 'in the th')
+""",
+    (*NARRATIVES, "stems"),
+)
+def search_phrase(spark, sf_dir):
+    return ops.search(views.narratives(spark, sf_dir), PHRASE).select("id", "vehicle_key")
+
+
 @check("SELECT id, vehicle_key FROM narratives WHERE false", NARRATIVES)
 def search_empty_request(spark, sf_dir):
     return ops.search(views.narratives(spark, sf_dir), SearchRequest(term="  ")).select(

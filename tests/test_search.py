@@ -54,6 +54,8 @@ def test_text_matches_whole_words(spark):
     cases = {
         "shudder": [1, 2], "SHUDDERS": [1, 2], "shud": [], "brake": [4, 5], "leaking coolant": [3],
         "shudder -gearbox": [2], "-gearbox": [], "the": [], "judder shudder": [1, 2, 4],
+        '"shudder under"': [1], 'coolant shudder -"pulling away"': [1, 3], '"leak Visible" "no leak"': [3],
+        '"clutch shudder"': [], 'judder "': [4],
     }
     index = ops.inverted_index(table)
     for term, expected in cases.items():
