@@ -92,6 +92,23 @@ def summed(names: Iterable[str]) -> list[Column]:
     return [F.expr(f"sum({name}) AS {name}") for name in names]
 
 
+def vehicle_sums(measures: DataFrame, names: Iterable[str]) -> DataFrame:
+    """Sums per vehicle with a known model year, under its smallest make and model name.
+
+    Names are grouped along with the key first: sums of numbers are aggregated in hash maps, while a
+    minimum of text would make Spark sort all reports before combining them.
+    """
+    names = list(names)
+    known = measures.filter(F.col("model_year").isNotNull())
+    per_name = known.groupBy("vehicle_key", "make", "model", "model_year").agg(*summed(names))
+    return per_name.groupBy("vehicle_key").agg(
+        F.min("make").alias("make"),
+        F.min("model").alias("model"),
+        F.min("model_year").alias("model_year"),
+        *summed(names),
+    )
+
+
 def histogram_array() -> Column:
     """The eleven bins of a row as an array of (from, to, count); every bin is present."""
 

@@ -13,7 +13,7 @@ from faultline.fixed_values import (
     LEADER_MAKE_FROM,
     SINGLE_FIGURE_BELOW,
 )
-from faultline.functions.measures import share
+from faultline.functions.measures import share, vehicle_sums
 from faultline.functions.text import key_make, key_model, vehicle_key
 
 
@@ -25,20 +25,10 @@ def recall_counts(recalls: DataFrame) -> DataFrame:
 
 def vehicle_entries(measures: DataFrame) -> DataFrame:
     """One row per vehicle with a known model year."""
-    return (
-        measures.filter(F.col("model_year").isNotNull())
-        .groupBy("vehicle_key")
-        .agg(
-            F.min("make").alias("make"),
-            F.min("model").alias("model"),
-            F.min("model_year").alias("model_year"),
-            F.sum("complaints").alias("complaint_count"),
-        )
-        .select(
-            "vehicle_key", "make", key_make(F.col("vehicle_key")).alias("make_slug"),
-            "model", key_model(F.col("vehicle_key")).alias("model_slug"),
-            "model_year", "complaint_count",
-        )
+    return vehicle_sums(measures, ["complaints"]).select(
+        "vehicle_key", "make", key_make(F.col("vehicle_key")).alias("make_slug"),
+        "model", key_model(F.col("vehicle_key")).alias("model_slug"),
+        "model_year", F.col("complaints").alias("complaint_count"),
     )
 
 

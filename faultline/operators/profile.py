@@ -18,7 +18,7 @@ from faultline.functions.measures import (
     histogram_rows,
     severity_rows,
     share,
-    summed,
+    vehicle_sums,
     width,
 )
 
@@ -38,21 +38,10 @@ def profile_scalars(measures: DataFrame) -> DataFrame:
 
     Two spellings can share a vehicle key; the smaller name is shown.
     """
-    sums = [name for name in MEASURES if name != "complaints"]
-    return (
-        known_year(measures)
-        .groupBy("vehicle_key")
-        .agg(
-            F.min("make").alias("make"),
-            F.min("model").alias("model"),
-            F.min("model_year").alias("model_year"),
-            F.sum("complaints").alias("total_complaints"),
-            *summed(sums),
-        )
-        .select(
-            "vehicle_key", "make", "model", "model_year", "total_complaints", "with_mileage",
-            average_miles().alias("average_miles_at_failure"), *SIGNALS, *BIN_COLUMNS,
-        )
+    return vehicle_sums(measures, MEASURES).select(
+        "vehicle_key", "make", "model", "model_year",
+        F.col("complaints").alias("total_complaints"),
+        "with_mileage", average_miles().alias("average_miles_at_failure"), *SIGNALS, *BIN_COLUMNS,
     )
 
 

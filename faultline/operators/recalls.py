@@ -66,7 +66,8 @@ def campaign_detail(
 
 def campaign_vehicles(recalls: DataFrame, limit: int = CAMPAIGN_VEHICLES) -> DataFrame:
     """The vehicles of every campaign by make, model and year (newest first), up to `limit` each."""
-    distinct = recalls.groupBy("campaign_number", "vehicle_key").agg(
+    named = recalls.select("campaign_number", "vehicle_key", "make", "model", "model_year").distinct()
+    distinct = named.groupBy("campaign_number", "vehicle_key").agg(
         F.min("make").alias("make"),
         F.min("model").alias("model"),
         F.min("model_year").alias("model_year"),
@@ -86,18 +87,26 @@ def campaign_vehicles(recalls: DataFrame, limit: int = CAMPAIGN_VEHICLES) -> Dat
 
 
 def latest_advisories(recalls: DataFrame, limit: int = LATEST_ADVISORIES) -> DataFrame:
-    """Newest campaigns with an advisory. Only the flagged rows count, also for the vehicles."""
-    per_vehicle = (
+    """Newest campaigns with an advisory. Only the flagged rows count, also for the vehicles.
+
+    Flags and dates are combined per distinct text first, so that the rows are hashed, not sorted.
+    """
+    per_text = (
         recalls.filter(urgent())
-        .groupBy("campaign_number", "vehicle_key")
+        .groupBy("campaign_number", "vehicle_key", "make", "component_name")
         .agg(
-            F.min("make").alias("make"),
-            F.min("component_name").alias("component_name"),
             F.max("do_not_drive").alias("do_not_drive"),
             F.max("park_outside").alias("park_outside"),
             F.max("report_received_date").alias("report_received_date"),
         )
     )
+    per_vehicle = per_text.groupBy("campaign_number", "vehicle_key").agg(
+        F.min("make").alias("make"),
+        F.min("component_name").alias("component_name"),
+        F.max("do_not_drive").alias("do_not_drive"),
+        F.max("park_outside").alias("park_outside"),
+        F.max("report_received_date").alias("report_received_date"),
+    )
     per_campaign = per_vehicle.groupBy("campaign_number").agg(
         F.min("make").alias("make"),
         F.min("component_name").alias("component_name"),
