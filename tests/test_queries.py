@@ -61,7 +61,16 @@ def test_top_rows_per_group_are_cut_before_the_shuffle(spark):
 
 
 @needs_data
-def test_search_filters_reach_the_files(spark):
+def test_reports_are_hashed_not_sorted_before_the_shuffle(spark):
+    for name in ("profile_scalars", "catalog", "profile_components", "taxonomy"):
+        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        aggregates = [line for line in plan.splitlines() if "Aggregate(key" in line]
+        assert "HashAggregate" in aggregates[-1], name
+
+
+@needs_data
+def test_scans_read_only_the_needed_columns(spark):
     plan = entry.queries()["profile_timeline"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    scanned = re.search(r"FileScan parquet \[([^\]]*)\].*lineitem", plan).group(1)
-    assert "l_comment" not in scanned and "l_extendedprice" not in scanned
+    scanned = re.search(r"FileScan parquet \[([^\]]*l_orderkey[^\]]*)\]", plan).group(1)
+    assert "l_shipdate" in scanned
+    assert not re.search("l_extendedprice|l_discount|l_tax|l_suppkey", scanned)
