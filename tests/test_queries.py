@@ -6,7 +6,7 @@ import re
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+from faultline.plans import checks as entry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
@@ -26,7 +26,7 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(entry.oracles()) == set(entry.queries())
 
 
 @needs_data
@@ -34,7 +34,7 @@ def test_every_query_has_an_oracle():
 def test_rows_equal_the_oracle(spark, duck, name):
     found = entry.queries()[name](spark, SF)
     columns = sorted(found.columns)
-    cursor = duck.execute(entry.oracle_sql()[name])
+    cursor = duck.execute(entry.oracles()[name])
     named = [d[0] for d in cursor.description]
     assert sorted(named) == columns
     order = [named.index(c) for c in columns]
