@@ -12,6 +12,7 @@ from faultline.llm.common import table
 from faultline.llm.exact_dedup import exact_dedup
 from faultline.llm.mixing import mix
 from faultline.llm.packing import pack_documents
+from faultline.llm.pii import find_personal_data
 
 #: Folder of the public tokenizers.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -22,6 +23,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -31,7 +36,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_mixing, op6_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_pii, op4_mixing, op6_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
