@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from faultline.llm import oracles
+from faultline.llm.bag_minhash import near_duplicates
 from faultline.llm.common import table
 from faultline.llm.exact_dedup import exact_dedup
 from faultline.llm.mixing import mix
@@ -35,8 +36,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_pii, op4_mixing, op6_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_pii, op4_mixing, op6_packing, op7_bag_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
