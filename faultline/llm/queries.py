@@ -11,6 +11,7 @@ from faultline.llm import oracles
 from faultline.llm.bag_minhash import near_duplicates
 from faultline.llm.common import table
 from faultline.llm.exact_dedup import exact_dedup
+from faultline.llm.html_text import extract_pages
 from faultline.llm.mixing import mix
 from faultline.llm.packing import pack_documents
 from faultline.llm.pii import find_personal_data
@@ -40,8 +41,12 @@ def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_pii, op4_mixing, op6_packing, op7_bag_minhash)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_pii, op4_mixing, op6_packing, op7_bag_minhash, op8_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
