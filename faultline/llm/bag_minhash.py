@@ -29,13 +29,17 @@ from faultline.llm.components import components
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_SLOTS = 30, 6
-SLOTS = BANDS * BAND_SLOTS
-#: Share of agreeing slots below which a pair is not verified: six standard deviations under the least similarity.
-HOPELESS = 0.62
+#: Slots of a signature; the bands use the first of them.
+SLOTS = 240
+#: Standard deviations of the share of agreeing slots by which it may fall short of the least similarity; a pair
+#: that falls shorter is not verified.
+DEVIATIONS = 4
 #: Rounds of drawn pivots before the remaining members are compared.
 ROUNDS = 2
 #: Members compared with one copy of a pivot's text.
 CHUNK = 256
+#: Members outside the largest component of a bucket that are held at once while all its members pass by.
+HELD = 512
 #: Words a worker remembers.
 KNOWN_WORDS = 500_000
 
@@ -148,8 +152,8 @@ def _process(stream, low: int, width: int, counts, owner, horizon, flat, slots:
 
 def banded(found: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """A hash for each band of a signature."""
-    bits = mixed(found.view(np.uint64) + _GOLD)
-    grouped = bits.reshape(len(found), bands, -1)
+    bits = mixed(found.view(np.uint64) + _GOLD)[:, : bands * BAND_SLOTS]
+    grouped = bits.reshape(len(found), bands, BAND_SLOTS)
     total = np.zeros(grouped.shape[:2], np.uint64)
     for k in range(grouped.shape[2]):
         total = mixed(total * _ROLL + grouped[:, :, k])
@@ -180,12 +184,75 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _hopeful(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        if len(batch):
-            a = np.frombuffer(b"".join(batch["sa"]), "<u2").reshape(len(batch), -1)
-            b = np.frombuffer(b"".join(batch["sb"]), "<u2").reshape(len(batch), -1)
-            yield batch.loc[(a == b).mean(axis=1) >= HOPELESS, ["a", "b"]]
+def hopeless(least: float, slots: int = SLOTS) -> float:
+    """The share of agreeing slots below which a pair is not verified."""
+    return least - DEVIATIONS * (least * (1 - least) / slots) ** 0.5
+
+
+def _hopeful(least: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                a = np.frombuffer(b"".join(batch["sa"]), "<u2").reshape(len(batch), -1)
+                b = np.frombuffer(b"".join(batch["sb"]), "<u2").reshape(len(batch), -1)
+                yield batch.loc[(a == b).mean(axis=1) >= hopeless(least), ["a", "b"]]
+
+    return run
+
+
+def _alike(held: pd.DataFrame, slots: np.ndarray, passing: pd.DataFrame, least: float) -> Iterator[pd.DataFrame]:
+    """Pairs of a held and a passing member of a bucket in different components that may be similar, each only
+    in the first band that both share."""
+    band, share = int(held["band"].iloc[0]), hopeless(least)
+    a, la = held["node"].to_numpy(), held["label"].to_numpy()
+    for start in range(0, len(passing), 64):
+        part = passing.iloc[start : start + 64]
+        b, lb = part["node"].to_numpy(), part["label"].to_numpy()
+        same = slots[:, None, :] == np.frombuffer(b"".join(part["signature"]), "<u2").reshape(len(part), -1)[None, :, :]
+        i, j = np.nonzero((same.mean(axis=2) >= share) & (la[:, None] != lb[None, :]))
+        if len(i):
+            bands = same[i, j, : BANDS * BAND_SLOTS].reshape(len(i), BANDS, BAND_SLOTS).all(axis=2)
+            first = ~bands[:, :band].any(axis=1)
+            low, high = np.minimum(a[i], b[j])[first], np.maximum(a[i], b[j])[first]
+            yield pd.DataFrame({"a": low, "b": high}).drop_duplicates()
+
+
+def _compared(least: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, kept, slots, held = None, [], None, None
+        for batch in batches:
+            runs = (batch[["bucket", "chunk", "role"]].diff().ne(0).any(axis=1)).cumsum()
+            for _, part in batch.groupby(runs, sort=False):
+                own = (part["bucket"].iloc[0], part["chunk"].iloc[0])
+                if own != key:
+                    key, kept, slots = own, [], None
+                if part["role"].iloc[0] == 0:
+                    kept.append(part)
+                    continue
+                if slots is None:
+                    held = pd.concat(kept)
+                    slots = np.frombuffer(b"".join(held["signature"]), "<u2").reshape(len(held), -1)
+                yield from _alike(held, slots, part, least)
+
+    return run
+
+
+def _remaining(labelled: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of a bucket's members in different components that may be similar, at least one of them
+    outside its largest component."""
+    counted = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    largest = counted.groupBy("bucket").agg(
+        F.max_by("label", "n").alias("main"), F.count("*").alias("k"), (F.sum("n") - F.max("n")).alias("outside")
+    )
+    several = labelled.join(largest.filter("k > 1"), "bucket").withColumn("chunks", F.ceil(F.col("outside") / HELD).cast("int"))
+    columns = ("bucket", "band", "node", "label", "chunk", "role")
+    outside = several.filter("label <> main").select(
+        "*", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), F.lit(0).alias("role")
+    )
+    passing = several.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"))
+    rows = outside.select(*columns).unionByName(passing.select(*columns)).join(nodes.select("node", "signature"), "node")
+    ordered = rows.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "role")
+    return ordered.mapInPandas(_compared(least), "a long, b long")
 
 
 def _verified(least: float):
@@ -204,11 +271,16 @@ def _verified(least: float):
     return run
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a: pivot, b) whose bags reach the similarity."""
+def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose signatures do not rule them out."""
     slim = nodes.select("node", "signature")
     signed = pairs.join(slim.toDF("a", "sa"), "a").join(slim.toDF("b", "sb"), "b")
-    hopeful = checkpointed(signed.select("a", "b", "sa", "sb").mapInPandas(_hopeful, "a long, b long"))
+    return signed.select("a", "b", "sa", "sb").mapInPandas(_hopeful(least), "a long, b long")
+
+
+def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """The pairs (a: pivot, b) whose bags reach the similarity."""
+    hopeful = checkpointed(pairs)
     sizes = hopeful.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     cut = hopeful.join(sizes, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), "chunks"))
     asked = cut.select("a", "chunk", "b", F.col("b").alias("node")).unionByName(
@@ -239,9 +311,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, rounds: int = RO
     signed = checkpointed(work.mapInArrow(_sign, f"doc_id {kind}, key binary, bands array<long>, signature binary"))
     nodes = signed.select("key", "bands", "signature").dropDuplicates(["key"])
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
-    placed = nodes.select("node", F.explode("bands").alias("bucket"))
+    placed = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    members = checkpointed(placed.join(shared, "bucket").select("bucket", "node"))
+    members = checkpointed(placed.join(shared, "bucket").select("bucket", "band", "node"))
 
     labels = None
     links = None
@@ -250,7 +322,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, rounds: int = RO
         if labels is not None:
             known = labels.select(F.col("node").alias("n__"), F.col("label").alias("l__"))
             labelled = members.join(known, members["node"] == known["n__"], "left").select(
-                "bucket", "node", F.coalesce("l__", "node").alias("label")
+                "bucket", "band", "node", F.coalesce("l__", "node").alias("label")
             )
         if turn < rounds:
             drawn = labelled.groupBy("bucket").agg(
@@ -263,15 +335,10 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, rounds: int = RO
             pairs = labelled.join(drawn, "bucket").filter("label <> pivot_label").select(
                 F.col("pivot").alias("a"), F.col("node").alias("b")
             )
+            pairs = _likely(pairs.distinct(), nodes, least)
         else:
-            counted = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-            largest = counted.groupBy("bucket").agg(F.max_by("label", "n").alias("main"), F.count("*").alias("k"))
-            several = labelled.join(largest.filter("k > 1"), "bucket")
-            rest = several.filter("label <> main").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"))
-            pairs = rest.join(several, "bucket").filter(
-                (F.col("la") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("a") < F.col("node")))
-            ).select("a", F.col("node").alias("b"))
-        found = _links(pairs.distinct(), nodes, docs, least)
+            pairs = _remaining(labelled, nodes, least)
+        found = _links(pairs, nodes, docs, least)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
     known = nodes.select("node", "key").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
