@@ -6,20 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from faultline.llm.bag_minhash import drop_near_duplicates
 from faultline.llm.common import checkpointed, table
 from faultline.llm.exact_dedup import drop_copies
 from faultline.llm.mixing import apply_mix
 from faultline.llm.packing import pack_documents
 from faultline.llm.queries import WORD_TOKENIZER
+from faultline.llm.toxicity import drop_toxic
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic, learnt from `labels`."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest doc_id stays."""
     return drop_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest doc_id stays."""
+    return drop_near_duplicates(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often, and the last as far, as the mix takes them."""
     return apply_mix(docs)
@@ -31,7 +43,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
     ("exact dedup", exact_copies),
+    ("near dedup", near_copies),
     ("mixing", mixing),
     ("packing", packing),
 ]

@@ -15,6 +15,7 @@ from faultline.llm.html_text import extract_pages
 from faultline.llm.mixing import mix
 from faultline.llm.packing import pack_documents
 from faultline.llm.pii import find_personal_data
+from faultline.llm.toxicity import score_toxicity
 
 #: Folder of the public tokenizers.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -45,8 +46,12 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_pii, op4_mixing, op6_packing, op7_bag_minhash, op8_html_text)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_pii, op4_mixing, op6_packing, op7_bag_minhash, op8_html_text, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
