@@ -15,6 +15,7 @@ from faultline.llm.html_text import extract_pages
 from faultline.llm.mixing import mix
 from faultline.llm.packing import pack_documents
 from faultline.llm.pii import find_personal_data
+from faultline.llm.quality import score_quality
 from faultline.llm.toxicity import score_toxicity
 
 #: Folder of the public tokenizers.
@@ -34,6 +35,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
@@ -51,7 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_pii, op4_mixing, op6_packing, op7_bag_minhash, op8_html_text, op10_toxicity)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_pii, op4_mixing, op5_quality, op6_packing, op7_bag_minhash, op8_html_text, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
