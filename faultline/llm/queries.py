@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from faultline.llm import oracles
 from faultline.llm.bag_minhash import near_duplicates
-from faultline.llm.common import table
+from faultline.llm.common import shared_folder, table
 from faultline.llm.exact_dedup import exact_dedup
 from faultline.llm.html_text import extract_pages
 from faultline.llm.mixing import mix
+from faultline.llm.neighbours import every_twentieth
 from faultline.llm.packing import pack_documents
 from faultline.llm.pii import find_personal_data
 from faultline.llm.quality import score_quality
+from faultline.llm.token_rollups import TokenRollups, corpus_history
 from faultline.llm.toxicity import score_toxicity
 
 #: Folder of the public tokenizers.
@@ -27,6 +30,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return every_twentieth(table(spark, sf_dir, "embeddings"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -51,12 +58,29 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rollups = TokenRollups(spark, f"{shared_folder(spark)}/rollups-{uuid.uuid4().hex}")
+    return corpus_history(table(spark, sf_dir, "documents"), WORD_TOKENIZER, rollups)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_pii, op4_mixing, op5_quality, op6_packing, op7_bag_minhash, op8_html_text, op10_toxicity)}
+    operators = (
+        op1_exact_dedup,
+        op2_neighbours,
+        op3_pii,
+        op4_mixing,
+        op5_quality,
+        op6_packing,
+        op7_bag_minhash,
+        op8_html_text,
+        op9_token_rollups,
+        op10_toxicity,
+    )
+    return {operator.__name__: operator for operator in operators}
 
 
 def oracle_sql() -> dict[str, str]:
