@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from faultline.llm.common import checkpointed, lower_ascii, text_of
+from faultline.llm.common import checkpointed, lower_ascii, one_of_each, text_of
 
 #: Counters of a Misra-Gries summary; also the bound on the rows that are broadcast.
 COUNTERS = 1023
@@ -89,17 +89,9 @@ def drop_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
     Texts travel only where whole rows repeat: there, one of the rows with the same doc_id and text is taken.
     """
-    digest = F.sha2(lower_ascii(text_of()).cast("binary"), 256)
     stay = exact_dedup(docs, counters).filter("kept").select(
-        F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha")
+        F.col("doc_id").alias("stay_id__"), F.col("text_sha256").alias("stay_sha__")
     )
-    repeated = checkpointed(
-        docs.select("doc_id", digest.alias("sha")).groupBy("doc_id", "sha").count().filter("count > 1").drop("count")
-    )
-    kept = docs.withColumn("sha__", digest).join(
-        stay, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("sha__") == F.col("stay_sha")), "left_semi"
-    )
-    same = kept["doc_id"].eqNullSafe(repeated["doc_id"]) & (kept["sha__"] == repeated["sha"])
-    once = kept.join(repeated, same, "left_anti")
-    first = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "sha__"])
-    return once.unionByName(first).drop("sha__")
+    same = F.col("doc_id").eqNullSafe(F.col("stay_id__")) & (F.col("sha__") == F.col("stay_sha__"))
+    marked = docs.withColumn("sha__", F.sha2(lower_ascii(text_of()).cast("binary"), 256))
+    return one_of_each(marked.join(stay, same, "left_semi"), docs, "sha__").drop("sha__")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from faultline.llm.common import checkpointed, text_of
+from faultline.llm.common import checkpointed, split_by_repeats, text_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 16
@@ -47,8 +47,8 @@ def apportion(
     total = F.sum(F.col(weight)).over(all_of)
     ranged = parties.withColumns(
         {
-            "high__": total / F.greatest(F.col(seats) - rows / 2, F.lit(0.5)),
-            "low__": total / (F.col(seats) + rows / 2 + 1),
+            "high__": F.greatest(total / F.greatest(F.col(seats) - rows / 2, F.lit(0.5)), F.lit(1e-9)),
+            "low__": F.greatest(total / (F.col(seats) + rows / 2 + 1), F.lit(1e-9)),
         }
     )
     counted = ranged.withColumns(
@@ -184,14 +184,24 @@ def mix(
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents with all of their columns: as many whole copies as were taken, then the first words of
     the text, white space between them included, for what was taken beyond. Documents not taken are gone."""
-    takes = mix(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("id__"), "size", "taken").distinct()
-    copies = F.array_repeat(F.lit(None).cast("int"), F.expr("cast(taken div size as int)"))
-    part = F.when(F.col("taken") % F.col("size") > 0, F.array((F.col("taken") % F.col("size")).cast("int")))
+    takes = mix(docs, **options).select(F.col("doc_id").alias("id__"), F.col("size").alias("size__"), "taken")
+    alike = Window.partitionBy("id__", "size__").orderBy("taken")
+    takes = takes.withColumn("turn__", F.row_number().over(alike)).filter("taken > 0")
+    copies = F.array_repeat(F.lit(None).cast("int"), F.expr("cast(taken div size__ as int)"))
+    part = F.when(F.col("taken") % F.col("size__") > 0, F.array((F.col("taken") % F.col("size__")).cast("int")))
     count = F.explode(F.concat(copies, F.coalesce(part, F.array().cast("array<int>"))))
+    takes = takes.select("id__", "size__", "turn__", count.alias("words__"))
+    # Rows that repeat an id are paired with their takes by size, in any order among equal sizes.
+    once, repeated = split_by_repeats(docs, docs)
+    repeated = repeated.withColumn("own_size__", F.regexp_count(text_of(), F.lit(WORD)).cast("long"))
+    own = Window.partitionBy("doc_id", "own_size__").orderBy("text")
+    repeated = repeated.withColumn("own_turn__", F.row_number().over(own))
+    same = F.col("doc_id").eqNullSafe(F.col("id__"))
+    rows = once.join(takes, same).drop("size__", "turn__").unionByName(
+        repeated.join(
+            takes, same & (F.col("own_size__") == F.col("size__")) & (F.col("own_turn__") == F.col("turn__"))
+        ).drop("size__", "turn__", "own_size__", "own_turn__")
+    )
     pattern = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("words__"), F.lit("}+"))
     shown = F.when(F.col("words__").isNull(), F.col("text")).otherwise(F.regexp_substr(F.col("text"), pattern))
-    return (
-        docs.join(takes.select("id__", count.alias("words__")), F.col("doc_id").eqNullSafe(F.col("id__")))
-        .withColumn("text", shown)
-        .drop("id__", "words__")
-    )
+    return rows.withColumn("text", shown).drop("id__", "words__")
