@@ -88,15 +88,11 @@ MILEAGE_LAST_BIN = 10
 TAXONOMY_RANKING = 12
 COMPARE_TOP_GROUPS = 8
 RECENT_REPORTS = 6
-CAMPAIGN_VEHICLES = 400
-COVERAGE_MODEL_ROWS = 60
 LATEST_ADVISORIES = 5
 HOME_MAKES = 12
 HOME_VEHICLES = 10
 HOME_GROUPS = 10
 LEADING_GROUPS = 5
-MATCH_COUNT_CAP = 5_000
-LARGEST_PAGE = 50
 
 # Thresholds.
 RARE_MAKE_BELOW = 10

@@ -7,6 +7,7 @@ literals; narratives are only ever touched by built-in column expressions.
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,15 +25,56 @@ from faultline.fixed_values import (
 from faultline.functions.text import collapse_ws
 
 LETTER = r"\p{L}\p{Nd}"
-WORD = rf"[{LETTER}]+"
+APOSTROPHE = "['\u2019]"
+# An apostrophe between letters belongs to the word.
+WORD = rf"[{LETTER}]+(?:{APOSTROPHE}[{LETTER}]+)*"
+POSSESSIVE = rf"{APOSTROPHE}s$"
 
 # Letters that lose their doubling when a suffix is gone: slipp(ed) -> slip.
 DOUBLED = tuple("bdfgmnprt")
 
+# Shorter words are left as they are by the steps that drop a final letter, so no stem is ever empty.
+SHORTEST_INFLECTED = 4
+
+
+def _accented() -> dict[str, str]:
+    """Latin letters with marks, by the letter below them."""
+    found = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and base.isascii() and all(unicodedata.combining(mark) for mark in marks):
+            found[chr(code)] = base
+    return found
+
+
+ACCENTED = _accented()
+MARKS = r"[\u0300-\u036F]"
+
+
+def fold_text(text: str) -> str:
+    """Lower case without accents, like `folded`."""
+    lowered = text.lower()
+    return re.sub("[\u0300-\u036f]", "", "".join(ACCENTED.get(letter, letter) for letter in lowered))
+
+
+def folded(text: Column) -> Column:
+    """Lower case without accents; plain texts are not translated."""
+    lowered = F.lower(text)
+    plain = F.translate(lowered, "".join(ACCENTED), "".join(ACCENTED.values()))
+    return F.when(lowered.rlike(r"[^\x00-\x7F]"), F.regexp_replace(plain, MARKS, "")).otherwise(lowered)
+
 
 def words(text: Column) -> Column:
-    """The lower-case words of a text, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    """The lower-case words of a text, in order, without accents and possessive endings."""
+    found = F.regexp_extract_all(folded(text), F.lit(WORD), F.lit(0))
+    return F.transform(found, lambda word: F.regexp_replace(word, POSSESSIVE, ""))
+
+
+def query_words(text: str) -> list[str]:
+    """The words of a search term, by the same rules."""
+    letter = r"[^\W_]"
+    found = re.findall(rf"{letter}+(?:{APOSTROPHE}{letter}+)*", fold_text(text))
+    return [re.sub(POSSESSIVE, "", word) for word in found]
 
 
 def _without(word: Column, count: int) -> Column:
@@ -41,7 +83,7 @@ def _without(word: Column, count: int) -> Column:
 
 def _singular(word: Column) -> Column:
     return (
-        F.when(~word.endswith("s") | word.rlike("(ss|us|is)$"), word)
+        F.when(~word.endswith("s") | word.rlike("(ss|us|is)$") | (F.length(word) < SHORTEST_INFLECTED), word)
         .when(word.endswith("ies"), F.concat(_without(word, 3), F.lit("y")))
         .when(word.endswith("sses"), _without(word, 2))
         .otherwise(_without(word, 1))
@@ -60,7 +102,8 @@ def _undoubled(word: Column) -> Column:
 
 
 def _without_final_e(word: Column) -> Column:
-    return F.when(word.endswith("e"), _without(word, 1)).otherwise(word)
+    inflected = word.endswith("e") & (F.length(word) >= SHORTEST_INFLECTED)
+    return F.when(inflected, _without(word, 1)).otherwise(word)
 
 
 # Applied in this order to lower-case words.
@@ -80,13 +123,13 @@ def stem_all(several: Column) -> Column:
 
 def stem_word(word: str) -> str:
     """The stem of one query word, by the same steps, so that it enters a plan as a literal."""
-    if word.endswith("s") and not word.endswith(("ss", "us", "is")):
+    if len(word) >= SHORTEST_INFLECTED and word.endswith("s") and not word.endswith(("ss", "us", "is")):
         ending = next(end for end in ("ies", "sses", "s") if word.endswith(end))
         word = word.removesuffix(ending) + {"ies": "y", "sses": "ss", "s": ""}[ending]
     word = re.sub("([aeiouy][a-z]*)(ing|ed)$", r"\1", word)
     if word[-2:] in [letter * 2 for letter in DOUBLED]:
         word = word[:-1]
-    return word.removesuffix("e")
+    return word.removesuffix("e") if len(word) >= SHORTEST_INFLECTED else word
 
 
 @dataclass(frozen=True)
@@ -104,9 +147,9 @@ def query_parts(term: str, stop_words: tuple[str, ...] = STOP_WORDS) -> QueryPar
     parts = QueryParts([], [], [], [])
 
     def meaningful(text: str) -> list[str]:
-        return [w for w in re.findall(r"[^\W_]+", text) if w not in stop_words]
+        return [w for w in query_words(text) if w not in stop_words]
 
-    for hyphen, phrase, plain in re.findall(r'(-?)"([^"]*)"|([^\s"]+)', term.lower()):
+    for hyphen, phrase, plain in re.findall(r'(-?)"([^"]*)"|([^\s"]+)', fold_text(term)):
         if plain:
             (parts.excluded_words if plain.startswith("-") else parts.words).extend(meaningful(plain))
         elif phrase and hyphen:
@@ -124,16 +167,21 @@ def contains_stem(text: Column, several: list[str]) -> Column:
     with such a prefix are extracted, in one pass, and only those few are stemmed and compared.
     """
     stems = [stem_word(word) for word in several]
-    # The literal leads and the look-behind follows, so most positions fail on their first letter.
-    starts = [f"{start}(?<![{LETTER}]{start})" for start in (s.removesuffix("y") for s in stems)]
-    pattern = f"(?:{'|'.join(starts)})[{LETTER}]*"
-    candidates = F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
-    return F.arrays_overlap(stem_all(F.array_distinct(candidates)), F.array(*map(F.lit, stems)))
+    # The literal leads and the look-behinds follow, so most positions fail on their first letter. A word begins
+    # neither after a letter nor after an apostrophe that follows one.
+    starts = [
+        rf"{start}(?<![{LETTER}]{start})(?<![{LETTER}]{APOSTROPHE}{start})"
+        for start in (re.escape(s.removesuffix("y") or s) for s in stems)
+    ]
+    pattern = rf"(?:{'|'.join(starts)})[{LETTER}]*(?:{APOSTROPHE}[{LETTER}]+)*"
+    candidates = F.regexp_extract_all(folded(text), F.lit(pattern), F.lit(0))
+    plain = F.transform(F.array_distinct(candidates), lambda word: F.regexp_replace(word, POSSESSIVE, ""))
+    return F.arrays_overlap(stem_all(plain), F.array(*map(F.lit, stems)))
 
 
 def phrase_conditions(text: Column, parts: QueryParts) -> list[Column]:
-    """Phrases are looked up in the text as they are written, without regard to case."""
-    lowered = F.lower(text)
+    """Phrases are looked up in the text as they are written, without regard to case and accents."""
+    lowered = folded(text)
     wanted = [F.contains(lowered, F.lit(phrase)) for phrase in parts.phrases]
     return wanted + [~F.contains(lowered, F.lit(phrase)) for phrase in parts.excluded_phrases]
 

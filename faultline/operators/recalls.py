@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.fixed_values import CAMPAIGN_VEHICLES, COVERAGE_MODEL_ROWS, LATEST_ADVISORIES
+from faultline.fixed_values import LATEST_ADVISORIES
 from faultline.functions.text import key_make, key_model
 
 CAMPAIGN_TEXT = (
@@ -64,25 +64,34 @@ def campaign_detail(
     )
 
 
-def campaign_vehicles(recalls: DataFrame, limit: int = CAMPAIGN_VEHICLES) -> DataFrame:
-    """The vehicles of every campaign by make, model and year (newest first), up to `limit` each."""
+def campaign_vehicles(recalls: DataFrame, limit: int | None = None) -> DataFrame:
+    """The vehicles of every campaign by make, model and year (newest first), the first `limit` if given.
+
+    A vehicle's place is the number of vehicles of earlier models, counted over sums, and its place within its
+    model, so a campaign that covers very many vehicles is not ranked in one task.
+    """
     named = recalls.select("campaign_number", "vehicle_key", "make", "model", "model_year").distinct()
     distinct = named.groupBy("campaign_number", "vehicle_key").agg(
         F.min("make").alias("make"),
         F.min("model").alias("model"),
         F.min("model_year").alias("model_year"),
     )
-    order = Window.partitionBy("campaign_number").orderBy(
-        "make", "model", F.desc("model_year"), "vehicle_key"
+    by_model = ("campaign_number", "make", "model")
+    earlier = Window.partitionBy("campaign_number").orderBy("make", "model").rowsBetween(Window.unboundedPreceding, -1)
+    models = distinct.groupBy(*by_model).agg(F.count("*").alias("vehicles")).select(
+        *[F.col(c).alias(f"_{c}") for c in by_model],
+        F.coalesce(F.sum("vehicles").over(earlier), F.lit(0)).alias("before"),
     )
-    return (
-        distinct.withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= limit)
-        .select(
-            "campaign_number", "position", "make", "model", "model_year", "vehicle_key",
-            key_make(F.col("vehicle_key")).alias("make_slug"),
-            key_model(F.col("vehicle_key")).alias("model_slug"),
-        )
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by_model]
+    within = Window.partitionBy(*by_model).orderBy(F.desc("model_year"), "vehicle_key")
+    placed = distinct.withColumn("place", F.row_number().over(within)).join(models, same)
+    listed = placed.withColumn("position", (F.col("before") + F.col("place")).cast("int"))
+    if limit is not None:
+        listed = listed.filter(F.col("position") <= limit)
+    return listed.select(
+        "campaign_number", "position", "make", "model", "model_year", "vehicle_key",
+        key_make(F.col("vehicle_key")).alias("make_slug"),
+        key_model(F.col("vehicle_key")).alias("model_slug"),
     )
 
 
@@ -215,22 +224,24 @@ def advisory_label(do_not_drive: Column, park_outside: Column) -> Column:
     )
 
 
-def recall_coverage(listed: DataFrame, model_rows: int = COVERAGE_MODEL_ROWS) -> DataFrame:
-    """Listed vehicles of a campaign, kept while their model is among its first `model_rows` models.
+def recall_coverage(listed: DataFrame, model_rows: int | None = None) -> DataFrame:
+    """Listed vehicles of a campaign with the place of their model, the first `model_rows` models if given.
 
-    Takes the output of `campaign_vehicles`, so a campaign holds at most its listing limit here.
+    Takes the output of `campaign_vehicles`. Models are numbered over their distinct rows, years within a model.
     """
-    models = Window.partitionBy("campaign_number").orderBy("make", "model")
-    years = Window.partitionBy("campaign_number", "make", "model").orderBy(
-        F.desc("model_year"), "vehicle_key"
+    by_model = ("campaign_number", "make", "model")
+    in_campaign = Window.partitionBy("campaign_number").orderBy("make", "model")
+    models = listed.groupBy(*by_model).agg(F.count("*").alias("vehicles")).select(
+        *[F.col(c).alias(f"_{c}") for c in by_model], F.row_number().over(in_campaign).alias("model_row")
     )
+    if model_rows is not None:
+        models = models.filter(F.col("model_row") <= model_rows)
+    years = Window.partitionBy(*by_model).orderBy(F.desc("model_year"), "vehicle_key")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by_model]
     return (
-        listed.withColumn("model_row", F.dense_rank().over(models))
-        .filter(F.col("model_row") <= model_rows)
-        .select(
-            "campaign_number", "model_row", "make", "model",
-            F.row_number().over(years).alias("year_position"), "model_year", "vehicle_key",
-        )
+        listed.withColumn("year_position", F.row_number().over(years))
+        .join(models, same)
+        .select("campaign_number", "model_row", "make", "model", "year_position", "model_year", "vehicle_key")
     )
 
 

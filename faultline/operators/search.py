@@ -1,4 +1,4 @@
-"""Filtered full-text search over narratives: scan, inverted index, pages and capped counts."""
+"""Filtered full-text search over narratives: scan, inverted index, pages and counts."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.fixed_values import LARGEST_PAGE, MATCH_COUNT_CAP, STOP_WORDS
+from faultline.fixed_values import STOP_WORDS
 from faultline.functions.narrative import (
     outcome_labels,
     phrase_conditions,
@@ -55,7 +55,7 @@ class SearchRequest:
 
     @property
     def size(self) -> int:
-        return min(max(self.page_size, 1), LARGEST_PAGE)
+        return max(self.page_size, 1)
 
 
 def filters(request: SearchRequest) -> list[Column]:
@@ -129,7 +129,7 @@ def search_index(
 
     def postings(asked: list[str]) -> DataFrame:
         stems = [stem_word(word) for word in asked]
-        return index.filter(F.col("stem").isin(stems)).select(key).distinct()
+        return index.filter(F.col("stem").isin(stems)).select(key)
 
     matched = _all_of(reports, filters(request)).join(postings(parts.words), key, "left_semi")
     if parts.excluded_words:
@@ -157,45 +157,40 @@ def search_hits(page: DataFrame, term: str | None) -> DataFrame:
     )
 
 
-def capped_count(matched: DataFrame, cap: int = MATCH_COUNT_CAP) -> DataFrame:
-    """Number of matches up to `cap`, and whether it is exact. Only counts are shuffled."""
-    counted = matched.agg(F.count("*").alias("found"))
+def match_count(matched: DataFrame) -> DataFrame:
+    """Number of matches. Only counts are shuffled."""
+    return matched.agg(F.count("*").alias("match_count"))
+
+
+def capped_count(matched: DataFrame, cap: int | None = None) -> DataFrame:
+    """Number of matches and whether it is exact, which it is unless the caller names a `cap` that it reaches."""
+    counted = match_count(matched)
+    if cap is None:
+        return counted.select("match_count", F.lit(True).alias("is_exact"))
     return counted.select(
-        F.least("found", F.lit(cap).cast("bigint")).alias("match_count"),
-        (F.col("found") < cap).alias("is_exact"),
+        F.least("match_count", F.lit(cap).cast("bigint")).alias("match_count"),
+        (F.col("match_count") < cap).alias("is_exact"),
     )
 
 
-def capped_count_now(matched: DataFrame, cap: int = MATCH_COUNT_CAP) -> tuple[int, bool]:
+def capped_count_now(matched: DataFrame, cap: int) -> tuple[int, bool]:
     """The same as values, reading a growing number of partitions only until `cap` is reached."""
     found = len(matched.select(F.lit(1)).take(cap))
     return found, found < cap
 
 
-def page_metadata(
-    matched: DataFrame, request: SearchRequest, cap: int = MATCH_COUNT_CAP
-) -> DataFrame:
+def page_metadata(matched: DataFrame, request: SearchRequest) -> DataFrame:
     """Count and paging of a search in one row."""
-    counted = capped_count(matched, cap)
-    remaining = F.col("match_count") - request.offset
-    # Up to the cap the count tells how full this page is; beyond it the page is read to know.
-    on_page = matched.select(F.lit(1)).offset(request.offset).limit(request.size)
-    hits = (
-        F.least(F.greatest(remaining, F.lit(0)), F.lit(request.size))
-        if request.offset + request.size < cap
-        else on_page.agg(F.count("*")).scalar()
-    )
     last = F.greatest(F.ceil(F.col("match_count") / request.size), F.lit(1))
-    return counted.select(
-        "match_count", "is_exact",
+    return match_count(matched).select(
+        "match_count",
+        F.lit(True).alias("is_exact"),
         F.lit(request.mode).alias("mode"),
         F.lit(max(request.page, 1)).alias("page"),
         F.lit(request.size).alias("page_size"),
         last.cast("int").alias("last_page"),
         F.lit(request.page > 1).alias("has_previous"),
-        ((hits == request.size) & (~F.col("is_exact") | (F.lit(max(request.page, 1)) < last))).alias(
-            "has_next"
-        ),
+        (F.lit(max(request.page, 1)) < last).alias("has_next"),
     )
 
 

@@ -68,7 +68,7 @@ FROM (SELECT campaign_number, vehicle_key, min(make) AS make, min(model) AS mode
 """
 
 
-@check(f"SELECT * FROM ({_CAMPAIGN_VEHICLES}) WHERE position <= 400", RECALLS)
+@check(_CAMPAIGN_VEHICLES, RECALLS)
 def campaign_vehicles(spark, sf_dir):
     return ops.campaign_vehicles(views.recalls(spark, sf_dir))
 
@@ -81,8 +81,7 @@ SELECT campaign_number, model_row, make, model,
        model_year, vehicle_key
 FROM (SELECT *, CAST(dense_rank() OVER (PARTITION BY campaign_number ORDER BY make, model) AS INT)
                     AS model_row
-      FROM ({_CAMPAIGN_VEHICLES}) WHERE position <= 400)
-WHERE model_row <= 60
+      FROM ({_CAMPAIGN_VEHICLES}))
 """,
     RECALLS,
 )
@@ -182,9 +181,7 @@ def recall_fold(spark, sf_dir):
     f"""
 SELECT campaign_number, count(DISTINCT make) AS makes, count(DISTINCT (make, model)) AS models,
        count(*) AS years
-FROM (SELECT *, dense_rank() OVER (PARTITION BY campaign_number ORDER BY make, model) AS model_row
-      FROM ({_CAMPAIGN_VEHICLES}) WHERE position <= 400)
-WHERE model_row <= 60 GROUP BY campaign_number
+FROM ({_CAMPAIGN_VEHICLES}) GROUP BY campaign_number
 """,
     RECALLS,
 )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from faultline.functions.text import vehicle_key
 from faultline.operators.records import with_make, with_model
 from faultline.sources.dimensions import alias_dimension, group_dimension
-from faultline.sources.tables import read_table, spread
+from faultline.sources.tables import read_table
 
 # Lookup tables for the stand-in data. Aliases include a chain and a self reference.
 ALIASES = {"brand#7": "Brand#17", "Brand#8": "BRAND#7", "Brand#9": "Brand#9"}
@@ -50,14 +50,10 @@ MODEL_YEAR = "CASE WHEN o_orderstatus <> 'P' THEN CAST(year(o_orderdate) AS INT)
 # A view is a plan, not data: each is built once per session and folder and shared by the queries.
 view = lru_cache(maxsize=64)
 
-# Large tables and the key that spreads them when their file has too few splits.
-SPREAD_BY = {"lineitem": ("l_orderkey", "l_linenumber"), "documents": ("doc_id",)}
-
 
 @view
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(rows, *SPREAD_BY[name]) if name in SPREAD_BY else rows
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 @view

@@ -1,8 +1,7 @@
 """Lookup tables: make spellings and component groups.
 
-Both are curated lists that a person edits, so they are read as a dictionary with a checked size. As
-Spark frames they carry their real size, which lets Catalyst broadcast them on its own and fall back
-to a shuffled join should someone supply a large one.
+Both are curated lists that a person edits, so a file is read whole, as a dictionary. As Spark frames they carry
+their real size, which lets Catalyst broadcast them on its own and shuffle them should someone supply a large one.
 """
 
 from __future__ import annotations
@@ -16,13 +15,9 @@ from pyspark.sql import functions as F
 
 from faultline.functions.text import collapse_ws, display_name, slug
 
-LARGEST_DIMENSION = 10_000
-
-
 def read_mapping(spark: SparkSession, path: str) -> dict[str, str]:
-    """A JSON object of strings, from any file system Spark can read."""
-    lines = spark.read.text(path).limit(LARGEST_DIMENSION * 2 + 1).collect()
-    mapping = json.loads("\n".join(line.value for line in lines))
+    """A JSON object of strings in one file, from any file system Spark can read."""
+    mapping = json.loads(spark.read.text(path, wholetext=True).first().value)
     if not isinstance(mapping, dict):
         raise ValueError(f"{path} is not a JSON object")
     return {str(key): str(value) for key, value in mapping.items()}
@@ -30,8 +25,6 @@ def read_mapping(spark: SparkSession, path: str) -> dict[str, str]:
 
 def _cleaned(mapping: Mapping[str, str], collapse: bool) -> dict[str, str]:
     """Trimmed entries by upper-case key, the last one winning; incomplete entries are dropped."""
-    if len(mapping) > LARGEST_DIMENSION:
-        raise ValueError(f"a lookup table holds at most {LARGEST_DIMENSION} entries")
 
     def tidy(text: str) -> str:
         return " ".join(text.split()).upper() if collapse else text.strip()

@@ -7,13 +7,3 @@ from pyspark.sql import DataFrame, SparkSession
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
-
-
-def spread(table: DataFrame, *keys: str) -> DataFrame:
-    """Rows of a small file over all cores; a table with enough splits is left as it is.
-
-    One file with one row group is read by one task, and with broadcast joins everything up to the
-    first aggregation would stay there. A large table has more splits than cores and is not shuffled.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, *keys)
