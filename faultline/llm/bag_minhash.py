@@ -6,9 +6,9 @@ the count covers only in part is placed by its own bits and counts if it lies be
 the signature, which keeps its earliest point, so two slots agree with the probability of the weighted Jaccard
 similarity. All points of a shingle follow from its hash, so documents that share it share them.
 
-Bands of slots give buckets. Of each bucket a member drawn by a hash is compared with all others, and components
-are formed; buckets that still hold several components draw anew, and at last the members outside a bucket's
-largest component are compared with all of other components. Signatures rule out hopeless pairs, the rest is verified
+Bands of slots give buckets. A few members of each bucket, drawn by a hash, are compared with all others, and
+components are formed; then the members outside the largest component of a bucket are compared with all members of
+other components. Signatures rule out hopeless pairs, the rest is verified
 on whole bags. Rows are (bucket, node) pairs, bags pass in a stream sorted by pivot, so no group is gathered.
 """
 
@@ -23,19 +23,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import checkpointed, text_of
+from faultline.llm.common import checkpointed, forget, one_of_each, stored, text_of
 from faultline.llm.components import components
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_SLOTS = 30, 6
-#: Slots of a signature; the bands use the first of them.
+#: Slots of a signature; the bands use the first of them. A byte of each slot is kept to compare pairs.
 SLOTS = 240
 #: Standard deviations of the share of agreeing slots by which it may fall short of the least similarity; a pair
 #: that falls shorter is not verified.
 DEVIATIONS = 4
-#: Rounds of drawn pivots before the remaining members are compared.
-ROUNDS = 2
+#: Pivots drawn from a bucket before the remaining members are compared.
+PIVOTS = 2
 #: Members compared with one copy of a pivot's text.
 CHUNK = 256
 #: Members outside the largest component of a bucket that are held at once while all its members pass by.
@@ -172,7 +172,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(start, 512)
             bags = [shingle_bag(text.split(" ") if text else [], hashes) for text in part.column(2).to_pylist()]
             found = signatures(bags)
-            short = (mixed(found.view(np.uint64)) & np.uint64(0xFFFF)).astype("<u2")
+            short = (mixed(found.view(np.uint64)) & np.uint64(0xFF)).astype("u1")
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
@@ -193,8 +193,8 @@ def _hopeful(least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                a = np.frombuffer(b"".join(batch["sa"]), "<u2").reshape(len(batch), -1)
-                b = np.frombuffer(b"".join(batch["sb"]), "<u2").reshape(len(batch), -1)
+                a = np.frombuffer(b"".join(batch["sa"]), "u1").reshape(len(batch), -1)
+                b = np.frombuffer(b"".join(batch["sb"]), "u1").reshape(len(batch), -1)
                 yield batch.loc[(a == b).mean(axis=1) >= hopeless(least), ["a", "b"]]
 
     return run
@@ -204,17 +204,15 @@ def _alike(held: pd.DataFrame, slots: np.ndarray, passing: pd.DataFrame, least:
     """Pairs of a held and a passing member of a bucket in different components that may be similar, each only
     in the first band that both share."""
     band, share = int(held["band"].iloc[0]), hopeless(least)
-    a, la = held["node"].to_numpy(), held["label"].to_numpy()
+    a, la, bands = held["node"].to_numpy(), held["label"].to_numpy(), np.stack(held["bands"].tolist())
     for start in range(0, len(passing), 64):
         part = passing.iloc[start : start + 64]
         b, lb = part["node"].to_numpy(), part["label"].to_numpy()
-        same = slots[:, None, :] == np.frombuffer(b"".join(part["signature"]), "<u2").reshape(len(part), -1)[None, :, :]
+        same = slots[:, None, :] == np.frombuffer(b"".join(part["signature"]), "u1").reshape(len(part), -1)[None, :, :]
         i, j = np.nonzero((same.mean(axis=2) >= share) & (la[:, None] != lb[None, :]))
         if len(i):
-            bands = same[i, j, : BANDS * BAND_SLOTS].reshape(len(i), BANDS, BAND_SLOTS).all(axis=2)
-            first = ~bands[:, :band].any(axis=1)
-            low, high = np.minimum(a[i], b[j])[first], np.maximum(a[i], b[j])[first]
-            yield pd.DataFrame({"a": low, "b": high}).drop_duplicates()
+            first = ~(bands[i, :band] == np.stack(part["bands"].tolist())[j, :band]).any(axis=1)
+            yield pd.DataFrame({"a": a[i][first], "b": b[j][first]})
 
 
 def _compared(least: float):
@@ -231,7 +229,7 @@ def _compared(least: float):
                     continue
                 if slots is None:
                     held = pd.concat(kept)
-                    slots = np.frombuffer(b"".join(held["signature"]), "<u2").reshape(len(held), -1)
+                    slots = np.frombuffer(b"".join(held["signature"]), "u1").reshape(len(held), -1)
                 yield from _alike(held, slots, part, least)
 
     return run
@@ -250,7 +248,7 @@ def _remaining(labelled: DataFrame, nodes: DataFrame, least: float) -> DataFrame
         "*", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), F.lit(0).alias("role")
     )
     passing = several.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"))
-    rows = outside.select(*columns).unionByName(passing.select(*columns)).join(nodes.select("node", "signature"), "node")
+    rows = outside.select(*columns).unionByName(passing.select(*columns)).join(nodes.select("node", "signature", "bands"), "node")
     ordered = rows.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "role")
     return ordered.mapInPandas(_compared(least), "a long, b long")
 
@@ -278,23 +276,26 @@ def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return signed.select("a", "b", "sa", "sb").mapInPandas(_hopeful(least), "a long, b long")
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a: pivot, b) whose bags reach the similarity."""
+def _links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a: pivot, b) whose bags reach the similarity; texts: node, text."""
     hopeful = checkpointed(pairs)
     sizes = hopeful.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     cut = hopeful.join(sizes, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), "chunks"))
     asked = cut.select("a", "chunk", "b", F.col("b").alias("node")).unionByName(
         cut.select("a", "chunk").distinct().select("a", "chunk", F.lit(-1).cast("long").alias("b"), F.col("a").alias("node"))
     )
-    keys = asked.join(nodes.select("node", "key"), "node").drop("node")
-    normal = docs.select(_normal().alias("text"), F.unhex(F.md5(_normal().cast("binary"))).alias("key"))
-    texts = normal.join(keys.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    sent = keys.join(texts, "key").select("a", "chunk", "b", "text")
+    sent = asked.join(texts, "node").select("a", "chunk", "b", "text")
     ordered = sent.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "b").select("a", "b", "text")
     return checkpointed(ordered.mapInPandas(_verified(least), "a long, b long, similarity double"))
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def _drawn(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs of a member of each bucket, drawn by a hash, and each other member."""
+    pivots = members.groupBy("bucket").agg(F.min_by("node", F.xxhash64("bucket", "node", F.lit(turn))).alias("a"))
+    return members.join(pivots, "bucket").filter("node <> a").select("a", F.col("node").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
     """One row per row of `docs` (doc_id, text; other columns are not read): its class of near duplicates.
 
     Words are lower-cased and end at ASCII white space. Texts with the same words are copies and share a class,
@@ -303,64 +304,51 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, rounds: int = RO
     least `least`. A null text counts as empty; an empty table gives no rows.
 
     Columns: doc_id, class_id (smallest doc_id of the class, null if it has none), class_size, text_key (hex,
-    equal for copies).
+    equal for copies), class_key (smallest text_key of the class).
     """
-    work = docs.select("doc_id", _normal().alias("text"))
-    work = work.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
+    spark = docs.sparkSession
+    normal = docs.select("doc_id", _normal().alias("text"))
+    normal = normal.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
     kind = dict(docs.dtypes)["doc_id"]
-    signed = checkpointed(work.mapInArrow(_sign, f"doc_id {kind}, key binary, bands array<long>, signature binary"))
-    nodes = signed.select("key", "bands", "signature").dropDuplicates(["key"])
+    signed = normal.mapInArrow(_sign, f"doc_id {kind}, key binary, bands array<long>, signature binary")
+    nodes = signed.groupBy("key").agg(
+        F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("signature").alias("signature")
+    )
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
     placed = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    members = checkpointed(placed.join(shared, "bucket").select("bucket", "band", "node"))
-
-    labels = None
-    links = None
-    for turn in range(rounds + 1):
-        labelled = members.withColumn("label", F.col("node"))
-        if labels is not None:
-            known = labels.select(F.col("node").alias("n__"), F.col("label").alias("l__"))
-            labelled = members.join(known, members["node"] == known["n__"], "left").select(
-                "bucket", "band", "node", F.coalesce("l__", "node").alias("label")
-            )
-        if turn < rounds:
-            drawn = labelled.groupBy("bucket").agg(
-                F.min("label").alias("first"),
-                F.max("label").alias("last"),
-                F.min_by("node", F.xxhash64("bucket", "node", F.lit(turn))).alias("pivot"),
-                F.min_by("label", F.xxhash64("bucket", "node", F.lit(turn))).alias("pivot_label"),
-            )
-            drawn = drawn.filter("first < last").select("bucket", "pivot", "pivot_label")
-            pairs = labelled.join(drawn, "bucket").filter("label <> pivot_label").select(
-                F.col("pivot").alias("a"), F.col("node").alias("b")
-            )
-            pairs = _likely(pairs.distinct(), nodes, least)
-        else:
-            pairs = _remaining(labelled, nodes, least)
-        found = _links(pairs, nodes, docs, least)
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+    members, at = stored(placed.join(shared, "bucket").select("bucket", "band", "node"))
+    # Texts are moved to their nodes once, one row of each class of copies; later joins move only these.
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("key", "first_id", "node")
+    theirs = (normal["key"] == wanted["key"]) & normal["doc_id"].eqNullSafe(wanted["first_id"])
+    texts, text_at = stored(normal.join(wanted, theirs).select("node", "text"))
+
+    drawn = _drawn(members, 0)
+    for turn in range(1, pivots):
+        drawn = drawn.unionByName(_drawn(members, turn))
+    links = _links(_likely(drawn.distinct(), nodes, least), texts, least)
+    labels = components(links)
+    known = labels.select(F.col("node").alias("n__"), F.col("label").alias("l__"))
+    labelled = members.join(known, members["node"] == known["n__"], "left").select(
+        "bucket", "band", "node", F.coalesce("l__", "node").alias("label")
+    )
+    links = links.unionByName(_links(_remaining(labelled, nodes, least), texts, least))
+    labels = components(links)
+    forget(spark, at)
+    forget(spark, text_at)
     known = nodes.select("node", "key").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
-    by_row = signed.select("doc_id", "key").join(known, "key")
-    classes = by_row.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return by_row.join(classes, "label").select("doc_id", "class_id", "class_size", F.lower(F.hex("key")).alias("text_key"))
+    by_row = normal.select("doc_id", F.lower(F.hex("key")).alias("text_key"), "key").join(known, "key")
+    classes = by_row.groupBy("label").agg(
+        F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min("text_key").alias("class_key")
+    )
+    return by_row.join(classes, "label").select("doc_id", "class_id", "class_size", "text_key", "class_key")
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows of `docs` that stay, with all of their columns: of each class the one with the smallest doc_id (if
     rows repeat it, one of them with the smallest text key)."""
-    found = near_duplicates(docs, least)
-    stay = (
-        found.filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-        .groupBy("class_id", "class_size", F.when(F.col("class_id").isNull(), F.col("text_key")).alias("lone"))
-        .agg(F.min("text_key").alias("stay_key"))
-        .select(F.col("class_id").alias("stay_id"), "stay_key")
-    )
+    found = near_duplicates(docs, least).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    stay = found.groupBy("class_key").agg(F.min("class_id").alias("stay_id__"), F.min("text_key").alias("stay_key__"))
     normal = docs.withColumn("key__", F.md5(_normal().cast("binary")))
-    kept = normal.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("key__") == F.col("stay_key")), "left_semi")
-    twice = docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("twice_id"))
-    repeated = F.col("doc_id").eqNullSafe(F.col("twice_id"))
-    once = kept.join(twice, repeated, "left_anti")
-    first = kept.join(twice, repeated, "left_semi").dropDuplicates(["doc_id", "key__"])
-    return once.unionByName(first).drop("key__")
+    same = F.col("doc_id").eqNullSafe(F.col("stay_id__")) & (F.col("key__") == F.col("stay_key__"))
+    return one_of_each(normal.join(stay, same, "left_semi"), docs, "key__").drop("key__")
