@@ -52,20 +52,22 @@ def overview(
             F.max("model_year").alias("latest"),
         )
     ).scalar()
+    counted = reports.agg(
+        F.struct(F.count("*").alias("complaints"), F.count_distinct("make").alias("makes"))
+    ).scalar()
     return (
         spark.range(1)
         .select(
-            reports.agg(F.count("*")).scalar().alias("complaints"),
+            counted.alias("counted"),
             recalls.agg(F.count("*")).scalar().alias("recalls"),
             vehicles.agg(F.count("*")).scalar().alias("vehicles"),
             catalogued.alias("catalogued"),
-            reports.agg(F.count_distinct("make")).scalar().alias("canonical_makes"),
         )
         .select(
-            "complaints", "recalls", "vehicles",
+            F.col("counted.complaints").alias("complaints"), "recalls", "vehicles",
             F.col("catalogued.complaints").alias("complaints_in_catalogue"),
             F.col("catalogued.makes").alias("makes"),
-            "canonical_makes",
+            F.col("counted.makes").alias("canonical_makes"),
             F.col("catalogued.with_mileage").alias("complaints_with_mileage"),
             F.col("catalogued.earliest").alias("earliest_model_year"),
             F.col("catalogued.latest").alias("latest_model_year"),

@@ -24,12 +24,18 @@ from faultline.sources.flat import FlatLines
 def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The row of every key that is last in `order`.
 
-    An aggregate rather than a window: duplicates of a hot key shrink to one row per task before the
-    shuffle.
+    Keys that occur more than once are found by a narrow count; rows of other keys pass as they are, so only
+    repeated ones are compared. Among these an aggregate, not a window: duplicates of a hot key shrink to one row
+    per task before the shuffle.
     """
     rest = [name for name in rows.columns if name not in keys]
+    repeated = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(
+        *[F.col(key).alias(f"_twice_{key}") for key in keys]
+    )
+    same = [F.col(key).eqNullSafe(F.col(f"_twice_{key}")) for key in keys]
     newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("newest")
-    return rows.groupBy(*keys).agg(newest).select(*keys, "newest.*").select(*rows.columns)
+    compared = rows.join(repeated, same, "left_semi").groupBy(*keys).agg(newest).select(*keys, "newest.*")
+    return rows.join(repeated, same, "left_anti").unionByName(compared.select(*rows.columns))
 
 
 def upsert(
