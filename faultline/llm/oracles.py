@@ -15,3 +15,92 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
        row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
 FROM digests
 """
+
+SQL["op4_mixing"] = r"""
+WITH sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+           ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '~')), 1, 8))::BIGINT AS place
+    FROM documents
+),
+summed AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+numbered AS (
+    SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS source_no,
+           (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS weight
+    FROM summed
+),
+levelled AS (
+    SELECT *, ((sum(source_size) OVER ())::BIGINT - coalesce(3 * sum(source_size) OVER before, 0)::BIGINT)
+              / ((sum(weight) OVER ())::BIGINT - coalesce(sum(weight) OVER before, 0)::BIGINT) AS level
+    FROM numbered
+    WINDOW before AS (ORDER BY source_size / weight, source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+held AS (
+    SELECT *, first_value(CASE WHEN level * weight <= 3 * source_size THEN level END IGNORE NULLS)
+              OVER (ORDER BY source_size / weight, source_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS water
+    FROM levelled
+),
+targets AS (
+    SELECT source, source_no, source_size, coalesce(water * weight, 3.0 * source_size)::DOUBLE AS target,
+           ceil(source_size / 16)::BIGINT AS blocks,
+           least(4096, greatest(1, ceil(source_size / 65536)))::BIGINT AS shards,
+           round((sum(source_size) OVER ())::BIGINT / 16)::BIGINT AS seats
+    FROM held
+),
+source_seats AS (
+    SELECT source_no, seats, row_number() OVER (ORDER BY target / (2 * seat - 1) DESC, source_no) AS place
+    FROM (SELECT *, unnest(range(1, 3 * blocks + 1)) AS seat FROM targets)
+),
+quotas AS (
+    SELECT t.*, count(s.source_no) AS quota
+    FROM targets t LEFT JOIN source_seats s ON s.source_no = t.source_no AND s.place <= s.seats GROUP BY ALL
+),
+placed AS (
+    SELECT d.*, q.source_no, q.source_size, q.target, d.place % q.shards AS shard
+    FROM sized d JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source
+),
+sharded AS (
+    SELECT source_no, shard, sum(size)::BIGINT AS words FROM placed GROUP BY source_no, shard
+),
+lined AS (
+    SELECT s.*, coalesce(sum(words) OVER (PARTITION BY source_no ORDER BY shard
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+           q.quota // greatest(q.blocks, 1) AS rounds, q.quota - q.quota // greatest(q.blocks, 1) * q.blocks AS extra_all
+    FROM sharded s JOIN quotas q USING (source_no)
+),
+blocked AS (
+    SELECT *, ceil(start / 16)::BIGINT AS first, ceil((start + words) / 16)::BIGINT - ceil(start / 16)::BIGINT AS own
+    FROM lined
+),
+shard_seats AS (
+    SELECT source_no, shard, extra_all,
+           row_number() OVER (PARTITION BY source_no ORDER BY own / (2 * seat - 1) DESC, shard) AS place
+    FROM (SELECT *, unnest(range(1, own + 1)) AS seat FROM blocked)
+),
+chosen AS (
+    SELECT b.*, count(s.shard) AS extra, CASE WHEN own % 1000003 = 0 THEN 1000033 ELSE 1000003 END AS stride,
+           ('0x' || substr(md5('mix|' || b.source_no || '|' || b.shard), 1, 8))::BIGINT AS turn
+    FROM blocked b
+    LEFT JOIN shard_seats s ON s.source_no = b.source_no AND s.shard = b.shard AND s.place <= s.extra_all GROUP BY ALL
+),
+selected AS (
+    SELECT c.source_no, b.block, c.rounds + (((b.block - c.first) * c.stride + c.turn) % c.own < c.extra)::BIGINT AS copies
+    FROM chosen c, unnest(range(c.first, c.first + c.own)) AS b(block)
+),
+laid AS (
+    SELECT p.*, c.start + coalesce(sum(size) OVER (PARTITION BY p.source_no, p.shard ORDER BY p.place, doc_id NULLS FIRST, size
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS low
+    FROM placed p JOIN chosen c ON c.source_no = p.source_no AND c.shard = p.shard
+),
+cut AS (
+    SELECT *, unnest(range(low // 16, CASE WHEN size > 0 THEN (low + size - 1) // 16 + 1 ELSE low // 16 END)) AS block
+    FROM laid
+),
+taken AS (
+    SELECT cut.doc_id, cut.source_no, cut.low, cut.size,
+           sum((least(low + size, (cut.block + 1) * 16) - greatest(low, cut.block * 16)) * copies)::BIGINT AS taken
+    FROM cut JOIN selected s ON s.source_no = cut.source_no AND s.block = cut.block GROUP BY ALL
+)
+SELECT l.doc_id, l.size, l.source_size, l.target, coalesce(t.taken, 0) AS taken
+FROM laid l
+LEFT JOIN taken t ON t.doc_id IS NOT DISTINCT FROM l.doc_id AND t.source_no = l.source_no AND t.low = l.low AND t.size = l.size
+"""

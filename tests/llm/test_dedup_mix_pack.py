@@ -71,9 +71,10 @@ def test_drop_copies_keeps_columns_and_one_of_repeated_rows(spark):
 
 
 @needs_data
-def test_exact_dedup_equals_its_sql(spark):
-    found = queries.op1_exact_dedup(spark, SF)
-    expected = oracle_rows(queries.oracle_sql()["op1_exact_dedup"], found.columns)
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_rows_equal_the_sql(spark, name):
+    found = queries.queries()[name](spark, SF)
+    expected = oracle_rows(queries.oracle_sql()[name], found.columns)
     assert sorted(repr(list(r)) for r in found.collect()) == expected
 
 
