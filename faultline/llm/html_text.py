@@ -39,7 +39,7 @@ TELLING = frozenset(
     "consent gdpr notice notices newsletter subscribe subscription signup login sidebar sidebars menu menus nav navbar "
     "navigation topnav breadcrumb breadcrumbs pagination pager footer foot header masthead share sharing social related "
     "recommended recommendations comment comments commentlist respond reply replies discussion disqus popup modal overlay "
-    "toolbar widget widgets skip hidden copyright legal disclaimer tags".split()
+    "toolbar widget widgets skip hidden copyright legal disclaimer tags alert alerts notification notifications optin paywall captcha".split()
 )
 #: Parts that only say that there is a box.
 VAGUE = frozenset(
