@@ -88,7 +88,7 @@ def terms(text: str) -> np.ndarray:
 
 def damped(frequencies: np.ndarray) -> np.ndarray:
     """Logarithms of frequencies, so that a rare kind still counts and a common one does not swamp it."""
-    return np.log1p(200 * frequencies)
+    return np.log1p(frequencies * 200)
 
 
 @dataclass
@@ -121,8 +121,9 @@ def learn(frequencies: np.ndarray, labels: np.ndarray) -> Space:
         return Space(np.zeros(TERMS), np.zeros((TERMS, 1)), np.zeros((0, 1), np.float32), labels)
     weights = np.log((1 + len(labels)) / (1 + (frequencies > 0).sum(axis=0)))
     weights = 0.3 + weights / max(weights.max(), 1e-9)
-    weighted = damped(frequencies) * weights
-    _, vectors = np.linalg.eigh(weighted.T @ weighted)
+    weighted = damped(frequencies) * weights.astype(frequencies.dtype)
+    _, vectors = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))
+    del weighted
     space = Space(weights, vectors[:, ::-1][:, :DIMENSIONS], np.zeros((0, 1), np.float32), labels.astype(float))
     space.vectors = space.place(frequencies)
     return space
@@ -143,8 +144,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Space:
     table = rows.toPandas()
     if not len(table):
         return learn(np.zeros((0, TERMS)), np.zeros(0))
-    frequencies = np.frombuffer(b"".join(table["terms"]), "<f4").reshape(len(table), TERMS).astype(np.float64)
-    return learn(frequencies, table["label"].to_numpy())
+    found = table["label"].to_numpy()
+    frequencies = np.frombuffer(b"".join(table["terms"]), "<f4").reshape(len(table), TERMS)
+    del table
+    return learn(frequencies, found)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
