@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,6 +31,13 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what earlier rounds of a loop no longer need: Spark removes shuffle files, broadcasts and checkpoints
+    of frames that its driver has forgotten, which otherwise happens whenever the driver happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(frame: DataFrame) -> tuple[DataFrame, str]:
     """The rows, written as a compressed table in the shared folder, and where; for what is large and read often."""
     spark = frame.sparkSession

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import checkpointed
+from faultline.llm.common import checkpointed, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -32,4 +32,5 @@ def components(links: DataFrame) -> DataFrame:
         new = checkpointed(moved.join(target, "near").select("node", F.least("near", "far").alias("label"), (F.col("label") != F.least("near", "far")).alias("changed")))
         labels = new.select("node", "label")
         if new.filter("changed").isEmpty():
+            release(links.sparkSession)
             return labels

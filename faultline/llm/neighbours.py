@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from faultline.llm.common import checkpointed
+from faultline.llm.common import checkpointed, release
 
 #: Nodes of a block; links of a node; of them, those that a round follows, and as many reversed.
 BLOCK, LINKS, FORWARD, BACKWARD = 8192, 24, 12, 8
@@ -32,7 +32,7 @@ BEGINNINGS = 2
 #: Share of changed links below which the graph is left as it is, and the most rounds.
 SETTLED, MOST_ROUNDS = 0.3, 6
 #: Reversed links a search may follow; nodes in the beam; nodes opened at a time; entries of a query without a node.
-REVERSED, BEAM, OPENED, ENTRIES = 24, 400, 80, 64
+REVERSED, BEAM, OPENED, ENTRIES = 24, 400, 128, 64
 NEAREST = 20
 
 
@@ -203,6 +203,7 @@ def build_index(vectors: DataFrame, block: int = BLOCK, links: int = LINKS, most
         merged = graph.withColumn("fresh", F.lit(False)).unionByName(found)
         merged = merged.groupBy("a", "b").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
         graph = checkpointed(_best(merged, links).select("a", "b", "s", "fresh"))
+        release(vectors.sparkSession)
         if graph.filter("fresh").count() < SETTLED * count * links:
             break
     outward = graph.select("a", "b")
@@ -222,8 +223,9 @@ def search_index(index: Index, queries: DataFrame, nearest: int = NEAREST, beam:
     )
     distinct = asked.filter("query_id = a").select("a", "embedding")
     own = distinct.join(index.vectors.withColumnRenamed("node", "b"), "embedding").select("a", "b")
-    entries = index.nodes.orderBy(F.xxhash64("node")).limit(ENTRIES).select(F.collect_list("node").alias("entries"))
-    lost = distinct.join(own, "a", "left_anti").select("a").join(F.broadcast(entries)).select("a", F.explode("entries").alias("b"))
+    entries = [row.node for row in index.nodes.select("node").orderBy(F.xxhash64("node")).limit(ENTRIES).collect()]
+    anywhere = F.explode(F.array(*map(F.lit, entries)).cast("array<long>"))
+    lost = distinct.join(own, "a", "left_anti").select("a", anywhere.alias("b"))
     packed = distinct.select("a", "embedding").mapInArrow(_query_packed, "a long, v binary")
     packed = checkpointed(packed)
     floor = packed.withColumn("least", F.lit(float("-inf")))
@@ -234,6 +236,7 @@ def search_index(index: Index, queries: DataFrame, nearest: int = NEAREST, beam:
         kept = state.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= beam + 1)
         kept = kept.withColumn("take", ~F.col("closed") & (F.row_number().over(open_best) <= opened))
         state = checkpointed(kept.select("a", "b", "s", "closed", "take", "rank"))
+        release(queries.sparkSession)
         if state.filter("take").isEmpty():
             break
         front = state.filter("take").select("a", F.col("b").alias("m"))
