@@ -3,7 +3,9 @@
 The words of a source form a line: shards in order, in a shard documents in a seeded order. The line is cut
 into blocks of equal size. Blocks of the whole mix are apportioned to sources by highest quotients, the
 quota of a source to its shards likewise, and each shard selects that many of its blocks by a seeded
-permutation. A quota beyond the blocks there are takes whole rounds first. A document is taken as far as its blocks are.
+permutation. A quota beyond the blocks there are takes whole rounds first. A document is taken as far as its blocks are. Scattered blocks
+are no texts, so texts are mixed by whole documents: the line of a source is taken from its beginning, as many words
+as its blocks make up.
 
 A shard holds about `WORDS_PER_SHARD` words, a source at most `MOST_SHARDS` shards, so a source with a third of all
 rows is spread over many groups; tables of sources and shards are sums.
@@ -104,21 +106,14 @@ def source_targets(sources: DataFrame, most_copies: int = MOST_COPIES) -> DataFr
     return held.withColumn("target", target).drop("level", "held", "weight")
 
 
-def mix(
+def _laid(
     docs: DataFrame,
     block_words: int = BLOCK_WORDS,
     words_per_shard: int = WORDS_PER_SHARD,
     most_copies: int = MOST_COPIES,
     seed: str = SEED,
 ) -> DataFrame:
-    """How much of each document the mix takes; one row per row of `docs` (doc_id, text, source are read).
-
-    Size is the number of words; a null text has none, and a document without words is not taken. A null source
-    is a source of its own, the last. Rows that repeat count as often as they occur. All choices are seeded, so
-    reruns agree. An empty table gives no rows.
-
-    Columns: doc_id, size, source_size, target, taken, source.
-    """
+    """The lines of the sources: begin and end of each document in that of its source, and the words its blocks take."""
     size = F.regexp_count(text_of(), F.lit(WORD)).cast("long")
     sized = checkpointed(docs.select("doc_id", "source", size.alias("size"), seeded(F.col("doc_id"), seed=seed).alias("place")))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -178,13 +173,46 @@ def mix(
     taken = F.when(F.col("size") == 0, F.lit(0).cast("long")).otherwise(
         F.aggregate(block, F.lit(0).cast("long"), lambda total, i: total + taken_of(i))
     )
-    return laid.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
+    return laid.select(
+        "doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "source_no", "shard", "begin", "end"
+    )
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """How much of each document the mix takes; one row per row of `docs` (doc_id, text, source are read).
+
+    Size is the number of words; a null text has none, and a document without words is not taken. A null source
+    is a source of its own, the last. Rows that repeat count as often as they occur. All choices are seeded, so
+    reruns agree. An empty table gives no rows.
+
+    Columns: doc_id, size, source_size, target, taken, source.
+    """
+    return _laid(docs, **options).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def _whole_takes(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, size, taken: the words that `mix` takes of a source, dealt along its line to whole documents.
+
+    Each has as many rounds as the whole source; what is beyond goes to the documents in the order of the line, so at
+    most one of a source is taken in part. The order is seeded, hence no kind of document comes first.
+    """
+    laid = checkpointed(_laid(docs, **options))
+    in_source = Window.partitionBy("source_no")
+    # Sums of shards are joined back by shard, so no large source is one task.
+    shards = laid.groupBy("source_no", "shard").agg(F.sum("taken").alias("shard_words"))
+    shards = shards.withColumn("words", F.sum("shard_words").over(in_source)).drop("shard_words")
+    rounds, extra = (F.expr(f"words {sign} greatest(source_size, 1)") for sign in ("div", "%"))
+    beyond = F.greatest(F.lit(0), F.least(F.col("end"), extra) - F.col("begin"))
+    return laid.join(shards, ["source_no", "shard"]).select(
+        "doc_id", "size", (rounds * F.col("size") + beyond).cast("long").alias("taken")
+    )
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents with all of their columns: as many whole copies as were taken, then the first words of
-    the text, white space between them included, for what was taken beyond. Documents not taken are gone."""
-    takes = mix(docs, **options).select(F.col("doc_id").alias("id__"), F.col("size").alias("size__"), "taken")
+    """The mixed documents with all of their columns, whole, as many copies as are taken. Of one document in each
+    source at most there is, or is besides, a part: its first words, white space between them included, with which
+    the source has as many words as in `mix`. Documents not taken are gone."""
+    takes = _whole_takes(docs, **options).select(F.col("doc_id").alias("id__"), F.col("size").alias("size__"), "taken")
     alike = Window.partitionBy("id__", "size__").orderBy("taken")
     takes = takes.withColumn("turn__", F.row_number().over(alike)).filter("taken > 0")
     copies = F.array_repeat(F.lit(None).cast("int"), F.expr("cast(taken div size__ as int)"))

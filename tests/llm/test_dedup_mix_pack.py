@@ -251,6 +251,25 @@ def test_small_shards_still_meet_the_target(spark):
     assert ((sums["k"] - sums["t"]).abs() <= 64).all() and (found["taken"] <= 3 * found["size"]).all()
 
 
+def test_mixed_texts_are_whole_but_for_one_of_a_source(spark):
+    rng = random.Random(12)
+    rows = [(k, " ".join(f"d{k}w{i}" for i in range(rng.randrange(1, 400))), f"s{rng.choice([0, 0, 0, 1, 2])}") for k in range(300)]
+    docs = documents(spark, rows)
+    for options in ({}, {"words_per_shard": 2000}):
+        found, mixed = frame_of(mix(docs, **options)), frame_of(apply_mix(docs, **options))
+        whole = {k: text for k, text, _ in rows}
+        part = mixed[[whole[k] != text for k, text in zip(mixed["doc_id"], mixed["text"], strict=True)]]
+        assert part.groupby("source").size().max() <= 1 and len(part) <= 3
+        words = mixed["text"].str.split().str.len().groupby(mixed["source"]).sum()
+        assert words.to_dict() == found.groupby("source")["taken"].sum().to_dict()
+        # Down-weighted sources lose documents, no ends of documents; up-weighted ones hold each at least once.
+        sizes = found.groupby("source").agg(t=("target", "first"), s=("size", "sum"))
+        for source, row in sizes.iterrows():
+            copies = mixed[mixed["source"] == source].groupby("doc_id").size()
+            own = sum(s == source for *_, s in rows)
+            assert len(copies) == own if row.t > row.s + 64 else len(copies) < own
+
+
 @needs_data
 def test_mixing_meets_targets_and_is_native(spark):
     frame = queries.op4_mixing(spark, SF)
