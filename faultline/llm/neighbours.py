@@ -3,7 +3,8 @@
 Equal vectors are one node, so a vector that fills a third of the table is no hot spot, and its rows are put back
 exactly at the end. One more coordinate makes all nodes equally long, which turns the largest inner product
 into the nearest neighbour. The graph begins with exact neighbours inside random blocks; then rounds of joins take
-neighbours of neighbours, in both directions, as candidates, and each node keeps its best, until few links change.
+neighbours of neighbours, in both directions, as candidates, and each node keeps its best. A link is fresh until a round
+has followed it; rounds go on until hardly any link is, however many that takes. A table of one block is exact at once.
 A query enters at its own node, if it has one, or at random ones, and opens the best nodes of its beam, many queries and
 nodes at a time, until all nodes in the beam are open.
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count as count_from
 
 import numpy as np
 import pandas as pd
@@ -29,8 +31,8 @@ from faultline.llm.common import checkpointed, release
 BLOCK, LINKS, FORWARD, BACKWARD = 8192, 24, 12, 8
 #: Random partitions into blocks the graph begins with.
 BEGINNINGS = 2
-#: Share of changed links below which the graph is left as it is, and the most rounds.
-SETTLED, MOST_ROUNDS = 0.3, 6
+#: Share of links, new or not yet followed, below which the graph is left as it is.
+SETTLED = 0.01
 #: Reversed links a search may follow; nodes in the beam; nodes opened at a time; entries of a query without a node.
 REVERSED, BEAM, OPENED, ENTRIES = 24, 400, 128, 64
 NEAREST = 20
@@ -165,7 +167,7 @@ def _best(links: DataFrame, n: int, by: str = "a") -> DataFrame:
     return links.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
-def build_index(vectors: DataFrame, block: int = BLOCK, links: int = LINKS, most_rounds: int = MOST_ROUNDS) -> Index:
+def build_index(vectors: DataFrame, block: int = BLOCK, links: int = LINKS) -> Index:
     """A neighbour graph of all rows of `vectors` (vec_id, embedding; other columns are not read) that take part."""
     rows = checkpointed(sound(vectors))
     group = Window.partitionBy("embedding")
@@ -184,10 +186,12 @@ def build_index(vectors: DataFrame, block: int = BLOCK, links: int = LINKS, most
         )
         begun = found if begun is None else begun.unionByName(found)
     graph = checkpointed(_best(begun.dropDuplicates(["a", "b"]), links).select("a", "b", "s", F.lit(True).alias("fresh")))
-    for _ in range(most_rounds if blocks > 1 else 0):
-        turn = Window.partitionBy("a").orderBy(F.desc("fresh"), F.xxhash64("a", "b"))
-        near = graph.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= FORWARD)
-        back = Window.partitionBy("b").orderBy(F.desc("s"), "a")
+    for turn_no in count_from(1) if blocks > 1 else ():
+        # Fresh links first, in another order each round, so that none waits for ever.
+        turn = Window.partitionBy("a").orderBy(F.desc("fresh"), F.xxhash64("a", "b", F.lit(turn_no)), "b")
+        turned = graph.withColumn("turn", F.row_number().over(turn))
+        near = turned.filter(F.col("turn") <= FORWARD)
+        back = Window.partitionBy("b").orderBy(F.desc("fresh"), F.xxhash64("b", "a", F.lit(turn_no)), "a")
         reverse = graph.withColumn("turn", F.row_number().over(back)).filter(F.col("turn") <= BACKWARD)
         both = checkpointed(
             near.select("a", "b", "fresh").union(reverse.select(F.col("b").alias("a"), F.col("a").alias("b"), "fresh"))
@@ -200,7 +204,8 @@ def build_index(vectors: DataFrame, block: int = BLOCK, links: int = LINKS, most
         )
         asking = asking.select("a", "v", F.when(F.col("n") >= links, F.col("worst")).otherwise(-4.0).alias("least"))
         found = _ask(pairs, asking, nodes, blocks).withColumn("fresh", F.lit(True))
-        merged = graph.withColumn("fresh", F.lit(False)).unionByName(found)
+        left = F.col("fresh") & (F.col("turn") > FORWARD)
+        merged = turned.select("a", "b", "s", left.alias("fresh")).unionByName(found)
         merged = merged.groupBy("a", "b").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
         graph = checkpointed(_best(merged, links).select("a", "b", "s", "fresh"))
         release(vectors.sparkSession)

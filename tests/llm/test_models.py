@@ -142,6 +142,20 @@ def test_neighbours_over_several_blocks(spark):
     assert recall(found, nearest(rows, range(0, 900, 20))) >= 0.9
 
 
+def test_rounds_go_on_until_the_links_are_followed(spark):
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(1500, 12)) * rng.uniform(0.5, 2.0, size=(1500, 1))).astype(np.float32).astype(np.float64)
+    index = build_index(vectors(spark, [(k, v.tolist()) for k, v in enumerate(x)]), block=75)
+    assert index.blocks == 20
+    square = (x * x).sum(axis=1)
+    rest = np.sqrt(square.max() - square)
+    distance = square[:, None] + square - 2 * x @ x.T + (rest[:, None] - rest) ** 2
+    np.fill_diagonal(distance, np.inf)
+    linked = {(row.a, row.b) for row in index.links.collect()}
+    near = np.argsort(distance, axis=1)[:, :20]
+    assert np.mean([(a, b) in linked for a in range(1500) for b in near[a].tolist()]) >= 0.97
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = math.nan, math.inf
     rows = [(k, [1.0, 2.0]) for k in range(40)] + [(100 + k, [2.0, float(k)]) for k in range(3)]
