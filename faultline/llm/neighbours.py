@@ -2,10 +2,11 @@
 
 Equal vectors are one node, so a vector that fills a third of the table is no hot spot, and its rows are put back
 exactly at the end. One more coordinate makes all nodes equally long, which turns the largest inner product
-into the nearest neighbour. The graph begins with exact neighbours inside random blocks; then rounds of joins take
+into the nearest neighbour. It is never stored: links are scored in double precision by the vectors as they were given, so
+that one very long vector does not make the others alike. The graph begins with exact neighbours inside random blocks; then rounds of joins take
 neighbours of neighbours, in both directions, as candidates, and each node keeps its best. A link is fresh until a round
 has followed it; rounds go on until hardly any link is, however many that takes. A table of one block is exact at once.
-A query enters at its own node, if it has one, or at random ones, and opens the best nodes of its beam, many queries and
+A query enters at its own node, if it has one, or at random ones, and at the longest, and opens the best nodes of its beam, many queries and
 nodes at a time, until all nodes in the beam are open.
 
 Vectors meet where the candidates are: a request carries one vector and the candidates of one block; the
@@ -33,20 +34,24 @@ BLOCK, LINKS, FORWARD, BACKWARD = 8192, 24, 12, 8
 BEGINNINGS = 2
 #: Share of links, new or not yet followed, below which the graph is left as it is.
 SETTLED = 0.01
-#: Reversed links a search may follow; nodes in the beam; nodes opened at a time; entries of a query without a node.
-REVERSED, BEAM, OPENED, ENTRIES = 24, 400, 128, 64
+#: Reversed links a search may follow; nodes in the beam; nodes opened at a time; entries of a query without a node, and
+#: the longest nodes, at which each query enters, as they are near to many queries and far from all nodes.
+REVERSED, BEAM, OPENED, ENTRIES, LONG_ENTRIES = 24, 400, 128, 64, 64
 NEAREST = 20
 
 
 @dataclass
 class Index:
-    """nodes (node, v: packed floats, least_id), members (node, vec_id: the smallest of equal vectors), links (a, b)."""
+    """nodes (node, v: packed numbers of the type `kind`), vectors (node, embedding), members (node, vec_id: the smallest
+    of equal vectors), links (a, b); the length of the longest vector."""
 
     nodes: DataFrame
     vectors: DataFrame
     members: DataFrame
     links: DataFrame
     blocks: int
+    kind: str
+    longest: float
 
 
 def block_of(node: Column, blocks: int, seed: int = 0) -> Column:
@@ -65,29 +70,48 @@ def sound(vectors: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(sizes.select("n")), F.size("embedding") == F.col("n")).drop("n")
 
 
-def _packed(batches: Iterator[pa.RecordBatch], longest: float) -> Iterator[pa.RecordBatch]:
+def _kind_of(vectors: DataFrame) -> str:
+    """The number type that holds the components of `vectors` as they are."""
+    return "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
+
+
+def _packed(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            x = np.array(batch.column(1).to_pylist(), dtype=np.float64) / longest
-            rest = np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1)))
-            rows = np.hstack([x, rest[:, None]]).astype("<f4")
+            rows = np.array(batch.column(1).to_pylist(), dtype=np.float64).astype(kind)
             packed = pa.array([row.tobytes() for row in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["node", "v"])
 
 
-def _unpacked(values) -> np.ndarray:
-    return np.frombuffer(b"".join(values), "<f4").reshape(len(values), -1)
+def _unpacked(values, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(values), kind).reshape(len(values), -1).astype(np.float64)
+
+
+def _lifted(x: np.ndarray, longest: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors as shares of the longest, their squared norms, and the coordinate that makes them equally long."""
+    x = x / longest
+    square = np.einsum("ij,ij->i", x, x)
+    return x, square, np.sqrt(np.maximum(0.0, 1.0 - square))
 
 
-def _inside_block(links: int):
+def _nearness(product, square_a, square_b, rest_a, rest_b):
+    """Minus the squared distance. The difference of the added coordinates comes from the squared norms: they
+    themselves are almost 1 for all vectors far below the longest."""
+    apart = (square_a - square_b) / np.maximum(rest_a + rest_b, 1e-300)
+    return 2 * product - square_a - square_b - apart * apart
+
+
+def _inside_block(links: int, kind: str, longest: float):
     """Exact neighbours of the nodes of a block in their block."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        x, ids = _unpacked(block["v"].tolist()), block["node"].to_numpy()
+        x, square, rest = _lifted(_unpacked(block["v"].tolist(), kind), longest)
+        ids = block["node"].to_numpy()
         k = min(links, len(ids) - 1)
         parts = []
         for start in range(0, len(ids), 512) if k > 0 else ():
-            scores = x[start : start + 512] @ x.T
+            part = slice(start, start + 512)
+            scores = _nearness(x[part] @ x.T, square[part, None], square, rest[part, None], rest)
             own = np.arange(len(scores))
             scores[own, own + start] = -np.inf
             best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
@@ -96,7 +120,7 @@ def _inside_block(links: int):
                     {
                         "a": np.repeat(ids[start : start + 512], k),
                         "b": ids[best].ravel(),
-                        "s": np.take_along_axis(scores, best, 1).ravel().astype(np.float64),
+                        "s": np.take_along_axis(scores, best, 1).ravel(),
                     }
                 )
             )
@@ -105,50 +129,61 @@ def _inside_block(links: int):
     return run
 
 
-def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Scores of requests against the vectors of their block, which come before them in the stream."""
-    block, held, ids, order, x = None, [], None, None, None
-    for batch in batches:
-        blocks, roles = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        cuts = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(roles) != 0)) + 1
-        for start, end in zip([0, *cuts], [*cuts, len(blocks)], strict=True):
-            if start == end:
-                continue
-            part = batch.slice(start, end - start)
-            if blocks[start] != block:
-                block, held, x = blocks[start], [], None
-            if roles[start] == 0:
-                held.append((part.column(2).to_numpy(), part.column(3).to_pylist()))
-                continue
-            if x is None:
-                if not held:
+def _scoring(kind: str, longest: float, links: bool):
+    """Scores of requests against the vectors of their block, which come before them in the stream: nearness of
+    nodes for links, else inner products with queries."""
+    asking_kind = kind if links else "<f8"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, ids, order, x = None, [], None, None, None
+        for batch in batches:
+            blocks, roles = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(roles) != 0)) + 1
+            for start, end in zip([0, *cuts], [*cuts, len(blocks)], strict=True):
+                if start == end:
                     continue
-                ids = np.concatenate([a for a, _ in held])
-                x = _unpacked([v for _, own in held for v in own])
-                order = np.argsort(ids)
-                ids = ids[order]
-            for low in range(0, part.num_rows, 2000):
-                some = part.slice(low, 2000)
-                lists = some.column(4)
-                counts = np.diff(lists.offsets.to_numpy())
-                wanted = lists.flatten().to_numpy()
-                asking = np.repeat(np.arange(len(counts)), counts)
-                place = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
-                there = ids[place] == wanted
-                asking, wanted, place = asking[there], wanted[there], place[there]
-                q = _unpacked(some.column(3).to_pylist())
-                s = np.empty(len(wanted))
-                for k in range(0, len(wanted), 20_000):
-                    at = slice(k, k + 20_000)
-                    s[at] = np.einsum("ij,ij->i", q[asking[at]], x[order[place[at]]])
-                good = s > some.column(5).to_numpy()[asking]
-                asked = some.column(2).to_numpy()[asking[good]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(asked), pa.array(wanted[good]), pa.array(s[good])], names=["a", "b", "s"]
-                )
+                part = batch.slice(start, end - start)
+                if blocks[start] != block:
+                    block, held, x = blocks[start], [], None
+                if roles[start] == 0:
+                    held.append((part.column(2).to_numpy(), part.column(3).to_pylist()))
+                    continue
+                if x is None:
+                    if not held:
+                        continue
+                    ids = np.concatenate([a for a, _ in held])
+                    x, square, rest = _lifted(_unpacked([v for _, own in held for v in own], kind), longest)
+                    order = np.argsort(ids)
+                    ids = ids[order]
+                for low in range(0, part.num_rows, 2000):
+                    some = part.slice(low, 2000)
+                    lists = some.column(4)
+                    counts = np.diff(lists.offsets.to_numpy())
+                    wanted = lists.flatten().to_numpy()
+                    asking = np.repeat(np.arange(len(counts)), counts)
+                    place = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
+                    there = ids[place] == wanted
+                    asking, wanted, place = asking[there], wanted[there], place[there]
+                    q = _unpacked(some.column(3).to_pylist(), asking_kind)
+                    if links:
+                        q, q_square, q_rest = _lifted(q, longest)
+                    s = np.empty(len(wanted))
+                    for k in range(0, len(wanted), 20_000):
+                        at = slice(k, k + 20_000)
+                        one, two = asking[at], order[place[at]]
+                        s[at] = np.einsum("ij,ij->i", q[one], x[two])
+                        if links:
+                            s[at] = _nearness(s[at], q_square[one], square[two], q_rest[one], rest[two])
+                    good = s > some.column(5).to_numpy()[asking]
+                    asked = some.column(2).to_numpy()[asking[good]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(asked), pa.array(wanted[good]), pa.array(s[good])], names=["a", "b", "s"]
+                    )
 
+    return run
 
-def _ask(pairs: DataFrame, asking: DataFrame, nodes: DataFrame, blocks: int) -> DataFrame:
+
+def _ask(pairs: DataFrame, asking: DataFrame, nodes: DataFrame, blocks: int, scoring) -> DataFrame:
     """a, b, s for pairs (a, b) whose score s is above `least` of a; asking: a, v, least."""
     lists = pairs.groupBy("a", block_of(F.col("b"), blocks).alias("block")).agg(F.collect_list("b").alias("wanted"))
     requests = lists.join(asking, "a").select(
@@ -159,7 +194,7 @@ def _ask(pairs: DataFrame, asking: DataFrame, nodes: DataFrame, blocks: int) ->
         F.lit(None).cast("array<long>").alias("wanted"), F.lit(None).cast("double").alias("least"),
     )
     ordered = held.unionByName(requests).repartition("block").sortWithinPartitions("block", "role")
-    return ordered.mapInArrow(_scored, "a long, b long, s double")
+    return ordered.mapInArrow(scoring, "a long, b long, s double")
 
 
 def _best(links: DataFrame, n: int, by: str = "a") -> DataFrame:
@@ -167,6 +202,10 @@ def _best(links: DataFrame, n: int, by: str = "a") -> DataFrame:
     return links.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
+def _length() -> Column:
+    return F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x * x))
+
+
 def build_index(vectors: DataFrame, block: int = BLOCK, links: int = LINKS) -> Index:
     """A neighbour graph of all rows of `vectors` (vec_id, embedding; other columns are not read) that take part."""
     rows = checkpointed(sound(vectors))
@@ -174,15 +213,14 @@ def build_index(vectors: DataFrame, block: int = BLOCK, links: int = LINKS) -> I
     ranked = rows.withColumn("rank", F.row_number().over(group.orderBy("vec_id"))).filter(F.col("rank") <= NEAREST + 1)
     members = checkpointed(ranked.withColumn("node", F.min("vec_id").over(group)))
     single = members.filter("rank = 1").select("node", "embedding")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x * x))
-    count, longest = single.agg(F.count("*"), F.max(norm)).first()
-    longest = float(longest or 1.0)
-    nodes = checkpointed(single.mapInArrow(lambda batches: _packed(batches, longest), "node long, v binary"))
+    count, longest = single.agg(F.count("*"), F.max(_length())).first()
+    longest, kind = float(longest or 1.0), _kind_of(vectors)
+    nodes = checkpointed(single.mapInArrow(lambda batches: _packed(batches, kind), "node long, v binary"))
     blocks = max(1, -(-count // block))
     begun = None
     for seed in range(1, BEGINNINGS + 1):
         found = nodes.groupBy(block_of(F.col("node"), blocks, seed)).applyInPandas(
-            _inside_block(links), "a long, b long, s double"
+            _inside_block(links, kind, longest), "a long, b long, s double"
         )
         begun = found if begun is None else begun.unionByName(found)
     graph = checkpointed(_best(begun.dropDuplicates(["a", "b"]), links).select("a", "b", "s", F.lit(True).alias("fresh")))
@@ -202,8 +240,8 @@ def build_index(vectors: DataFrame, block: int = BLOCK, links: int = LINKS) -> I
         asking = graph.groupBy("a").agg(F.min("s").alias("worst"), F.count("*").alias("n")).join(
             nodes, F.col("a") == F.col("node")
         )
-        asking = asking.select("a", "v", F.when(F.col("n") >= links, F.col("worst")).otherwise(-4.0).alias("least"))
-        found = _ask(pairs, asking, nodes, blocks).withColumn("fresh", F.lit(True))
+        asking = asking.select("a", "v", F.when(F.col("n") >= links, F.col("worst")).otherwise(float("-inf")).alias("least"))
+        found = _ask(pairs, asking, nodes, blocks, _scoring(kind, longest, links=True)).withColumn("fresh", F.lit(True))
         left = F.col("fresh") & (F.col("turn") > FORWARD)
         merged = turned.select("a", "b", "s", left.alias("fresh")).unionByName(found)
         merged = merged.groupBy("a", "b").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
@@ -213,7 +251,8 @@ def build_index(vectors: DataFrame, block: int = BLOCK, links: int = LINKS) -> I
             break
     outward = graph.select("a", "b")
     inward = _best(graph, REVERSED, by="b").select(F.col("b").alias("a"), F.col("a").alias("b"))
-    return Index(nodes, single, members.select("node", "vec_id"), checkpointed(outward.union(inward).distinct()), blocks)
+    reached = checkpointed(outward.union(inward).distinct())
+    return Index(nodes, single, members.select("node", "vec_id"), reached, blocks, kind, longest)
 
 
 def search_index(index: Index, queries: DataFrame, nearest: int = NEAREST, beam: int = BEAM, opened: int = OPENED) -> DataFrame:
@@ -231,12 +270,16 @@ def search_index(index: Index, queries: DataFrame, nearest: int = NEAREST, beam:
     entries = [row.node for row in index.nodes.select("node").orderBy(F.xxhash64("node")).limit(ENTRIES).collect()]
     anywhere = F.explode(F.array(*map(F.lit, entries)).cast("array<long>"))
     lost = distinct.join(own, "a", "left_anti").select("a", anywhere.alias("b"))
+    by_length = index.vectors.orderBy(F.desc(_length()), "node").select("node").limit(LONG_ENTRIES)
+    longest = F.explode(F.array(*[F.lit(row.node) for row in by_length.collect()]).cast("array<long>"))
+    entered = own.union(lost).union(distinct.select("a", longest.alias("b"))).distinct()
+    scoring = _scoring(index.kind, index.longest, links=False)
     packed = distinct.select("a", "embedding").mapInArrow(_query_packed, "a long, v binary")
     packed = checkpointed(packed)
     floor = packed.withColumn("least", F.lit(float("-inf")))
     best = Window.partitionBy("a").orderBy(F.desc("s"), "b")
     open_best = Window.partitionBy("a", "closed").orderBy(F.desc("s"), "b")
-    state = _ask(own.union(lost), floor, index.nodes, index.blocks).withColumn("closed", F.lit(False))
+    state = _ask(entered, floor, index.nodes, index.blocks, scoring).withColumn("closed", F.lit(False))
     while True:
         kept = state.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= beam + 1)
         kept = kept.withColumn("take", ~F.col("closed") & (F.row_number().over(open_best) <= opened))
@@ -248,9 +291,9 @@ def search_index(index: Index, queries: DataFrame, nearest: int = NEAREST, beam:
         wanted = front.join(index.links.toDF("m", "b"), "m").select("a", "b").distinct()
         wanted = wanted.join(state.select("a", "b"), ["a", "b"], "left_anti")
         worst = state.groupBy("a").agg(F.when(F.count("*") > beam, F.min("s")).otherwise(float("-inf")).alias("least"))
-        found = _ask(wanted, packed.join(worst, "a"), index.nodes, index.blocks).withColumn("closed", F.lit(False))
+        found = _ask(wanted, packed.join(worst, "a"), index.nodes, index.blocks, scoring).withColumn("closed", F.lit(False))
         state = state.select("a", "b", "s", (F.col("closed") | F.col("take")).alias("closed")).unionByName(found)
-    # Scores so far were of rounded vectors: some more than are needed are taken and scored exactly.
+    # Scores so far were of shares of lengths: some more than are needed are taken and scored as they are given.
     last = state.filter(F.col("rank") <= nearest + 11).select("a", "b")
     exact = (
         last.join(distinct.select("a", F.col("embedding").alias("qv")), "a")
@@ -270,9 +313,8 @@ def _query_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         if batch.num_rows:
             x = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-            # Nodes are scaled to one length; the length of a query does not change its order of nodes.
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            rows = np.hstack([x, np.zeros((len(x), 1))]).astype("<f4")
+            # The length of a query does not change its order of nodes.
+            rows = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("<f8")
             packed = pa.array([row.tobytes() for row in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["a", "v"])
 

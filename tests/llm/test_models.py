@@ -156,6 +156,16 @@ def test_rounds_go_on_until_the_links_are_followed(spark):
     assert np.mean([(a, b) in linked for a in range(1500) for b in near[a].tolist()]) >= 0.97
 
 
+def test_one_very_long_vector_leaves_the_others_their_neighbours(spark):
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(1000, 12)) * rng.uniform(0.5, 2.0, size=(1000, 1))).astype(np.float32).astype(np.float64)
+    x[7] *= 1e4 * np.linalg.norm(x, axis=1).mean() / np.linalg.norm(x[7])
+    rows = [(k, [float(np.float32(c)) for c in v]) for k, v in enumerate(x)]
+    frame = vectors(spark, rows)
+    found = frame_of(search_index(build_index(frame, block=100), frame.filter("vec_id % 20 = 0"), beam=100))
+    assert recall(found, nearest(rows, range(0, 1000, 20))) >= 0.95
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = math.nan, math.inf
     rows = [(k, [1.0, 2.0]) for k in range(40)] + [(100 + k, [2.0, float(k)]) for k in range(3)]
