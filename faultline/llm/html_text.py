@@ -3,7 +3,8 @@
 A page becomes a tree (unclosed and wrongly nested elements are mended as browsers do). Parts that are never
 article text, by element, role or class, are set aside. Paragraphs then pass points for their length and commas to
 their ancestors, fewer the further up; a container's points are discounted by its share of link text. The best
-container, or the article element it lies in, and siblings that score alike are kept; all their blocks are, however short.
+container is raised until it holds all paragraphs with points, or all sibling articles, and its siblings are kept with it;
+all their blocks are, however short, except for branches beside the best container that are mostly links.
 """
 
 from __future__ import annotations
@@ -213,6 +214,16 @@ def told_aside(tag: str, attributes: str) -> bool:
     return False
 
 
+def _common(nodes: list[int], parents: list[int]) -> int:
+    """The lowest element that holds all of `nodes` or is one of them; a parent has a smaller number than its children."""
+    left = set(nodes)
+    while len(left) > 1:
+        deepest = max(left)
+        left.remove(deepest)
+        left.add(parents[deepest])
+    return left.pop()
+
+
 def main_text(html: str) -> str:
     """The article of a page, a line per block; empty for a page without text."""
     if not html:
@@ -238,6 +249,7 @@ def main_text(html: str) -> str:
             blocks.setdefault(block, []).append((k, raw))
     lines: list[tuple[int, str]] = []
     points, chars, link_chars = [0.0] * count, [0] * count, [0] * count
+    scoring: list[int] = []
     for block in sorted(blocks):
         parts = blocks[block]
         line = " ".join(unescape("".join(raw for _, raw in parts)).split())
@@ -255,6 +267,8 @@ def main_text(html: str) -> str:
             gained = (1 + line.count(",") + line.count("，") + min(len(line) / 100, 3.0)) * (1 - in_links / max(whole, 1))
             # Text that stands in a container itself counts for it, a paragraph's for what it stands in.
             above = owner if tags[owner] not in ("p", "pre", "blockquote", "li", "td", "dd") else parents[owner]
+            if in_links * 2 <= whole:
+                scoring.append(above)
             share = 1.0
             while above >= 0 and share > 0.05:
                 points[above] += gained * share
@@ -274,18 +288,41 @@ def main_text(html: str) -> str:
         if tags[above] in ("article", "main") and not aside[above]:
             article = above if tags[above] == "article" or article < 0 else article
         above = parents[above]
-    kept = {article if article > 0 else best}
-    if article <= 0 and parents[best] >= 0 and tags[best] != "body":
-        least = max(10.0, score[best] * 0.2)
-        for k in range(count):
-            if parents[k] == parents[best] and k != best and not aside[k] and chars[k]:
-                density = link_chars[k] / chars[k]
-                title = tags[k] in ("h1", "h2") and k < best
-                if score[k] >= least or (tags[k] == "p" and chars[k] > 80 and density < 0.25) or title:
-                    kept.add(k)
+    dense = [link_chars[k] * 2 > chars[k] for k in range(count)]
+    if article > 0:
+        top = article
+        if tags[article] == "article":
+            whole_of, main = [-1] * count, [-1] * count
+            for k in range(1, count):
+                main[k] = k if tags[k] == "main" else main[parents[k]]
+                whole_of[k] = whole_of[parents[k]] if whole_of[parents[k]] > 0 else k if tags[k] == "article" else -1
+            others = [
+                k for k in range(1, count)
+                if whole_of[k] == k and main[k] == main[article] and chars[k] and not aside[k] and not dense[k]
+            ]
+            top = _common([article, *others], parents)
+    else:
+        # A branch that is mostly links has no say in how far the container reaches.
+        linky = [False] * count
+        for k in range(1, count):
+            linky[k] = linky[parents[k]] or (dense[k] and tags[k] not in ("body", "html"))
+        top = _common([best, *(k for k in scoring if not linky[k])], parents)
+        if parents[top] >= 0 and tags[top] != "body":
+            top = parents[top]
+    inner = article if article > 0 else best
+    path, k = {top}, inner
+    while k > top:
+        path.add(k)
+        k = parents[k]
+    kept = {inner, top}
+    dropped = {
+        k for k in range(1, count)
+        if parents[k] in path and parents[k] != inner and k not in path and dense[k] and tags[k] in BLOCKS
+        and not re.fullmatch("h[1-6]", tags[k])
+    }
     inside = [False] * count
     for k in range(count):
-        inside[k] = k in kept or (k > 0 and inside[parents[k]])
+        inside[k] = k in kept or (k > 0 and inside[parents[k]] and k not in dropped)
     found = [line for owner, line in lines if inside[owner]]
     return "\n".join(found)
 

@@ -321,6 +321,20 @@ def test_main_text(html, expected):
     assert main_text(html) == expected
 
 
+@pytest.mark.parametrize(
+    "html, expected",
+    [
+        (f"<div><section>{f'<p>{ARTICLE}</p>' * 9}</section><h2>Later</h2><div><p>It all ended well in the end.</p></div><ul><li>a</ul></div>", [*[ARTICLE] * 9, "Later", "It all ended well in the end.", "a"]),
+        (f"<div>{f'<p>{ARTICLE}</p>' * 9}</div><blockquote>Short.</blockquote><p>Bye.</p><div><p>End.</p></div>", [*[ARTICLE] * 9, "Short.", "Bye.", "End."]),
+        (f"<div><div>{f'<p>{ARTICLE}</p>' * 9}</div><div><a href=x>One of many other pages here</a></div></div>", [ARTICLE] * 9),
+        (f"<main><h1>T</h1><article>{f'<p>{ARTICLE}</p>' * 9}</article><article><p>Second.</p></article></main>", ["T", *[ARTICLE] * 9, "Second."]),
+        (f"<main><article><div><p>{ARTICLE}</p></div><ul><li><a href=x>Source of it</a></ul></article></main>", [ARTICLE, "Source of it"]),
+    ],
+)
+def test_uneven_sections_and_sibling_articles_stay(html, expected):
+    assert main_text(html).split("\n") == expected
+
+
 def test_pages_of_odd_rows(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (None, "v", f"<p>{ARTICLE}", "x"), (3, "w", "<p>" + "word, " * 40000, "x")]
     pages = spark.createDataFrame(rows + rows[:1], "page_id long, url string, html string, text string")
