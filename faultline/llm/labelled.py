@@ -14,7 +14,7 @@ def labelled_sample(
     """(doc_id, part, label, text) of at most `most[value]` labelled ids for each value of the label.
 
     Only ids whose crc32 as text modulo `divisor` (part) is not `held_out` are taken, in the order of a hash; null
-    labels and ids are left out. The ids are few, so they are broadcast and the texts stay where they are.
+    labels and ids are left out. Of rows that share an id one is taken. The ids are few, so they are broadcast and the texts stay where they are.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).withColumn(
         "part", crc_remainder(F.col("doc_id"), divisor)
@@ -25,6 +25,7 @@ def labelled_sample(
         of = known.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         chosen = of if chosen is None else chosen.unionByName(of)
     chosen = checkpointed(chosen)
-    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select(
-        "doc_id", "part", "label", "text"
-    )
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    # Rows that repeat an id shrink to one per task before they move.
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))
+    return rows.groupBy("doc_id", "part", "label").agg(one["text"].alias("text"))

@@ -12,6 +12,7 @@ from llm_samples import DOCS, SF, documents, frame_of, needs_data, rows_of, tabl
 import corpus_pipeline
 from faultline.llm import queries
 from faultline.llm.html_text import extract_pages, main_text
+from faultline.llm.labelled import labelled_sample
 from faultline.llm.neighbours import build_index, every_twentieth, search_index
 from faultline.llm.pii import find_personal_data, redact
 from faultline.llm.quality import learn, score_quality, terms
@@ -205,6 +206,14 @@ def test_quality_of_odd_rows(spark):
     assert unlabelled["score"].tolist() == [0.5] * 3
 
 
+def test_a_sample_has_one_row_of_each_labelled_id(spark):
+    rows = [(k % 7, f"text {k}") for k in range(70)] + [(1, None), (None, "x")]
+    labels = spark.createDataFrame([(k, k % 2, None) for k in range(7)] * 2, LABELS)
+    found = rows_of(labelled_sample(documents(spark, rows), labels, "quality", 4, -1, {0: 5, 1: 5}))
+    again = rows_of(labelled_sample(documents(spark, rows[::-1]), labels, "quality", 4, -1, {0: 5, 1: 5}))
+    assert sorted(row[0] for row in found) == list(range(7)) and sorted(found) == sorted(again)
+
+
 def test_votes_are_exact_cosines():
     rng = random.Random(9)
     texts = ["".join(rng.choice("abC 1!|\n.") for _ in range(rng.randrange(5, 200))) for _ in range(120)]
