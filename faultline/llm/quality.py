@@ -9,6 +9,7 @@ by block, and its nearest neighbours vote with their similarity.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import pairwise
@@ -32,27 +33,36 @@ SIGNS = ".,!|#*$%&<>{}=/\\-_()\"':;?@"
 KINDS = 8 + len(SIGNS)
 
 
-def _kinds() -> np.ndarray:
-    """The kind of each Latin-1 character."""
-    found = np.full(256, 7, np.int64)
-    for code in range(256):
-        letter = chr(code)
-        if letter.isupper():
-            found[code] = 0
-        elif letter.isalpha():
-            found[code] = 1
-        elif letter.isdigit():
-            found[code] = 2
-        elif letter == "\n":
-            found[code] = 4
-        elif letter.isspace():
-            found[code] = 3
-        elif letter in SIGNS:
-            found[code] = 8 + SIGNS.index(letter)
+def kind_of(letter: str) -> int:
+    """The kind of a character; a mark that joins a letter counts as a small letter."""
+    if letter.isupper():
+        return 0
+    if letter.isalpha() or unicodedata.category(letter)[0] == "M":
+        return 1
+    if letter.isdigit():
+        return 2
+    if letter == "\n":
+        return 4
+    if letter.isspace():
+        return 3
+    return 8 + SIGNS.index(letter) if letter in SIGNS else 7
+
+
+#: The kind of each Latin-1 character.
+KIND_OF = np.array([kind_of(chr(code)) for code in range(256)], np.int64)
+
+
+def kinds_of(text: str) -> np.ndarray:
+    """The kind of each character of a text."""
+    if text.isascii():
+        return KIND_OF[np.frombuffer(text.encode("ascii"), np.uint8)]
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    found = KIND_OF[np.minimum(codes, 255)]
+    beyond = np.flatnonzero(codes > 255)
+    if len(beyond):
+        letters, place = np.unique(codes[beyond], return_inverse=True)
+        found[beyond] = np.array([kind_of(chr(code)) for code in letters.tolist()])[place]
     return found
-
-
-KIND_OF = _kinds()
 #: Measures besides the character kinds: repeated words, distinct words, and classes of word and line lengths.
 EXTRAS = 2 + 12 + 8
 TERMS = KINDS**2 + 512 + EXTRAS
@@ -63,8 +73,7 @@ def terms(text: str) -> np.ndarray:
     found = np.zeros(TERMS)
     if not text:
         return found
-    # A letter beyond Latin-1 counts as the sign "?", which keeps its place.
-    kinds = KIND_OF[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
+    kinds = kinds_of(text)
     pairs = kinds[:-1] * KINDS + kinds[1:]
     n = len(kinds)
     found[: KINDS**2] = np.bincount(pairs, minlength=KINDS**2) / n

@@ -15,7 +15,7 @@ from faultline.llm.html_text import extract_pages, main_text
 from faultline.llm.labelled import labelled_sample
 from faultline.llm.neighbours import build_index, every_twentieth, search_index
 from faultline.llm.pii import find_personal_data, redact
-from faultline.llm.quality import learn, score_quality, terms
+from faultline.llm.quality import kinds_of, learn, score_quality, terms
 from faultline.llm.toxicity import Machine, drop_toxic, kernel_map, plain_words, score_toxicity, train, triples
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -206,6 +206,12 @@ def test_quality_of_odd_rows(spark):
     assert unlabelled["score"].tolist() == [0.5] * 3
 
 
+def test_kinds_of_other_scripts():
+    assert kinds_of("Где 3?\n").tolist() == kinds_of("Abc 3?\n").tolist()
+    assert kinds_of("漢字。٣").tolist() == kinds_of("ab§3").tolist()
+    assert (terms("Где же дом") == terms("Abc de fgh")).all() and (terms("Где") != terms("???")).any()
+
+
 def test_a_sample_has_one_row_of_each_labelled_id(spark):
     rows = [(k % 7, f"text {k}") for k in range(70)] + [(1, None), (None, "x")]
     labels = spark.createDataFrame([(k, k % 2, None) for k in range(7)] * 2, LABELS)
