@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.sources.shared import checkpointed, shared_folder  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -16,21 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, else (tests, one machine) a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared folder, so that no later loss of an executor matters."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint()
-
-
 def release(spark: SparkSession) -> None:
     """Let go of what earlier rounds of a loop no longer need: Spark removes shuffle files, broadcasts and checkpoints
     of frames that its driver has forgotten, which otherwise happens whenever the driver happens to collect garbage."""

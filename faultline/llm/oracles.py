@@ -104,3 +104,69 @@ SELECT l.doc_id, l.size, l.source_size, l.target, coalesce(t.taken, 0) AS taken
 FROM laid l
 LEFT JOIN taken t ON t.doc_id IS NOT DISTINCT FROM l.doc_id AND t.source_no = l.source_no AND t.low = l.low AND t.size = l.size
 """
+
+SQL["op13_merkle_manifest"] = """
+WITH RECURSIVE docs AS (
+    SELECT doc_id, lang,
+           concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                  coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+           text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered,
+           xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+               lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+                   lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 3 = 0 AS altered
+    FROM documents
+),
+hashed AS (
+    SELECT doc_id, lang, sha256(concat(head, coalesce(strlen(text) || ':' || text, '-'))) AS leaf,
+           CASE WHEN altered THEN sha256(concat(head, coalesce(strlen(lowered) || ':' || lowered, '-'))) END AS tampered
+    FROM docs
+),
+leaves AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+           count(*) OVER (PARTITION BY lang) AS n
+    FROM hashed
+),
+nodes AS (
+    SELECT lang, 0 AS level, idx, n, leaf AS digest FROM leaves
+    UNION ALL
+    SELECT lang, level + 1, idx // 8, ceil(n / 8)::BIGINT, sha256(string_agg(digest, '' ORDER BY idx))
+    FROM nodes WHERE n > 1 GROUP BY lang, level, idx // 8, n
+),
+subroots AS (SELECT lang, digest AS subroot FROM nodes WHERE n = 1),
+upper AS (
+    SELECT lang AS own, 0 AS level, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n, subroot AS digest
+    FROM subroots
+    UNION ALL
+    SELECT NULL, level + 1, idx // 8, ceil(n / 8)::BIGINT, sha256(string_agg(digest, '' ORDER BY idx))
+    FROM upper WHERE n > 1 GROUP BY level, idx // 8, n
+),
+sided AS (
+    SELECT level, idx, n, coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+           coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r, lang
+    FROM nodes WINDOW run AS (PARTITION BY lang, level, idx // 8 ORDER BY idx)
+),
+upper_sided AS (
+    SELECT level, idx, n, coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+           coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+    FROM upper WINDOW run AS (PARTITION BY level, idx // 8 ORDER BY idx)
+),
+folds AS (
+    SELECT doc_id, leaf, lang, idx AS leaf_index, 0 AS level, idx, n, coalesce(tampered, leaf) AS digest, '' AS beside FROM leaves
+    UNION ALL
+    SELECT f.doc_id, f.leaf, f.lang, f.leaf_index, f.level + 1, f.idx // 8, ceil(f.n / 8)::BIGINT, sha256(s.l || f.digest || s.r),
+           f.beside || s.l || s.r
+    FROM folds f JOIN sided s ON s.lang IS NOT DISTINCT FROM f.lang AND s.level = f.level AND s.idx = f.idx WHERE f.n > 1
+),
+folds_up AS (
+    SELECT f.doc_id, f.leaf, f.lang, f.leaf_index, 0 AS level, u.idx, u.n, f.digest, f.beside
+    FROM folds f JOIN upper u ON u.own IS NOT DISTINCT FROM f.lang AND u.level = 0 WHERE f.n = 1
+    UNION ALL
+    SELECT f.doc_id, f.leaf, f.lang, f.leaf_index, f.level + 1, f.idx // 8, ceil(f.n / 8)::BIGINT, sha256(s.l || f.digest || s.r),
+           f.beside || s.l || s.r
+    FROM folds_up f JOIN upper_sided s ON s.level = f.level AND s.idx = f.idx WHERE f.n > 1
+)
+SELECT f.doc_id, f.leaf, s.subroot, u.digest AS root, sha256(f.beside) AS proof_sha256, f.digest AS folded_root,
+       f.digest = u.digest AS verified, f.leaf_index
+FROM folds_up f JOIN subroots s ON s.lang IS NOT DISTINCT FROM f.lang JOIN upper u ON u.n = 1
+WHERE f.n = 1
+"""

@@ -13,6 +13,7 @@ from faultline.llm.bag_minhash import near_duplicates
 from faultline.llm.common import shared_folder, table
 from faultline.llm.exact_dedup import exact_dedup
 from faultline.llm.html_text import extract_pages
+from faultline.llm.merkle import verify_documents
 from faultline.llm.mixing import mix
 from faultline.llm.neighbours import every_twentieth
 from faultline.llm.packing import pack_documents
@@ -67,6 +68,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_exact_dedup,
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_html_text,
         op9_token_rollups,
         op10_toxicity,
+        op13_merkle_manifest,
     )
     return {operator.__name__: operator for operator in operators}
 
