@@ -105,6 +105,90 @@ FROM laid l
 LEFT JOIN taken t ON t.doc_id IS NOT DISTINCT FROM l.doc_id AND t.source_no = l.source_no AND t.low = l.low AND t.size = l.size
 """
 
+SQL["op11_conversations"] = r"""
+WITH RECURSIVE turns AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           xor(list_reduce(list_prepend(4294967295, list_transform(
+                   string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT)),
+               lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+                   lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 20 AS what
+    FROM conversations
+),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role,
+           CASE what WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+    FROM turns, range(CASE WHEN what = 3 THEN 2 ELSE 1 END) WHERE what <> 0
+),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(concat(strlen(role), ':', role, text))) AS i,
+           count(*) OVER (PARTITION BY conv_id) AS n,
+           regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS shown
+    FROM damaged
+),
+faulty AS (
+    SELECT *, CASE WHEN shown = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                   WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'sound' END AS fault,
+           left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+    FROM ranked
+),
+-- Cheapest rest from row i on, by what was said last: nothing, s, u, a. Insertions come before the edit of the row.
+rests AS (
+    SELECT DISTINCT conv_id, n + 1 AS i, {'c': 0, 'e': ''} AS v0, {'c': 10, 'e': 'II'} AS v1, {'c': 5, 'e': 'I'} AS v2, {'c': 0, 'e': ''} AS v3
+    FROM faulty
+    UNION ALL
+    SELECT conv_id, i,
+           least(w0, {'c': w2.c + 5, 'e': 'I' || w2.e}, {'c': w3.c + 10, 'e': 'II' || w3.e}),
+           least(w1, {'c': w2.c + 5, 'e': 'I' || w2.e}, {'c': w3.c + 10, 'e': 'II' || w3.e}),
+           least(w2, {'c': w3.c + 5, 'e': 'I' || w3.e}), least(w3, {'c': w2.c + 5, 'e': 'I' || w2.e})
+    FROM (
+        SELECT conv_id, i,
+               least({'c': v0.c + 2, 'e': 'D' || v0.e}, {'c': CASE WHEN initial = 's' THEN left_ ELSE 99999999 END + v1.c, 'e': 'K' || v1.e},
+                     {'c': CASE WHEN initial = 'u' THEN left_ ELSE 99999999 END + v2.c, 'e': 'K' || v2.e}, {'c': left_ + 1 + v2.c, 'e': 'R' || v2.e}) AS w0,
+               least({'c': v1.c + 2, 'e': 'D' || v1.e}, {'c': CASE WHEN initial = 'u' THEN left_ ELSE 99999999 END + v2.c, 'e': 'K' || v2.e},
+                     {'c': left_ + 1 + v2.c, 'e': 'R' || v2.e}) AS w1,
+               least({'c': v2.c + 2, 'e': 'D' || v2.e}, {'c': CASE WHEN initial = 'a' THEN left_ ELSE 99999999 END + v3.c, 'e': 'K' || v3.e},
+                     {'c': left_ + 1 + v3.c, 'e': 'R' || v3.e}) AS w2,
+               least({'c': v3.c + 2, 'e': 'D' || v3.e}, {'c': CASE WHEN initial = 'u' THEN left_ ELSE 99999999 END + v2.c, 'e': 'K' || v2.e},
+                     {'c': left_ + 1 + v2.c, 'e': 'R' || v2.e}) AS w3
+        FROM (
+            SELECT r.*, f.i AS row_i, f.initial, CASE f.fault WHEN 'sound' THEN 0 WHEN 'truncated' THEN 5 ELSE 99999999 END AS left_
+            FROM rests r JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i - 1
+        ) AS x(conv_id, next_i, v0, v1, v2, v3, i, initial, left_)
+    )
+),
+best AS (SELECT conv_id, v0.c::BIGINT AS cost, v0.e AS audit FROM rests WHERE i = 1),
+lettered AS (
+    SELECT conv_id, p, substr(audit, p, 1) AS letter,
+           len(replace(left(audit, p), 'I', '')) AS i, len(replace(left(audit, p), 'D', '')) AS k
+    FROM best, unnest(range(1, len(audit) + 1)) AS t(p)
+),
+left_over AS (
+    SELECT l.*, f.role, f.text,
+           max(CASE WHEN l.letter = 'K' AND f.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS led
+    FROM lettered l LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = l.i AND l.letter <> 'I'
+    WHERE l.letter <> 'D'
+),
+repaired AS (
+    SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (k - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+                               || coalesce(text, ''), chr(10) ORDER BY p) AS whole
+    FROM left_over GROUP BY conv_id
+),
+counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+           count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+           count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM faulty GROUP BY conv_id
+)
+SELECT a.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate,
+       coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal, coalesce(b.cost, 0) AS cost,
+       coalesce(b.audit, '') AS audit, sha256(coalesce(r.whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
 SQL["op13_merkle_manifest"] = """
 WITH RECURSIVE docs AS (
     SELECT doc_id, lang,

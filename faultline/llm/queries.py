@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from faultline.llm import oracles
 from faultline.llm.bag_minhash import near_duplicates
 from faultline.llm.common import shared_folder, table
+from faultline.llm.conversations import damage_and_repair
 from faultline.llm.exact_dedup import exact_dedup
 from faultline.llm.html_text import extract_pages
 from faultline.llm.merkle import verify_documents
@@ -68,6 +69,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify_documents(table(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_html_text,
         op9_token_rollups,
         op10_toxicity,
+        op11_conversations,
         op13_merkle_manifest,
     )
     return {operator.__name__: operator for operator in operators}
