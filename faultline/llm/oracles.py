@@ -189,6 +189,30 @@ LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM a.conv_id
 LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM a.conv_id
 """
 
+SQL["op12_prefix_tree"] = r"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+    FROM documents
+),
+sets AS (
+    SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                        ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS grams
+    FROM worded
+),
+sized AS (SELECT doc_id, len(grams) AS n FROM sets),
+spread AS (SELECT doc_id, unnest(grams) AS gram FROM sets),
+common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM spread a JOIN spread b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL
+),
+links AS (
+    SELECT a, b FROM common JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)
+),
+reached AS (SELECT doc_id, doc_id AS other FROM sized UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other)
+SELECT s.doc_id, s.n AS n_shingles, least_id AS component_id
+FROM sized s JOIN (SELECT doc_id, min(other) AS least_id FROM reached GROUP BY doc_id) r USING (doc_id)
+"""
+
 SQL["op13_merkle_manifest"] = """
 WITH RECURSIVE docs AS (
     SELECT doc_id, lang,

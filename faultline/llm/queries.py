@@ -19,6 +19,7 @@ from faultline.llm.mixing import mix
 from faultline.llm.neighbours import every_twentieth
 from faultline.llm.packing import pack_documents
 from faultline.llm.pii import find_personal_data
+from faultline.llm.prefix_tree import similar_sets
 from faultline.llm.quality import score_quality
 from faultline.llm.token_rollups import TokenRollups, corpus_history
 from faultline.llm.toxicity import score_toxicity
@@ -73,6 +74,10 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damage_and_repair(table(spark, sf_dir, "conversations"))
 
 
+def op12_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(table(spark, sf_dir, "documents")).drop("set_key")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify_documents(table(spark, sf_dir, "documents"))
 
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_token_rollups,
         op10_toxicity,
         op11_conversations,
+        op12_prefix_tree,
         op13_merkle_manifest,
     )
     return {operator.__name__: operator for operator in operators}
