@@ -334,9 +334,14 @@ def similar_sets(docs: DataFrame) -> DataFrame:
         F.first("pool").alias("pool"),
         F.min(F.struct("key", "doc_id")).alias("of"),
     )
-    nodes, nodes_at = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
+    pooled, pooled_at = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
+    # The shingles are the bulk: what no longer needs them is written anew without them, and they are deleted.
+    rows, rows_at = stored(marked.select("doc_id", "mark", "n"))
+    forget(spark, marked_at)
     release(spark)
-    members = checkpointed(prefix_members(nodes))
+    members = checkpointed(prefix_members(pooled))
+    nodes, nodes_at = stored(pooled.drop("pool", "counted"))
+    forget(spark, pooled_at)
     release(spark)
     members, members_at = stored(several(members))
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select(
@@ -354,13 +359,13 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     labelled = labelled.select("mark", "first_id", F.coalesce("label", "node").alias("label"))
     least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     by_mark = labelled.join(least, "label").select("mark", "component_id")
-    found = marked.select("doc_id", "mark", "n").join(by_mark, "mark", "left").select(
+    found = rows.join(by_mark, "mark", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.lower(F.hex("mark")).alias("set_key"),
     )
     found = checkpointed(found)
-    for at in (marked_at, nodes_at, members_at, texts_at):
+    for at in (rows_at, nodes_at, members_at, texts_at):
         forget(spark, at)
     return found

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 import pytest
-from llm_samples import DOCS, SF, documents, frame_of, needs_data, oracle_rows, text_table
+from llm_samples import DOCS, SF, documents, needs_data, oracle_rows, text_table
 
 from faultline.llm import prefix_tree, queries
 from faultline.llm.prefix_tree import Trie, linked, needed, prefix_length, shingle_set, similar_sets
@@ -125,7 +125,6 @@ def test_words_end_at_ascii_space_only():
 @needs_data
 def test_given_documents(spark):
     found = queries.op12_prefix_tree(spark, SF)
-    rows = frame_of(found)
-    got = sorted(rows[["doc_id", "n_shingles", "component_id"]].itertuples(index=False, name=None))
-    assert got == plain_components(list(text_table().items()))
-    assert sorted(repr(list(r)) for r in found.collect()) == oracle_rows(queries.oracle_sql()["op12_prefix_tree"], found.columns)
+    got = found.collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == plain_components(list(text_table().items()))
+    assert sorted(repr(list(r)) for r in got) == oracle_rows(queries.oracle_sql()["op12_prefix_tree"], found.columns)
