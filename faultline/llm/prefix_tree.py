@@ -33,7 +33,7 @@ from faultline.operators.ordinal import with_ordinal
 WORDS = 5
 _ROLL = np.uint64(0xD6E8FEB86659FD93)
 #: The shingles whose hashes lie below come first in the global order; they are counted.
-COUNTED = 3 * (1 << 63) // 10
+COUNTED = (1 << 63) // 4
 #: Members compared with one copy of the member that comes first.
 CHUNK = 256
 #: Sets in one trie; a larger component or bucket takes several.
@@ -339,11 +339,12 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     rows, rows_at = stored(marked.select("doc_id", "mark", "n"))
     forget(spark, marked_at)
     release(spark)
-    members = checkpointed(prefix_members(pooled))
+    placed, placed_at = stored(prefix_members(pooled))
     nodes, nodes_at = stored(pooled.drop("pool", "counted"))
     forget(spark, pooled_at)
     release(spark)
-    members, members_at = stored(several(members))
+    members, members_at = stored(several(placed))
+    forget(spark, placed_at)
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select(
         F.col("of.key").alias("key__"), F.col("of.doc_id").alias("id__"), "node"
     )
