@@ -8,8 +8,9 @@ similarity. All points of a shingle follow from its hash, so documents that shar
 
 Bands of slots give buckets. A few members of each bucket, drawn by a hash, are compared with all others, and
 components are formed; then the members outside the largest component of a bucket are compared with all members of
-other components. Signatures rule out hopeless pairs, the rest is verified
-on whole bags. Rows are (bucket, node) pairs, bags pass in a stream sorted by pivot, so no group is gathered.
+other components, where the task that holds these emits only links that connect something. Signatures rule out
+hopeless pairs, the rest is verified on whole bags. Rows are (bucket, node) pairs, bags pass in a stream sorted by
+pivot or group, so no group is gathered.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import checkpointed, forget, one_of_each, stored, text_of
-from faultline.llm.components import components
+from faultline.llm.components import Joined, components
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -38,7 +39,7 @@ DEVIATIONS = 4
 PIVOTS = 2
 #: Members compared with one copy of a pivot's text.
 CHUNK = 256
-#: Members outside the largest component of a bucket that are held at once while all its members pass by.
+#: Members of a group that are held at once while those outside its largest component pass by.
 HELD = 512
 #: Words a worker remembers.
 KNOWN_WORDS = 500_000
@@ -200,57 +201,73 @@ def _hopeful(least: float):
     return run
 
 
-def _alike(held: pd.DataFrame, slots: np.ndarray, passing: pd.DataFrame, least: float) -> Iterator[pd.DataFrame]:
-    """Pairs of a held and a passing member of a bucket in different components that may be similar, each only
-    in the first band that both share."""
-    band, share = int(held["band"].iloc[0]), hopeless(least)
-    a, la, bands = held["node"].to_numpy(), held["label"].to_numpy(), np.stack(held["bands"].tolist())
-    for start in range(0, len(passing), 64):
-        part = passing.iloc[start : start + 64]
-        b, lb = part["node"].to_numpy(), part["label"].to_numpy()
-        same = slots[:, None, :] == np.frombuffer(b"".join(part["signature"]), "u1").reshape(len(part), -1)[None, :, :]
-        i, j = np.nonzero((same.mean(axis=2) >= share) & (la[:, None] != lb[None, :]))
-        if len(i):
-            first = ~(bands[i, :band] == np.stack(part["bands"].tolist())[j, :band]).any(axis=1)
-            yield pd.DataFrame({"a": a[i][first], "b": b[j][first]})
+class Held:
+    """Members of a group against which others pass: nodes, labels, signatures and bags."""
+
+    def __init__(self):
+        self.nodes, self.labels, self.short, self.bags, self.joined, self.slots = [], [], [], [], Joined(), None
+
+    def add(self, node: int, label: int, short: bytes, bag) -> None:
+        self.nodes.append(node)
+        self.labels.append(label)
+        self.short.append(np.frombuffer(short, "u1"))
+        self.bags.append(bag)
+
+    def links(self, node: int, label: int, short: bytes, bag, least: float) -> Iterator[tuple[int, int, float]]:
+        """The links of a passing member that join two labels, likeliest first."""
+        if self.slots is None:
+            self.slots, self.sizes = np.stack(self.short), np.array([int(b[1].sum()) for b in self.bags])
+        share = (self.slots == np.frombuffer(short, "u1")).mean(axis=1)
+        size = int(bag[1].sum())
+        fits = (np.minimum(self.sizes, size) >= least * np.maximum(self.sizes, size)) & (share >= hopeless(least))
+        near = np.flatnonzero(fits)
+        for i in near[np.argsort(-share[near], kind="stable")]:
+            if self.joined.root(self.labels[i]) == self.joined.root(label):
+                continue
+            if (found := similarity(self.bags[i], bag)) >= least:
+                self.joined.join(self.labels[i], label)
+                yield self.nodes[i], node, found
 
 
 def _compared(least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, kept, slots, held = None, [], None, None
+        hashes, at, held = WordHashes(), None, Held()
         for batch in batches:
-            runs = (batch[["bucket", "chunk", "role"]].diff().ne(0).any(axis=1)).cumsum()
-            for _, part in batch.groupby(runs, sort=False):
-                own = (part["bucket"].iloc[0], part["chunk"].iloc[0])
-                if own != key:
-                    key, kept, slots = own, [], None
-                if part["role"].iloc[0] == 0:
-                    kept.append(part)
-                    continue
-                if slots is None:
-                    held = pd.concat(kept)
-                    slots = np.frombuffer(b"".join(held["signature"]), "u1").reshape(len(held), -1)
-                yield from _alike(held, slots, part, least)
+            found = []
+            for group, chunk, role, node, label, short, text in batch.itertuples(index=False, name=None):
+                if (group, chunk) != at:
+                    at, held = (group, chunk), Held()
+                bag = shingle_bag(text.split(" ") if text else [], hashes)
+                if role == 0:
+                    held.add(node, label, short, bag)
+                else:
+                    found += held.links(node, label, short, bag, least)
+            yield pd.DataFrame(found, columns=["a", "b", "similarity"])
 
     return run
 
 
-def _remaining(labelled: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of a bucket's members in different components that may be similar, at least one of them
-    outside its largest component."""
+def _remaining(labelled: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between members of a bucket in different components, enough to connect all that are linked.
+
+    All buckets with the same largest component form one group, in which a member stands once however many buckets it shares.
+    Members outside that component pass by all members, chunk by chunk, and are verified where they pass.
+    """
     counted = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    largest = counted.groupBy("bucket").agg(
-        F.max_by("label", "n").alias("main"), F.count("*").alias("k"), (F.sum("n") - F.max("n")).alias("outside")
-    )
-    several = labelled.join(largest.filter("k > 1"), "bucket").withColumn("chunks", F.ceil(F.col("outside") / HELD).cast("int"))
-    columns = ("bucket", "band", "node", "label", "chunk", "role")
-    outside = several.filter("label <> main").select(
-        "*", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), F.lit(0).alias("role")
-    )
-    passing = several.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"))
-    rows = outside.select(*columns).unionByName(passing.select(*columns)).join(nodes.select("node", "signature", "bands"), "node")
-    ordered = rows.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "role")
-    return ordered.mapInPandas(_compared(least), "a long, b long")
+    largest = counted.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("group"), F.count("*").alias("k"))
+    several = labelled.join(largest.filter("k > 1").drop("k"), "bucket")
+    several = checkpointed(several.select("group", "node", "label").distinct())
+    sizes = several.groupBy("group").agg(F.ceil(F.count("*") / HELD).alias("chunks"))
+    cut = several.join(sizes, "group")
+    columns = ("group", "chunk", "role", "node", "label")
+    held = cut.select("*", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), F.lit(0).alias("role"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    passing = cut.filter("label <> group").select("*", every.alias("chunk"), F.lit(1).alias("role"))
+    rows = held.select(*columns).unionByName(passing.select(*columns))
+    rows = rows.join(nodes.select("node", "signature"), "node").join(texts, "node")
+    ordered = rows.repartition("group", "chunk").sortWithinPartitions("group", "chunk", "role")
+    found = ordered.select(*columns, "signature", "text").mapInPandas(_compared(least), "a long, b long, similarity double")
+    return checkpointed(found)
 
 
 def _verified(least: float):
@@ -315,9 +332,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, pivots: int = PI
         F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("signature").alias("signature")
     )
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
-    placed = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    placed = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    members, at = stored(placed.join(shared, "bucket").select("bucket", "band", "node"))
+    members, at = stored(placed.join(shared, "bucket").select("bucket", "node"))
     # Texts are moved to their nodes once, one row of each class of copies; later joins move only these.
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("key", "first_id", "node")
     theirs = (normal["key"] == wanted["key"]) & normal["doc_id"].eqNullSafe(wanted["first_id"])
@@ -330,9 +347,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, pivots: int = PI
     labels = components(links)
     known = labels.select(F.col("node").alias("n__"), F.col("label").alias("l__"))
     labelled = members.join(known, members["node"] == known["n__"], "left").select(
-        "bucket", "band", "node", F.coalesce("l__", "node").alias("label")
+        "bucket", "node", F.coalesce("l__", "node").alias("label")
     )
-    links = links.unionByName(_links(_remaining(labelled, nodes, least), texts, least))
+    links = links.unionByName(_remaining(labelled, nodes, texts, least))
     labels = components(links)
     forget(spark, at)
     forget(spark, text_at)

@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 from faultline.llm.common import checkpointed, release
 
 
+class Joined:
+    """Labels that are connected, within one task."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, label: int) -> int:
+        while (above := self.parent.get(label, label)) != label:
+            self.parent[label] = label = self.parent.get(above, above)
+        return label
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
 def components(links: DataFrame) -> DataFrame:
     """The smallest node of its component for each node that occurs in `links` (a, b: long).
 

@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from faultline.llm.bag_minhash import WordHashes, mixed
 from faultline.llm.common import checkpointed, forget, one_of_each, release, stored, text_of
-from faultline.llm.components import components
+from faultline.llm.components import Joined, components
 from faultline.operators.ordinal import with_ordinal
 
 WORDS = 5
@@ -218,24 +218,6 @@ class Trie:
                 waiting += [(a, b, until, active, overlap) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-class Joined:
-    """Labels that are connected, within one trie."""
-
-    def __init__(self):
-        self.parent: dict[int, int] = {}
-
-    def root(self, label: int) -> int:
-        while (above := self.parent.get(label, label)) != label:
-            self.parent[label] = label = self.parent.get(above, above)
-        return label
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-        return a != b
-
-
 def _links_of(trie: Trie, joined: Joined, held: list, others: list, sets: list) -> list[tuple[int, int]]:
     """The links of the trie's sets with the others that join two labels."""
     found = []
