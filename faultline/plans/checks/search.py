@@ -13,6 +13,7 @@ from faultline.functions.narrative import (
     shorten,
     with_snippet,
 )
+from faultline.operators import postings
 from faultline.operators import search as ops
 from faultline.operators.catalog import make_totals, vehicle_entries
 from faultline.operators.search import SearchRequest
@@ -366,3 +367,61 @@ def search_hits(spark, sf_dir):
         "id", "make", "make_slug", "model", "model_year", "component_group", "miles_at_failure",
         F.array_join("outcomes", ", ").alias("outcomes"),
     )
+
+
+# The words of a narrative between single spaces, so that a phrase of whole words is a part of it.
+views.SQL_VIEWS["spaced"] = f"""
+SELECT id, ' ' || array_to_string(list_transform(regexp_extract_all(strip_accents(lower(description)), '{_TEXT_WORD}'),
+                                                 lambda w: regexp_replace(w, '[''’]s$', '')), ' ') || ' ' AS spaced
+FROM narratives
+"""
+
+
+@check(
+    f"""
+WITH placed AS (
+    SELECT id, unnest(string_split(trim(spaced), ' ')) AS word, unnest(range(len(string_split(trim(spaced), ' ')))) AS place
+    FROM spaced WHERE trim(spaced) <> ''
+)
+SELECT word, {sql_stem('word')} AS stem, CAST(id // {postings.RANGE_IDS} AS BIGINT) AS id_range, min(id) AS first_id, max(id) AS last_id,
+       CAST(count(DISTINCT id) AS INT) AS reports, count(*) AS places,
+       CAST(sum((id % {postings.RANGE_IDS} + 1) * (place + 1)) AS BIGINT) AS weighted
+FROM placed GROUP BY ALL
+""",
+    (*NARRATIVES, "spaced"),
+)
+def positional_index(spark, sf_dir):
+    """Every block with its range, and a sum over its occurrences that tells their ids and positions apart."""
+    place = 1 << 32
+    weighted = F.aggregate(
+        "occurrences",
+        F.lit(0).cast("bigint"),
+        lambda total, o: total + (F.floor(o / place) + 1) * (o - F.floor(o / place) * place + 1),
+    )
+    blocks = postings.positional_index(views.narratives(spark, sf_dir))
+    return blocks.select(
+        "word", "stem", "id_range", "first_id", "last_id", "reports", F.size("occurrences").cast("bigint").alias("places"), weighted.alias("weighted")
+    )
+
+
+def _posted(spark, sf_dir, request):
+    reports = views.narratives(spark, sf_dir)
+    return postings.search_postings(postings.positional_index(reports), reports, request).select("id", "vehicle_key")
+
+
+@check(f"SELECT id, vehicle_key FROM narratives WHERE {_TEXT_SQL}", (*NARRATIVES, "stems"))
+def search_postings(spark, sf_dir):
+    """Words and excluded words by merging blocks: the same rows as by reading the texts."""
+    return _posted(spark, sf_dir, TEXT)
+
+
+@check(
+    f"""
+SELECT id, vehicle_key FROM narratives JOIN spaced USING (id)
+WHERE {_sql_has('oners', 'thered')} AND contains(spaced, ' of the ') AND NOT contains(spaced, ' to the ') AND NOT {_sql_has('heder')}
+""",
+    (*NARRATIVES, "stems", "spaced"),
+)
+def search_postings_phrase(spark, sf_dir):
+    """Phrases of whole words, wanted and excluded, by merging blocks."""
+    return _posted(spark, sf_dir, SearchRequest(term='oners thered "of the" -"to the" -heder'))
