@@ -8,5 +8,6 @@ from faultline.plans.checks import (  # noqa: F401
     recalls,
     search,
     taxonomy,
+    updates,
 )
 from faultline.plans.checks.registry import oracles, queries  # noqa: F401
