@@ -36,7 +36,7 @@ SLOTS = 240
 #: that falls shorter is not verified.
 DEVIATIONS = 4
 #: Pivots drawn from a bucket before the remaining members are compared.
-PIVOTS = 2
+PIVOTS = 1
 #: Members compared with one copy of a pivot's text.
 CHUNK = 256
 #: Members of a group that are held at once while those outside its largest component pass by.
@@ -307,8 +307,9 @@ def _links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def _drawn(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs of a member of each bucket, drawn by a hash, and each other member."""
-    pivots = members.groupBy("bucket").agg(F.min_by("node", F.xxhash64("bucket", "node", F.lit(turn))).alias("a"))
+    """Pairs of a member of each bucket, drawn by a hash, and each other member. The hash is of the member alone, so the buckets
+    that a group of near copies shares draw the same one."""
+    pivots = members.groupBy("bucket").agg(F.min_by("node", F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("a"))
     return members.join(pivots, "bucket").filter("node <> a").select("a", F.col("node").alias("b"))
 
 
