@@ -130,10 +130,10 @@ def _sql_both(condition: str, table: str = "narratives") -> str:
     return f"SELECT id, way FROM {table}, (VALUES ('scan'), ('index')) AS ways(way) WHERE {condition}"
 
 
-@check(_sql_both(f"{_sql_has('x', 's')} AND NOT {_sql_has('e')}"), (*NARRATIVES, "stems"))
+@check(_sql_both(f"{_sql_has('c', 'u')} AND NOT {_sql_has('e')}"), (*NARRATIVES, "stems"))
 def search_single_letters(spark, sf_dir):
     """Letters that stand alone as words, one of them excluded."""
-    return _both_ways(views.narratives(spark, sf_dir), SearchRequest(term="x s -e"))
+    return _both_ways(views.narratives(spark, sf_dir), SearchRequest(term="c u -e"))
 
 
 @check(_sql_both(_sql_has("eau", "ete", "ere")), (*NARRATIVES, "stems"))
