@@ -3,14 +3,18 @@
 Equal vectors are one node, so a vector that fills a third of the table is no hot spot, and its rows are put back
 exactly at the end. One more coordinate makes all nodes equally long, which turns the largest inner product
 into the nearest neighbour. It is never stored: links are scored in double precision by the vectors as they were given, so
-that one very long vector does not make the others alike. The graph begins with exact neighbours inside random blocks; then rounds of joins take
-neighbours of neighbours, in both directions, as candidates, and each node keeps its best. A link is fresh until a round
-has followed it; rounds go on until hardly any link is, however many that takes. A table of one block is exact at once.
-A query enters at its own node, if it has one, or at random ones, and at the longest, and opens the best nodes of its beam, many queries and
-nodes at a time, until all nodes in the beam are open.
-
-Vectors meet where the candidates are: a request carries one vector and the candidates of one block; the
-vectors of a block are held by the task while its requests pass by in a stream.
+that one very long vector does not make the others alike.
+
+Trees of random projections, fitted on a bounded sample, put near nodes into one cell, and the graph begins with the exact
+neighbours inside the cells of each tree. Then rounds join the graph with itself: each node is a pivot whose links, followed
+in both directions, are compared with one another, and what is nearer to an end than its worst link becomes a candidate. A
+link is fresh until a round has followed it; rounds go on until hardly any link is, however many that takes. Pivots of one cell
+are joined by one task, to which the vector of each of their neighbours is sent once.
+
+A query enters at its own node, if it has one, and at the best of a bounded list of random and of the longest nodes, and opens
+the best nodes of its beam, many queries and nodes at a time, until all nodes in the beam are open. A request carries one vector
+and the candidates of one cell; the vectors of a cell are held by the task while its requests pass by in a stream. The
+number of a node begins with its cell.
 """
 
 from __future__ import annotations
@@ -28,22 +32,27 @@ from pyspark.sql.window import Window
 
 from faultline.llm.common import checkpointed, release
 
-#: Nodes of a block; links of a node; of them, those that a round follows, and as many reversed.
-BLOCK, LINKS, FORWARD, BACKWARD = 8192, 24, 12, 8
-#: Random partitions into blocks the graph begins with.
-BEGINNINGS = 2
+#: Nodes of a cell, on average at most; links of a node; of them, those that a round follows, and as many reversed.
+BLOCK, LINKS, FORWARD, BACKWARD = 1024, 24, 24, 16
+#: Trees of projections; numbers and vectors of the sample they are fitted on, and its vectors per leaf.
+BEGINNINGS, SAMPLED_NUMBERS, SAMPLED, PER_LEAF = 2, 1 << 21, 8192, 16
+#: Candidates a task holds, to send on only the best of each node.
+MOST_HELD = 1 << 21
 #: Share of links, new or not yet followed, below which the graph is left as it is.
 SETTLED = 0.01
-#: Reversed links a search may follow; nodes in the beam; nodes opened at a time; entries of a query without a node, and
-#: the longest nodes, at which each query enters, as they are near to many queries and far from all nodes.
-REVERSED, BEAM, OPENED, ENTRIES, LONG_ENTRIES = 24, 400, 128, 64, 64
+#: Reversed links a search may follow; nodes in the beam; nodes opened at a time; random entries, and the longest nodes, which
+#: are near to many queries and far from all nodes; of both, those at which a query enters.
+REVERSED, BEAM, OPENED, ENTRIES, LONG_ENTRIES, ENTERED = 24, 400, 100, 64, 64, 32
 NEAREST = 20
+#: Bits of a cell's number within its leaf, and of a node's number within its cell.
+PART_BITS, NODE_BITS = 20, 32
+LINK_TYPE = "a long, b long, s double"
 
 
 @dataclass
 class Index:
-    """nodes (node, v: packed numbers of the type `kind`), vectors (node, embedding), members (node, vec_id: the smallest
-    of equal vectors), links (a, b); the length of the longest vector."""
+    """nodes (node, vec_id, v: packed numbers of the type `kind`), vectors (node, embedding), members (node, vec_id: the
+    smallest of equal vectors), links (node, near); the number of cells, the length of the longest vector, and components."""
 
     nodes: DataFrame
     vectors: DataFrame
@@ -52,22 +61,27 @@ class Index:
     blocks: int
     kind: str
     longest: float
+    size: int
 
 
-def block_of(node: Column, blocks: int, seed: int = 0) -> Column:
-    return F.pmod(F.xxhash64(node, F.lit(seed)), F.lit(blocks)).cast("int")
+def cell_of(node: Column) -> Column:
+    return F.shiftright(node, NODE_BITS).cast("int")
 
 
-def sound(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding (doubles) of the rows that take part: a known id and a vector of the table's most common
-    length whose components are all finite and not all zero; an id counts once."""
+def usable(vectors: DataFrame) -> DataFrame:
+    """vec_id, embedding (doubles) of the rows with a known id and a vector whose components are all finite and not all
+    zero; an id counts once."""
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
     rows = rows.filter(finite & F.exists("embedding", lambda x: x != 0))
-    rows = rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    sizes = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1)
-    return rows.join(F.broadcast(sizes.select("n")), F.size("embedding") == F.col("n")).drop("n")
+    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+
+
+def commonest_size(rows: DataFrame) -> int:
+    """The number of components most vectors have, the larger of equally common ones; 0 without vectors."""
+    first = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    return first.n if first else 0
 
 
 def _kind_of(vectors: DataFrame) -> str:
@@ -75,12 +89,12 @@ def _kind_of(vectors: DataFrame) -> str:
     return "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
 
 
-def _packed(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            rows = np.array(batch.column(1).to_pylist(), dtype=np.float64).astype(kind)
-            packed = pa.array([row.tobytes() for row in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["node", "v"])
+def _matrix(lists: pa.Array, size: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
+def _packed(x: np.ndarray) -> pa.Array:
+    return pa.array([row.tobytes() for row in x], pa.binary())
 
 
 def _unpacked(values, kind: str) -> np.ndarray:
@@ -101,8 +115,81 @@ def _nearness(product, square_a, square_b, rest_a, rest_b):
     return 2 * product - square_a - square_b - apart * apart
 
 
-def _inside_block(links: int, kind: str, longest: float):
-    """Exact neighbours of the nodes of a block in their block."""
+# Cells.
+
+
+def _leaf_of(x: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int) -> np.ndarray:
+    directions, cuts = tree
+    at = np.zeros(len(x), dtype=np.int64)
+    for _ in range(depth):
+        at = 2 * at + 1 + (np.einsum("ij,ij->i", x, directions[at]) > cuts[at])
+    return at - (2**depth - 1)
+
+
+def _trees(sample: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Trees that halve the sample by the direction from one of its members to another, level by level."""
+    rng, trees = np.random.default_rng(7), []
+    for _ in range(BEGINNINGS):
+        directions, cuts = np.zeros((max(1, 2**depth - 1), sample.shape[1])), np.zeros(max(1, 2**depth - 1))
+        for level in range(depth):
+            leaf = _leaf_of(sample, (directions, cuts), level)
+            for k in range(2**level):
+                own = sample[leaf == k]
+                if len(own) > 1:
+                    one, two = own[rng.choice(len(own), 2, replace=False)]
+                    at = 2**level - 1 + k
+                    directions[at] = one - two
+                    cuts[at] = np.median(np.einsum("ij,j->i", own, one - two))
+        trees.append((directions, cuts))
+    return trees
+
+
+def _in_leaves(kind: str, size: int, trees, depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(1), size)
+                leaves = np.stack([_leaf_of(x, tree, depth) for tree in trees], axis=1)
+                columns = [batch.column(0), _packed(x.astype(kind)), pa.array(leaves.tolist(), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "v", "leaves"])
+
+    return run
+
+
+def _in_cells(single: DataFrame, count: int, kind: str, size: int, block: int) -> tuple[DataFrame, int]:
+    """node, vec_id, v, and the cell in each tree; and how many cells the first tree has. Where a leaf holds more than a
+    cell may, ids split it."""
+    most = max(1, min(SAMPLED, SAMPLED_NUMBERS // max(1, size)))
+    share = min(1.0, most / max(1, count))
+    in_sample = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20))
+    sample = single.filter(in_sample).select("embedding").toArrow()["embedding"].combine_chunks()
+    sample = _matrix(sample, max(1, size)) if len(sample) else np.zeros((1, max(1, size)))
+    wanted = int(np.ceil(np.log2(max(1, count / block))))
+    depth = max(0, min(wanted, int(np.log2(max(1, len(sample) / PER_LEAF)))))
+    trees = _trees(sample, depth)
+    placed = single.select("vec_id", "embedding").mapInArrow(
+        _in_leaves(kind, size, trees, depth), "vec_id long, v binary, leaves array<int>"
+    )
+    placed = checkpointed(placed)
+    cells, blocks = placed, 0
+    for tree in range(BEGINNINGS):
+        leaf = F.col("leaves")[tree]
+        # At most one row per leaf of the tree.
+        parts = checkpointed(placed.groupBy(leaf.alias("leaf")).agg(F.ceil(F.count("*") / block).alias("parts")))
+        part = F.pmod(F.xxhash64("vec_id", F.lit(tree)), F.col("parts")).cast("int")
+        cells = cells.join(F.broadcast(parts), leaf == F.col("leaf"))
+        cells = cells.withColumn(f"cell{tree}", F.shiftleft(leaf, PART_BITS) + part).drop("leaf", "parts")
+        blocks = blocks or int(parts.agg(F.sum("parts")).first()[0] or 0)
+    place = F.row_number().over(Window.partitionBy("cell0").orderBy("vec_id")).cast("long")
+    node = F.shiftleft(F.col("cell0").cast("long"), NODE_BITS) + place
+    return checkpointed(cells.select(node.alias("node"), "vec_id", "v", *[f"cell{t}" for t in range(BEGINNINGS)])), blocks
+
+
+# The graph.
+
+
+def _inside_cell(links: int, kind: str, longest: float):
+    """Exact neighbours of the nodes of a cell in their cell."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         x, square, rest = _lifted(_unpacked(block["v"].tolist(), kind), longest)
@@ -115,171 +202,278 @@ def _inside_block(links: int, kind: str, longest: float):
             own = np.arange(len(scores))
             scores[own, own + start] = -np.inf
             best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "a": np.repeat(ids[start : start + 512], k),
-                        "b": ids[best].ravel(),
-                        "s": np.take_along_axis(scores, best, 1).ravel(),
-                    }
-                )
-            )
+            near = np.take_along_axis(scores, best, 1).ravel()
+            parts.append(pd.DataFrame({"a": np.repeat(ids[part], k), "b": ids[best].ravel(), "s": near}))
         return pd.concat(parts) if parts else pd.DataFrame({"a": [], "b": [], "s": []}).astype({"a": "int64", "b": "int64"})
 
     return run
 
 
-def _scoring(kind: str, longest: float, links: bool):
-    """Scores of requests against the vectors of their block, which come before them in the stream: nearness of
-    nodes for links, else inner products with queries."""
-    asking_kind = kind if links else "<f8"
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """Runs of rows with one cell and one role, the first two columns."""
+    for batch in batches:
+        cells, roles = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = np.flatnonzero((np.diff(cells) != 0) | (np.diff(roles) != 0)) + 1
+        for start, end in zip([0, *cuts], [*cuts, len(cells)], strict=True):
+            if start < end:
+                yield cells[start], roles[start], batch.slice(start, end - start)
+
+
+def _best_of(a: np.ndarray, b: np.ndarray, s: np.ndarray, n: int) -> pa.RecordBatch:
+    """The n best different links of each node."""
+    order = np.lexsort((b, a))
+    a, b, s = a[order], b[order], s[order]
+    first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+    a, b, s = a[first], b[first], s[first]
+    order = np.lexsort((-s, a))
+    a, b, s = a[order], b[order], s[order]
+    begins = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])[: len(a)])
+    rank = np.arange(len(a)) - np.repeat(begins, np.diff([*begins, len(a)]))
+    good = rank < n
+    return pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good]), pa.array(s[good])], names=["a", "b", "s"])
+
+
+def _joining(kind: str, longest: float, links: int):
+    """Candidates of a cell's pivots. Rows: cell, role, id, v, least, members, fresh; the vectors of all members (role 0) come
+    before the pivots (role 1). Members of a pivot are compared if one of the two is fresh; what is above `least` of
+    an end is a candidate for it."""
+
+    def compared(part: pa.RecordBatch, ids, x, square, rest, least):
+        counts = np.diff(part.column(5).offsets.to_numpy())
+        members, fresh = part.column(5).flatten().to_numpy(), part.column(6).flatten().to_numpy(zero_copy_only=False)
+        there = np.arange(max(1, counts.max(initial=0))) < counts[:, None]
+        place, new = np.zeros(there.shape, dtype=np.int64), np.zeros(there.shape, dtype=bool)
+        place[there], new[there] = np.searchsorted(ids, members), fresh
+        v = x[place]
+        near = _nearness(
+            v @ v.transpose(0, 2, 1), square[place][:, :, None], square[place][:, None, :],
+            rest[place][:, :, None], rest[place][:, None, :],
+        )
+        good = there[:, :, None] & there[:, None, :] & (new[:, :, None] | new[:, None, :])
+        good &= (place[:, :, None] != place[:, None, :]) & (near > least[place][:, :, None])
+        pivot, one, two = np.nonzero(good)
+        return ids[place[pivot, one]], ids[place[pivot, two]], near[good]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, ids, order, x = None, [], None, None, None
-        for batch in batches:
-            blocks, roles = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(roles) != 0)) + 1
-            for start, end in zip([0, *cuts], [*cuts, len(blocks)], strict=True):
-                if start == end:
-                    continue
-                part = batch.slice(start, end - start)
-                if blocks[start] != block:
-                    block, held, x = blocks[start], [], None
-                if roles[start] == 0:
-                    held.append((part.column(2).to_numpy(), part.column(3).to_pylist()))
-                    continue
-                if x is None:
-                    if not held:
-                        continue
-                    ids = np.concatenate([a for a, _ in held])
-                    x, square, rest = _lifted(_unpacked([v for _, own in held for v in own], kind), longest)
-                    order = np.argsort(ids)
-                    ids = ids[order]
-                for low in range(0, part.num_rows, 2000):
-                    some = part.slice(low, 2000)
-                    lists = some.column(4)
-                    counts = np.diff(lists.offsets.to_numpy())
-                    wanted = lists.flatten().to_numpy()
-                    asking = np.repeat(np.arange(len(counts)), counts)
-                    place = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
-                    there = ids[place] == wanted
-                    asking, wanted, place = asking[there], wanted[there], place[there]
-                    q = _unpacked(some.column(3).to_pylist(), asking_kind)
-                    if links:
-                        q, q_square, q_rest = _lifted(q, longest)
-                    s = np.empty(len(wanted))
-                    for k in range(0, len(wanted), 20_000):
-                        at = slice(k, k + 20_000)
-                        one, two = asking[at], order[place[at]]
-                        s[at] = np.einsum("ij,ij->i", q[one], x[two])
-                        if links:
-                            s[at] = _nearness(s[at], q_square[one], square[two], q_rest[one], rest[two])
-                    good = s > some.column(5).to_numpy()[asking]
-                    asked = some.column(2).to_numpy()[asking[good]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(asked), pa.array(wanted[good]), pa.array(s[good])], names=["a", "b", "s"]
-                    )
+        cell, held, known, found, size = None, [], None, [], 0
+        for at, role, part in _segments(batches):
+            if at != cell:
+                cell, held, known = at, [], None
+            if role == 0:
+                held.append((part.column(2).to_numpy(), part.column(3).to_pylist(), part.column(4).to_numpy()))
+                continue
+            if known is None:
+                ids, least = np.concatenate([h[0] for h in held]), np.concatenate([h[2] for h in held])
+                order = np.argsort(ids)
+                vectors = _lifted(_unpacked([v for h in held for v in h[1]], kind), longest)
+                known, held = (ids[order], *(c[order] for c in vectors), least[order]), []
+            for low in range(0, part.num_rows, 256):
+                found.append(compared(part.slice(low, 256), *known))
+                size += len(found[-1][0])
+                if size > MOST_HELD:
+                    best = _best_of(*map(np.concatenate, zip(*found, strict=True)), links)
+                    found, size = [tuple(column.to_numpy() for column in best.columns)], best.num_rows
+                    if size > MOST_HELD // 2:
+                        yield best
+                        found, size = [], 0
+        if found:
+            yield _best_of(*map(np.concatenate, zip(*found, strict=True)), links)
 
     return run
 
 
-def _ask(pairs: DataFrame, asking: DataFrame, nodes: DataFrame, blocks: int, scoring) -> DataFrame:
-    """a, b, s for pairs (a, b) whose score s is above `least` of a; asking: a, v, least."""
-    lists = pairs.groupBy("a", block_of(F.col("b"), blocks).alias("block")).agg(F.collect_list("b").alias("wanted"))
-    requests = lists.join(asking, "a").select(
-        "block", F.lit(1).alias("role"), F.col("a").alias("id"), "v", "wanted", F.col("least").cast("double").alias("least")
-    )
-    held = nodes.select(
-        block_of(F.col("node"), blocks).alias("block"), F.lit(0).alias("role"), F.col("node").alias("id"), "v",
-        F.lit(None).cast("array<long>").alias("wanted"), F.lit(None).cast("double").alias("least"),
-    )
-    ordered = held.unionByName(requests).repartition("block").sortWithinPartitions("block", "role")
-    return ordered.mapInArrow(scoring, "a long, b long, s double")
-
-
 def _best(links: DataFrame, n: int, by: str = "a") -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("s"), "b" if by == "a" else "a"))
     return links.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
+def _round(graph: DataFrame, nodes: DataFrame, turn_no: int, links: int, joining) -> DataFrame:
+    """The graph after one round."""
+    # Fresh links first, in another order each round, so that none waits for ever.
+    turn = Window.partitionBy("a").orderBy(F.desc("fresh"), F.xxhash64("a", "b", F.lit(turn_no)), "b")
+    turned = graph.withColumn("turn", F.row_number().over(turn))
+    near = turned.filter(F.col("turn") <= FORWARD).select(F.col("a").alias("id"), F.struct("b", "fresh").alias("m"))
+    back = Window.partitionBy("b").orderBy(F.desc("fresh"), F.xxhash64("b", "a", F.lit(turn_no)), "a")
+    reverse = graph.withColumn("turn", F.row_number().over(back)).filter(F.col("turn") <= BACKWARD)
+    reverse = reverse.select(F.col("b").alias("id"), F.struct(F.col("a").alias("b"), "fresh").alias("m"))
+    # At most FORWARD + BACKWARD members of a pivot.
+    pivots = near.union(reverse).groupBy("id").agg(F.collect_list("m").alias("m")).filter(F.exists("m", lambda m: m["fresh"]))
+    pivots = checkpointed(pivots.select(cell_of(F.col("id")).alias("cell"), "id", F.col("m.b").alias("members"), F.col("m.fresh").alias("fresh")))
+    worst = graph.groupBy(F.col("a").alias("node")).agg(F.min("s").alias("worst"), F.count("*").alias("n"))
+    least = F.when(F.col("n") >= links, F.col("worst")).otherwise(float("-inf")).alias("least")
+    ends = nodes.select("node", "v").join(worst, "node").select(F.col("node").alias("id"), "v", least)
+    held = pivots.select("cell", F.explode("members").alias("id")).distinct().join(ends, "id").select(
+        "cell", F.lit(0).alias("role"), "id", "v", "least",
+        F.lit(None).cast("array<long>").alias("members"), F.lit(None).cast("array<boolean>").alias("fresh"),
+    )
+    asked = pivots.select(
+        "cell", F.lit(1).alias("role"), "id", F.lit(None).cast("binary").alias("v"),
+        F.lit(None).cast("double").alias("least"), "members", "fresh",
+    )
+    ordered = held.unionByName(asked).repartition("cell").sortWithinPartitions("cell", "role")
+    found = ordered.mapInArrow(joining, LINK_TYPE).withColumn("fresh", F.lit(True))
+    left = F.col("fresh") & (F.col("turn") > FORWARD)
+    merged = turned.select("a", "b", "s", left.alias("fresh")).unionByName(found)
+    merged = merged.groupBy("a", "b").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
+    return checkpointed(_best(merged, links).select("a", "b", "s", "fresh"))
+
+
 def _length() -> Column:
     return F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x * x))
 
 
 def build_index(vectors: DataFrame, block: int = BLOCK, links: int = LINKS) -> Index:
-    """A neighbour graph of all rows of `vectors` (vec_id, embedding; other columns are not read) that take part."""
-    rows = checkpointed(sound(vectors))
+    """A neighbour graph of all rows of `vectors` (vec_id, embedding; other columns are not read) that take part: those
+    `usable`, with the most common number of components."""
+    rows = checkpointed(usable(vectors))
+    size = commonest_size(rows)
     group = Window.partitionBy("embedding")
-    ranked = rows.withColumn("rank", F.row_number().over(group.orderBy("vec_id"))).filter(F.col("rank") <= NEAREST + 1)
-    members = checkpointed(ranked.withColumn("node", F.min("vec_id").over(group)))
-    single = members.filter("rank = 1").select("node", "embedding")
+    ranked = rows.filter(F.size("embedding") == size).withColumn("rank", F.row_number().over(group.orderBy("vec_id")))
+    ranked = ranked.filter(F.col("rank") <= NEAREST + 1).withColumn("first", F.min("vec_id").over(group))
+    ranked = checkpointed(ranked)
+    single = ranked.filter("rank = 1").select("vec_id", "embedding")
     count, longest = single.agg(F.count("*"), F.max(_length())).first()
     longest, kind = float(longest or 1.0), _kind_of(vectors)
-    nodes = checkpointed(single.mapInArrow(lambda batches: _packed(batches, kind), "node long, v binary"))
-    blocks = max(1, -(-count // block))
+    nodes, blocks = _in_cells(single, count, kind, size, block)
     begun = None
-    for seed in range(1, BEGINNINGS + 1):
-        found = nodes.groupBy(block_of(F.col("node"), blocks, seed)).applyInPandas(
-            _inside_block(links, kind, longest), "a long, b long, s double"
-        )
+    for tree in range(BEGINNINGS):
+        found = nodes.select("node", "v", f"cell{tree}").groupBy(f"cell{tree}")
+        found = found.applyInPandas(_inside_cell(links, kind, longest), LINK_TYPE)
         begun = found if begun is None else begun.unionByName(found)
-    graph = checkpointed(_best(begun.dropDuplicates(["a", "b"]), links).select("a", "b", "s", F.lit(True).alias("fresh")))
-    for turn_no in count_from(1) if blocks > 1 else ():
-        # Fresh links first, in another order each round, so that none waits for ever.
-        turn = Window.partitionBy("a").orderBy(F.desc("fresh"), F.xxhash64("a", "b", F.lit(turn_no)), "b")
-        turned = graph.withColumn("turn", F.row_number().over(turn))
-        near = turned.filter(F.col("turn") <= FORWARD)
-        back = Window.partitionBy("b").orderBy(F.desc("fresh"), F.xxhash64("b", "a", F.lit(turn_no)), "a")
-        reverse = graph.withColumn("turn", F.row_number().over(back)).filter(F.col("turn") <= BACKWARD)
-        both = checkpointed(
-            near.select("a", "b", "fresh").union(reverse.select(F.col("b").alias("a"), F.col("a").alias("b"), "fresh"))
-            .groupBy("a", "b").agg(F.max("fresh").alias("fresh"))
-        )
-        one, two = both.toDF("a", "m", "f1"), both.toDF("m", "b", "f2")
-        pairs = one.join(two, "m").filter("a <> b AND (f1 OR f2)").select("a", "b").distinct()
-        asking = graph.groupBy("a").agg(F.min("s").alias("worst"), F.count("*").alias("n")).join(
-            nodes, F.col("a") == F.col("node")
-        )
-        asking = asking.select("a", "v", F.when(F.col("n") >= links, F.col("worst")).otherwise(float("-inf")).alias("least"))
-        found = _ask(pairs, asking, nodes, blocks, _scoring(kind, longest, links=True)).withColumn("fresh", F.lit(True))
-        left = F.col("fresh") & (F.col("turn") > FORWARD)
-        merged = turned.select("a", "b", "s", left.alias("fresh")).unionByName(found)
-        merged = merged.groupBy("a", "b").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
-        graph = checkpointed(_best(merged, links).select("a", "b", "s", "fresh"))
+    begun = begun.groupBy("a", "b").agg(F.max("s").alias("s"))
+    graph = checkpointed(_best(begun, links).select("a", "b", "s", F.lit(True).alias("fresh")))
+    for turn_no in count_from(1):
+        graph = _round(graph, nodes, turn_no, links, _joining(kind, longest, links))
         release(vectors.sparkSession)
-        if graph.filter("fresh").count() < SETTLED * count * links:
+        if graph.filter("fresh").count() <= SETTLED * count * links:
             break
-    outward = graph.select("a", "b")
-    inward = _best(graph, REVERSED, by="b").select(F.col("b").alias("a"), F.col("a").alias("b"))
-    reached = checkpointed(outward.union(inward).distinct())
-    return Index(nodes, single, members.select("node", "vec_id"), reached, blocks, kind, longest)
+    outward = graph.select(F.col("a").alias("node"), F.col("b").alias("near"))
+    inward = _best(graph, REVERSED, by="b").select(F.col("b").alias("node"), F.col("a").alias("near"))
+    reached = checkpointed(outward.union(inward).groupBy("node").agg(F.collect_set("near").alias("near")))
+    named = nodes.select("node", F.col("vec_id").alias("first"))
+    members = checkpointed(ranked.select("first", "vec_id").join(named, "first").select("node", "vec_id"))
+    placed = checkpointed(single.join(nodes.select("node", "vec_id"), "vec_id").select("node", "embedding"))
+    return Index(nodes.select("node", "vec_id", "v"), placed, members, reached, blocks, kind, longest, size)
+
+
+# Search.
+
+
+def _query_packed(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(1), size)
+                # The length of a query does not change its order of nodes.
+                rows = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("<f8")
+                yield pa.RecordBatch.from_arrays([batch.column(0), _packed(rows)], names=["a", "v"])
+
+    return run
+
+
+def _entering(ids: np.ndarray, x: np.ndarray):
+    """The best of the common entries for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = min(ENTERED, len(ids))
+        for batch in batches:
+            for low in range(0, batch.num_rows, 4096) if k else ():
+                part = batch.slice(low, 4096)
+                scores = _unpacked(part.column(1).to_pylist(), "<f8") @ x.T
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                a, near = np.repeat(part.column(0).to_numpy(), k), np.take_along_axis(scores, best, 1).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(ids[best].ravel()), pa.array(near)], names=["a", "b", "s"])
+
+    return run
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Requests a, v, least, wanted as one row for each cell that holds some of the wanted nodes."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, 500):
+            part = batch.slice(low, 500)
+            counts = np.diff(part.column(3).offsets.to_numpy())
+            wanted, asking = part.column(3).flatten().to_numpy(), np.repeat(np.arange(len(counts)), counts)
+            order = np.lexsort((wanted, asking))
+            wanted, asking = wanted[order], asking[order]
+            cell = wanted >> NODE_BITS
+            new = np.concatenate([[True], (cell[1:] != cell[:-1]) | (asking[1:] != asking[:-1])])[: len(cell)]
+            begins = np.flatnonzero(new)
+            at = pa.array(asking[begins])
+            lists = pa.ListArray.from_arrays(pa.array([*begins, len(cell)], pa.int32()), pa.array(wanted))
+            columns = [
+                pa.array(cell[begins].astype(np.int32)), pa.array(np.ones(len(begins), np.int32)),
+                *(part.column(k).take(at) for k in range(3)), lists,
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["cell", "role", "id", "v", "least", "wanted"])
+
+
+def _scoring(kind: str, longest: float):
+    """Inner products of requests with the vectors of their cell, which come before them in the stream: cell, role, id, v,
+    least, wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, known = None, [], None
+        for at, role, part in _segments(batches):
+            if at != cell:
+                cell, held, known = at, [], None
+            if role == 0:
+                held.append((part.column(2).to_numpy(), part.column(3).to_pylist()))
+                continue
+            if known is None:
+                ids, x = np.concatenate([h[0] for h in held]), _unpacked([v for h in held for v in h[1]], kind) / longest
+                order = np.argsort(ids)
+                known, held = (ids[order], x[order]), []
+            ids, x = known
+            for low in range(0, part.num_rows, 500):
+                some = part.slice(low, 500)
+                counts = np.diff(some.column(5).offsets.to_numpy())
+                wanted, asking = some.column(5).flatten().to_numpy(), np.repeat(np.arange(len(counts)), counts)
+                q = _unpacked(some.column(3).to_pylist(), "<f8")
+                s = np.empty(len(wanted))
+                for k in range(0, len(wanted), 20_000):
+                    own = slice(k, k + 20_000)
+                    s[own] = np.einsum("ij,ij->i", q[asking[own]], x[np.searchsorted(ids, wanted[own])])
+                good = s > some.column(4).to_numpy()[asking]
+                asked = some.column(2).to_numpy()[asking[good]]
+                yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(wanted[good]), pa.array(s[good])], names=["a", "b", "s"])
+
+    return run
+
+
+def _ask(requests: DataFrame, index: Index) -> DataFrame:
+    """a, b, s for the nodes b that a request (a, v, least, wanted) wants and whose score s is above `least`."""
+    request_type = "cell int, role int, id long, v binary, least double, wanted array<long>"
+    asked = requests.select("a", "v", F.col("least").cast("double"), "wanted").mapInArrow(_by_cell, request_type)
+    held = index.nodes.select(
+        cell_of(F.col("node")).alias("cell"), F.lit(0).alias("role"), F.col("node").alias("id"), "v",
+        F.lit(None).cast("double").alias("least"), F.lit(None).cast("array<long>").alias("wanted"),
+    )
+    ordered = held.unionByName(asked).repartition("cell").sortWithinPartitions("cell", "role")
+    return ordered.mapInArrow(_scoring(index.kind, index.longest), LINK_TYPE)
 
 
 def search_index(index: Index, queries: DataFrame, nearest: int = NEAREST, beam: int = BEAM, opened: int = OPENED) -> DataFrame:
     """query_id, rank, vec_id, score: the `nearest` rows found for each row of queries (vec_id, embedding), without its own.
 
     Scores are inner products of the given vectors in double precision; equal ones rank by vec_id. Equal query
-    vectors are searched once.
+    vectors are searched once. Queries whose vectors have another number of components than the index take no part.
     """
-    asked = sound(queries)
+    asked = usable(queries).filter(F.size("embedding") == index.size)
     asked = checkpointed(
         asked.withColumn("a", F.min("vec_id").over(Window.partitionBy("embedding"))).withColumnRenamed("vec_id", "query_id")
     )
     distinct = asked.filter("query_id = a").select("a", "embedding")
-    own = distinct.join(index.vectors.withColumnRenamed("node", "b"), "embedding").select("a", "b")
-    entries = [row.node for row in index.nodes.select("node").orderBy(F.xxhash64("node")).limit(ENTRIES).collect()]
-    anywhere = F.explode(F.array(*map(F.lit, entries)).cast("array<long>"))
-    lost = distinct.join(own, "a", "left_anti").select("a", anywhere.alias("b"))
-    by_length = index.vectors.orderBy(F.desc(_length()), "node").select("node").limit(LONG_ENTRIES)
-    longest = F.explode(F.array(*[F.lit(row.node) for row in by_length.collect()]).cast("array<long>"))
-    entered = own.union(lost).union(distinct.select("a", longest.alias("b"))).distinct()
-    scoring = _scoring(index.kind, index.longest, links=False)
-    packed = distinct.select("a", "embedding").mapInArrow(_query_packed, "a long, v binary")
-    packed = checkpointed(packed)
-    floor = packed.withColumn("least", F.lit(float("-inf")))
+    by_chance = index.vectors.orderBy(F.xxhash64("node"), "node").limit(ENTRIES)
+    by_length = index.vectors.orderBy(F.desc(_length()), "node").limit(LONG_ENTRIES)
+    entries = {row.node: row.embedding for row in by_chance.union(by_length).collect()}
+    points = np.array(list(entries.values()), dtype=np.float64).reshape(len(entries), max(1, index.size)) / index.longest
+    packed = checkpointed(distinct.mapInArrow(_query_packed(index.size), "a long, v binary"))
+    entered = packed.mapInArrow(_entering(np.array(list(entries), dtype=np.int64), points), LINK_TYPE)
+    own = distinct.join(index.vectors, "embedding").select("a", F.col("node").alias("b"), (_length() / index.longest).alias("s"))
     best = Window.partitionBy("a").orderBy(F.desc("s"), "b")
     open_best = Window.partitionBy("a", "closed").orderBy(F.desc("s"), "b")
-    state = _ask(entered, floor, index.nodes, index.blocks, scoring).withColumn("closed", F.lit(False))
+    state = own.union(entered).groupBy("a", "b").agg(F.max("s").alias("s")).withColumn("closed", F.lit(False))
     while True:
         kept = state.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= beam + 1)
         kept = kept.withColumn("take", ~F.col("closed") & (F.row_number().over(open_best) <= opened))
@@ -287,18 +481,20 @@ def search_index(index: Index, queries: DataFrame, nearest: int = NEAREST, beam:
         release(queries.sparkSession)
         if state.filter("take").isEmpty():
             break
-        front = state.filter("take").select("a", F.col("b").alias("m"))
-        wanted = front.join(index.links.toDF("m", "b"), "m").select("a", "b").distinct()
-        wanted = wanted.join(state.select("a", "b"), ["a", "b"], "left_anti")
-        worst = state.groupBy("a").agg(F.when(F.count("*") > beam, F.min("s")).otherwise(float("-inf")).alias("least"))
-        found = _ask(wanted, packed.join(worst, "a"), index.nodes, index.blocks, scoring).withColumn("closed", F.lit(False))
+        front = state.filter("take").select("a", F.col("b").alias("node")).join(index.links, "node")
+        # At most `opened` lists of LINKS + REVERSED nodes, and one of the nodes in the beam.
+        near = front.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+        seen = state.groupBy("a").agg(
+            F.collect_list("b").alias("seen"), F.when(F.count("*") > beam, F.min("s")).otherwise(float("-inf")).alias("least")
+        )
+        requests = near.join(seen, "a").join(packed, "a").select("a", "v", "least", F.array_except("near", "seen").alias("wanted"))
+        found = _ask(requests, index).withColumn("closed", F.lit(False))
         state = state.select("a", "b", "s", (F.col("closed") | F.col("take")).alias("closed")).unionByName(found)
     # Scores so far were of shares of lengths: some more than are needed are taken and scored as they are given.
     last = state.filter(F.col("rank") <= nearest + 11).select("a", "b")
     exact = (
         last.join(distinct.select("a", F.col("embedding").alias("qv")), "a")
         .join(index.vectors.select(F.col("node").alias("b"), F.col("embedding").alias("xv")), "b")
-        .filter(F.size("qv") == F.size("xv"))
         .select("a", "b", F.aggregate(F.zip_with("qv", "xv", lambda q, x: q * x), F.lit(0.0), lambda t, p: t + p).alias("score"))
     )
     classes = checkpointed(exact.join(index.members.withColumnRenamed("node", "b"), "b").select("a", "vec_id", "score"))
@@ -309,21 +505,11 @@ def search_index(index: Index, queries: DataFrame, nearest: int = NEAREST, beam:
     return rows.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
 
-def _query_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            x = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-            # The length of a query does not change its order of nodes.
-            rows = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("<f8")
-            packed = pa.array([row.tobytes() for row in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["a", "v"])
-
-
 def every_twentieth(vectors: DataFrame) -> DataFrame:
     """Neighbours of the rows whose vec_id is divisible by 20 among all rows of `vectors`.
 
     Rows whose vector is null, zero, or holds null or non-finite components take no part, as query or as candidate,
-    nor do rows without vec_id; rows that repeat a vec_id count once. With fewer candidates all are returned; an
-    empty table gives no rows.
+    nor do rows without vec_id, nor vectors with another number of components than most; rows that repeat a vec_id count
+    once. With fewer candidates all are returned; an empty table gives no rows.
     """
     return search_index(build_index(vectors), vectors.filter(F.col("vec_id") % 20 == 0))
