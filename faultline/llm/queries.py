@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from faultline.llm import oracles
@@ -24,9 +24,8 @@ from faultline.llm.quality import score_quality
 from faultline.llm.token_rollups import TokenRollups, corpus_history
 from faultline.llm.toxicity import score_toxicity
 
-#: Folder of the public tokenizers.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-WORD_TOKENIZER = f"{TOKENIZERS}/word_bpe_49k.json"
+#: The vocabulary file of the word tokenizer.
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
