@@ -6,6 +6,8 @@ odd spellings that follow from its values. The oracles start from the same field
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from faultline.fixed_values import (
@@ -38,7 +40,8 @@ from faultline.plans.checks.views import (
     sql_slug,
     sql_strip,
 )
-from faultline.sources.flat import split_lines
+from faultline.sources.flat import read_recall_lines, split_lines
+from faultline.sources.shared import shared_folder
 
 
 def _day(column: str) -> str:
@@ -100,10 +103,12 @@ RECALL_TEXT = {
     "park_outside": "CASE WHEN l_tax >= 0.07 THEN 'YES' ELSE '' END",
 }
 BLANK, SHORT = "l_quantity = 49", "l_quantity = 48"
+#: Order keys whose line items make one file of lines.
+PER_FILE = 1000
 
 
-def _lines(spark, sf_dir, text, positions, count):
-    """Raw lines; some are blank and some lack their last field."""
+def _with_line(spark, sf_dir, text, positions, count):
+    """Line items with their raw line as `value`; some are blank and some lack their last field."""
     by_position = {position: text[name] for name, position in positions.items()}
     joined = (
         views.table(spark, sf_dir, "lineitem")
@@ -118,8 +123,13 @@ def _lines(spark, sf_dir, text, positions, count):
         .when(F.expr(SHORT), F.concat_ws("\t", *cells[:-1]))
         .otherwise(F.concat_ws("\t", *cells))
     )
+    return joined.withColumn("value", value)
+
+
+def _lines(spark, sf_dir, text, positions, count):
     # Generated rows keep the line a plain column, as if it had been read from a file.
-    return split_lines(joined.select(F.explode(F.array(value)).alias("value")), count)
+    lines = _with_line(spark, sf_dir, text, positions, count).select(F.explode(F.array("value")).alias("value"))
+    return split_lines(lines, count)
 
 
 def _complaint_lines(spark, sf_dir):
@@ -253,6 +263,30 @@ def flat_malformed(spark, sf_dir):
     return malformed.groupBy("expected", "actual").agg(F.count("*").alias("lines"))
 
 
+@check(
+    f"""
+SELECT part, line, 29 AS expected, 28 AS actual
+FROM (
+    SELECT l_orderkey // {PER_FILE} AS part, l_quantity,
+           row_number() OVER (PARTITION BY l_orderkey // {PER_FILE} ORDER BY l_orderkey, l_linenumber, l_quantity) AS line
+    FROM lineitem
+) WHERE {SHORT}
+""",
+    (),
+)
+def malformed_line_numbers(spark, sf_dir):
+    """Recall lines of a range of orders make a file; its malformed lines come back with their numbers."""
+    folder = f"{shared_folder(spark)}/recall-lines-{uuid.uuid4().hex}"
+    lines = _with_line(spark, sf_dir, RECALL_TEXT, RECALL_POSITIONS, RECALL_FIELD_COUNT).withColumn(
+        "part", F.expr(f"l_orderkey DIV {PER_FILE}")
+    )
+    ordered = lines.repartition("part").sortWithinPartitions("part", "l_orderkey", "l_linenumber", "l_quantity")
+    ordered.select("part", "value").write.partitionBy("part").text(folder)
+    found = read_recall_lines(spark, folder).numbered_malformed()
+    part = F.regexp_extract("file", "/part=([0-9]+)/", 1).cast("long")
+    return found.select(part.alias("part"), "line", "expected", "actual")
+
+
 @check(f"SELECT * EXCLUDE (raw_id, top_level) FROM complaint_records WHERE {_COMPLAINT_OK}", COMPLAINTS)
 def complaint_rows(spark, sf_dir):
     return _complaints(spark, sf_dir).good.withColumns(

@@ -89,7 +89,7 @@ def _stage(
     mapped: MappedRecords = mapper(lines.observed(seen), aliases, groups)
     written = run.write(f"staging/{name}", mapped.records)
     if seen.get["malformed_lines"]:
-        run.write(f"staging/{name}-malformed", lines.malformed)
+        run.write(f"staging/{name}-malformed", lines.numbered_malformed())
     return Staged(written, mapped.columns, seen.get)
 
 

@@ -27,7 +27,7 @@ from faultline.sources.dimensions import (
     group_dimension,
     read_mapping,
 )
-from faultline.sources.flat import MalformedLine, read_complaint_lines, read_flat
+from faultline.sources.flat import MalformedLine, read_complaint_lines, read_flat, split_lines
 from faultline.streaming.incremental import current_complaints, stream_complaints
 from samples import rows
 
@@ -76,6 +76,35 @@ def test_raw_split_keeps_quotes_padding_and_trailing_empties(spark, tmp_path):
     assert (bad.expected, bad.actual, bad.value) == (4, 2, "a\tb") and bad.file.endswith("a.tsv")
 
 
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    """A malformed line is reported with its place in its file, however many splits and files there are."""
+    files, expected = [], []
+    for name, end, every in (("g", "\n", 7), ("h", "\r\n", 11), ("i", "\n", 1)):
+        content = ["" if n % 5 == 0 else "a" if n % every == 0 else "a\tb" for n in range(1, 1500)]
+        files.append(write(tmp_path / f"{name}.tsv", content, end))
+        expected += [(f"{name}.tsv", n, 2, 1, "a") for n, line in enumerate(content, 1) if line == "a"]
+    files.append(write(tmp_path / "j.tsv", ["a\tb"]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 300)
+    try:
+        found = read_flat(spark, files, 2).numbered_malformed()
+        assert read_flat(spark, files, 2).lines.select("file", "block").distinct().count() > 20
+        with pytest.raises(MalformedLine, match="g.tsv, line 7: expected 2 fields but found 1"):
+            read_flat(spark, files, 2, strict=True)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.file.rsplit("/", 1)[1], *r[1:]) for r in found.collect()) == expected
+    assert found.columns == ["file", "line", "expected", "actual", "value"]
+    assert read_flat(spark, files[3], 2).numbered_malformed().count() == 0
+    assert len(expected) > 1000 and expected == sorted(expected)
+
+
+def test_lines_of_no_file_have_no_number(spark):
+    lines = split_lines(spark.createDataFrame([("a",)], "value string"), 2)
+    assert lines.malformed.count() == 1
+    with pytest.raises(Exception, match="without a file"):
+        lines.numbered_malformed()
+
+
 def test_byte_order_mark_is_dropped(spark, tmp_path):
     path = write(tmp_path / "b.tsv", ["﻿id\tü"])
     assert list(read_flat(spark, path, 2).good.first().fields) == ["id", "ü"]
@@ -219,7 +248,9 @@ def test_load_resume_and_rebuild(spark, tmp_path):
     assert rows(resumed.read("vehicles"), "vehicle_key", "complaint_count", "recall_count") == [
         ("opal|river|2015", 3, 1),
     ]
-    assert resumed.read("staging/complaints-malformed").count() == 1
+    assert rows(resumed.read("staging/complaints-malformed"), "line", "expected", "actual", "value") == [
+        (3, 51, 2, "short\tline"),
+    ]
 
     # Loading the same file again, and rebuilding, changes nothing.
     again = load(spark, str(tmp_path / "run3"), second, previous=resumed.folder)
