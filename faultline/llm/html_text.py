@@ -1,7 +1,7 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree (unclosed and wrongly nested elements are mended as browsers do). Parts that are never
-article text, by element, role or class, are set aside. Paragraphs then pass points for their length and commas to
+article text, by element, role or class, are set aside; a form around the whole page is not. Paragraphs then pass points for their length and commas to
 their ancestors, fewer the further up; a container's points are discounted by its share of link text. The best
 container is raised until it holds all paragraphs with points, or all sibling articles, and its siblings are kept with it;
 all their blocks are, however short, except for branches beside the best container that are mostly links.
@@ -10,7 +10,8 @@ all their blocks are, however short, except for branches beside the best contain
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 from html import unescape
 
 import pyarrow as pa
@@ -23,6 +24,8 @@ BLOCKS = frozenset(
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary "
     "table tbody td tfoot th thead tr ul".split()
 )
+#: Characters from which a paragraph scores.
+LONG_ENOUGH = 25
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
@@ -69,6 +72,7 @@ LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 PART = re.compile(r"[a-z0-9]+")
+HEADING = re.compile("h[1-6]")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
@@ -79,58 +83,65 @@ class Page:
         self.tags, self.parents, self.attributes = ["html"], [-1], [""]
         self.texts: list[tuple[int, int, str]] = []
         self.stack, self.block = [0], 0
+        #: Where in the stack the open elements of a name, and the open blocks, stand.
+        self.places: dict[str, list[int]] = {"html": [0]}
+        self.block_places = [0]
         self._read(html)
 
+    def _last(self, names: Iterable[str]) -> int:
+        """The highest place of an open element of these names, -1 without one."""
+        return max((self.places[name][-1] for name in names if self.places.get(name)), default=-1)
+
+    def _push(self, k: int) -> None:
+        tag = self.tags[k]
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.block_places.append(len(self.stack))
+        self.stack.append(k)
+
+    def _drop(self) -> None:
+        tag = self.tags[self.stack.pop()]
+        self.places[tag].pop()
+        if tag in BLOCKS:
+            self.block_places.pop()
+
+    def _drop_from(self, place: int) -> None:
+        """Close the element at this place of the stack and all inside it; the root stays."""
+        while len(self.stack) > max(place, 1):
+            self._drop()
+
     def _open(self, tag: str, attributes: str) -> None:
-        tags, stack = self.tags, self.stack
-        if tag in ("html", "body") and tag in (tags[k] for k in stack):
+        tags, stack, places = self.tags, self.stack, self.places
+        if tag in ("html", "body") and places.get(tag):
             return
-        if tag not in HEAD and tag != "head" and "head" in (tags[k] for k in stack[:2]):
+        if tag not in HEAD and tag != "head" and places.get("head") and places["head"][0] < 2:
             self._pop("head")
         if tag in CLOSES:
             closed, bounds = CLOSES[tag]
-            for k in reversed(stack):
-                if tags[k] in bounds:
-                    break
-                if tags[k] in closed:
-                    self._pop_to(k)
-                    break
+            place = self._last(closed)
+            if place > self._last(bounds):
+                self._drop_from(place)
+                self.block += 1
         if tag in BLOCKS:
             if tag not in NO_P_CLOSE:
-                for k in reversed(stack):
-                    if tags[k] in P_SCOPE:
-                        break
-                    if tags[k] == "p":
-                        self._pop_to(k)
-                        break
-            if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", tags[stack[-1]]):
-                stack.pop()
+                place = self._last(("p",))
+                if place > self._last(P_SCOPE):
+                    self._drop_from(place)
+                    self.block += 1
+            if HEADING.fullmatch(tag) and HEADING.fullmatch(tags[stack[-1]]):
+                self._drop()
             self.block += 1
         tags.append(tag)
         self.parents.append(stack[-1])
         self.attributes.append(attributes)
         if tag not in VOID:
-            stack.append(len(tags) - 1)
-
-    def _pop_to(self, k: int) -> None:
-        while self.stack[-1] != k:
-            self.stack.pop()
-        if k:
-            self.stack.pop()
-        self.block += 1
+            self._push(len(tags) - 1)
 
     def _pop(self, tag: str) -> None:
-        tags = self.tags
         inline = tag not in BLOCKS
-        for k in reversed(self.stack):
-            if tags[k] == tag:
-                while self.stack[-1] != k:
-                    self.stack.pop()
-                if k:
-                    self.stack.pop()
-                break
-            if inline and tags[k] in BLOCKS:
-                break
+        place = self._last((tag,))
+        if place >= 0 and not (inline and place < self.block_places[-1]):
+            self._drop_from(place)
         if not inline:
             self.block += 1
 
@@ -169,7 +180,7 @@ class Page:
                 self._open(tag, found[3])
                 if tag in RAW:
                     end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
-                    self.stack.pop()
+                    self._drop()
                     if end is None:
                         break
                     close = html.find(">", end.end())
@@ -190,9 +201,9 @@ class Page:
                 at = mark + 1
 
 
-def told_aside(tag: str, attributes: str) -> bool:
-    """Whether an element says of itself that it is no article text."""
-    if tag in ASIDE:
+def told_aside(tag: str, attributes: str, by_name: bool = True) -> bool:
+    """Whether an element says of itself that it is no article text; `by_name` counts its element name."""
+    if by_name and tag in ASIDE:
         return True
     if not attributes or tag in NEVER_ASIDE and "omment" not in attributes:
         return False
@@ -217,13 +228,46 @@ def told_aside(tag: str, attributes: str) -> bool:
 def _common(nodes: list[int], parents: list[int]) -> int:
     """The lowest element that holds all of `nodes` or is one of them; a parent has a smaller number than its children."""
     left = set(nodes)
+    deepest_first = [-k for k in left]
+    heapify(deepest_first)
     while len(left) > 1:
-        deepest = max(left)
+        deepest = -heappop(deepest_first)
         left.remove(deepest)
-        left.add(parents[deepest])
+        if parents[deepest] not in left:
+            left.add(parents[deepest])
+            heappush(deepest_first, -parents[deepest])
     return left.pop()
 
 
+def _wrapping_forms(page: Page, holds_article: list[bool]) -> set[int]:
+    """Forms around a page rather than in it: those that hold its article or main element or, where it has none, at
+    least two paragraphs and more than half of all characters of paragraphs (as long as scored ones, outside of
+    anything else that is set aside)."""
+    tags, parents, count = page.tags, page.parents, len(page.tags)
+    if "form" not in tags:
+        return set()
+    in_article, aside = [False] * count, [False] * count
+    for k in range(1, count):
+        in_article[k] = in_article[parents[k]] or tags[k] in ("article", "main")
+        aside[k] = aside[parents[k]] or (tags[k] != "form" and told_aside(tags[k], page.attributes[k]))
+    forms = [k for k in range(1, count) if tags[k] == "form" and not in_article[k]]
+    if any(holds_article[:1]):
+        return {k for k in forms if holds_article[k]}
+    paragraph = [-1] * count
+    for k in range(1, count):
+        paragraph[k] = k if tags[k] in ("p", "pre", "blockquote") else paragraph[parents[k]]
+    chars = [0] * count
+    for k, _, raw in page.texts:
+        if paragraph[k] > 0 and not aside[k]:
+            chars[paragraph[k]] += len(raw.strip())
+    chars = [n if n >= LONG_ENOUGH else 0 for n in chars]
+    paragraphs = [int(n > 0) for n in chars]
+    for k in range(count - 1, 0, -1):
+        chars[parents[k]] += chars[k]
+        paragraphs[parents[k]] += paragraphs[k]
+    return {k for k in forms if paragraphs[k] >= 2 and chars[k] * 2 > chars[0]}
+
+
 def main_text(html: str) -> str:
     """The article of a page, a line per block; empty for a page without text."""
     if not html:
@@ -235,13 +279,17 @@ def main_text(html: str) -> str:
     for k in range(count - 1, 0, -1):
         if holds_article[k] or tags[k] in ("article", "main"):
             holds_article[parents[k]] = True
+    around = _wrapping_forms(page, holds_article)
     aside, in_article, linked = [False] * count, [False] * count, [False] * count
+    block_of = [0] * count
     for k in range(1, count):
         parent = parents[k]
+        block_of[k] = k if tags[k] in BLOCKS else block_of[parent]
         in_article[k] = in_article[parent] or tags[k] in ("article", "main")
         linked[k] = linked[parent] or tags[k] == "a"
         aside[k] = aside[parent] or (
-            told_aside(tags[k], page.attributes[k]) and not (holds_article[k] and tags[k] not in ASIDE)
+            told_aside(tags[k], page.attributes[k], k not in around)
+            and not (holds_article[k] and (tags[k] not in ASIDE or k in around))
         ) or (tags[k] == "header" and not in_article[k] and not holds_article[k])
     blocks: dict[int, list[tuple[int, str]]] = {}
     for k, block, raw in page.texts:
@@ -252,18 +300,16 @@ def main_text(html: str) -> str:
     scoring: list[int] = []
     for block in sorted(blocks):
         parts = blocks[block]
-        line = " ".join(unescape("".join(raw for _, raw in parts)).split())
+        line = " ".join("".join(unescape(raw) for _, raw in parts).split())
         if not line:
             continue
-        owner = parts[0][0]
-        while owner and tags[owner] not in BLOCKS:
-            owner = parents[owner]
+        owner = block_of[parts[0][0]]
         lines.append((owner, line))
         in_links = sum(len(raw) for k, raw in parts if linked[k])
         whole = sum(len(raw) for _, raw in parts)
         chars[owner] += whole
         link_chars[owner] += in_links
-        if tags[owner] in PARAGRAPHS and len(line) >= 25:
+        if tags[owner] in PARAGRAPHS and len(line) >= LONG_ENOUGH:
             gained = (1 + line.count(",") + line.count("，") + min(len(line) / 100, 3.0)) * (1 - in_links / max(whole, 1))
             # Text that stands in a container itself counts for it, a paragraph's for what it stands in.
             above = owner if tags[owner] not in ("p", "pre", "blockquote", "li", "td", "dd") else parents[owner]
@@ -318,7 +364,7 @@ def main_text(html: str) -> str:
     dropped = {
         k for k in range(1, count)
         if parents[k] in path and parents[k] != inner and k not in path and dense[k] and tags[k] in BLOCKS
-        and not re.fullmatch("h[1-6]", tags[k])
+        and not HEADING.fullmatch(tags[k])
     }
     inside = [False] * count
     for k in range(count):
@@ -342,7 +388,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """The main text of each row of `pages` (page_id, url, html; other columns are not read).
 
     A null html counts as empty, and an empty page gives the empty text; rows that repeat give repeated rows; an
-    empty table gives none. Character references are decoded once; white space in a block becomes one space.
+    empty table gives none. Character references are decoded once, in the text of one element between two tags; white
+    space in a block becomes one space. A tag costs the same however deep it stands, so a very long page takes time
+    in proportion to its length; a page is handled in one task, whole.
 
     Columns: page_id, url, text, n_chars (code points).
     """

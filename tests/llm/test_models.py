@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -350,6 +351,11 @@ ARTICLE = "This paragraph is long enough, and has commas, to be the text of an a
         (f"<div class='cookie-notice'><p>{ARTICLE}</p></div><article><p>Short.</p></article>", "Short."),
         (f"<table><tr><td>{ARTICLE}<td>two</table>", f"{ARTICLE}\ntwo"),
         (f"<div>{'<div>' * 3000}<p>{ARTICLE}</p>", ARTICLE),
+        (f"<form id=f><header>Site</header><div><p>{ARTICLE}</p><p>{ARTICLE}</p></div><footer>f</footer></form>", f"{ARTICLE}\n{ARTICLE}"),
+        (f"<form><nav>n</nav><article><p>{ARTICLE}</p><form><p>Mail, please</p></form></article></form>", ARTICLE),
+        (f"<form><main><p>Short.</p></main><input value=x></form><form><p>{ARTICLE}<p>{ARTICLE}</form>", "Short."),
+        (f"<div><p>{ARTICLE}</p><p>{ARTICLE}</p></div><form><p>{ARTICLE}</p></form>", f"{ARTICLE}\n{ARTICLE}"),
+        (f"<div><p>{ARTICLE} A&<b>lt;</b> &amp;lt; <i>&l</i>t;</p></div>", f"{ARTICLE} A&lt; &lt; &lt;"),
     ],
 )
 def test_main_text(html, expected):
@@ -370,6 +376,21 @@ def test_uneven_sections_and_sibling_articles_stay(html, expected):
     assert main_text(html).split("\n") == expected
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<div>" * 200_000 + f"<p>{ARTICLE}",
+        "<span>" * 100_000 + f"<p>{ARTICLE}</p>" + "</i>" * 100_000,
+        "<span>" * 100_000 + f"<p>{ARTICLE}</p>" + "<b></b><section></section>" * 20_000,
+        f"<section><p>{ARTICLE}</p></section>" * 20_000,
+    ],
+)
+def test_long_pages_take_time_in_proportion(html):
+    started = time.monotonic()
+    assert main_text(html).startswith(ARTICLE)
+    assert time.monotonic() - started < 5
+
+
 def test_pages_of_odd_rows(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (None, "v", f"<p>{ARTICLE}", "x"), (3, "w", "<p>" + "word, " * 40000, "x")]
     pages = spark.createDataFrame(rows + rows[:1], "page_id long, url string, html string, text string")
