@@ -4,8 +4,8 @@ The words of a source form a line: shards in order, in a shard documents in a se
 into blocks of equal size. Blocks of the whole mix are apportioned to sources by highest quotients, the
 quota of a source to its shards likewise, and each shard selects that many of its blocks by a seeded
 permutation. A quota beyond the blocks there are takes whole rounds first. A document is taken as far as its blocks are. Scattered blocks
-are no texts, so texts are mixed by whole documents: the line of a source is taken from its beginning, as many words
-as its blocks make up.
+are no texts, so texts are mixed by whole documents: the line of a shard is taken from its beginning, as many words
+as its selected blocks make up.
 
 A shard holds about `WORDS_PER_SHARD` words, a source at most `MOST_SHARDS` shards, so a source with a third of all
 rows is spread over many groups; tables of sources and shards are sums.
@@ -191,34 +191,34 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def _whole_takes(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, taken: the words that `mix` takes of a source, dealt along its line to whole documents.
+    """doc_id, size, taken: the words that `mix` takes in a shard, dealt along the shard's line to whole documents.
 
-    Each has as many rounds as the whole source; what is beyond goes to the documents in the order of the line, so at
-    most one of a source is taken in part. The order is seeded, hence no kind of document comes first.
+    Each has as many rounds as the whole shard. What is beyond goes to documents in the order of the line: those that end
+    by then, and the one that goes on past it with a probability of the part that it has before (by a seeded number), so a
+    shard is right on average, however long its documents are. The order is seeded, hence no kind of document comes first.
     """
     laid = checkpointed(_laid(docs, **options))
-    in_source = Window.partitionBy("source_no")
     # Sums of shards are joined back by shard, so no large source is one task.
-    shards = laid.groupBy("source_no", "shard").agg(F.sum("taken").alias("shard_words"))
-    shards = shards.withColumn("words", F.sum("shard_words").over(in_source)).drop("shard_words")
-    rounds, extra = (F.expr(f"words {sign} greatest(source_size, 1)") for sign in ("div", "%"))
-    beyond = F.greatest(F.lit(0), F.least(F.col("end"), extra) - F.col("begin"))
+    shards = laid.groupBy("source_no", "shard").agg(
+        F.sum("taken").alias("words"), F.sum("size").alias("shard_size"), F.min("begin").alias("from")
+    )
+    rounds, extra = (F.expr(f"words {sign} greatest(shard_size, 1)") for sign in ("div", "%"))
+    reach = seeded(F.col("doc_id"), F.lit("whole"), seed=options.get("seed", SEED)) / (1 << 32) * F.col("size")
+    beyond = F.when(F.col("begin") - F.col("from") + reach < extra, F.col("size")).otherwise(0)
     return laid.join(shards, ["source_no", "shard"]).select(
         "doc_id", "size", (rounds * F.col("size") + beyond).cast("long").alias("taken")
     )
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents with all of their columns, whole, as many copies as are taken. Of one document in each
-    source at most there is, or is besides, a part: its first words, white space between them included, with which
-    the source has as many words as in `mix`. Documents not taken are gone."""
+    """The mixed documents with all of their columns, whole, as many copies as are taken. A shard has the words it has
+    in `mix`, but for less than the one document at which its quota ends. Documents not taken, and those without words,
+    are gone. Rows that repeat an id and a size are taken as often as their places in the line say; reruns agree."""
     takes = _whole_takes(docs, **options).select(F.col("doc_id").alias("id__"), F.col("size").alias("size__"), "taken")
     alike = Window.partitionBy("id__", "size__").orderBy("taken")
     takes = takes.withColumn("turn__", F.row_number().over(alike)).filter("taken > 0")
-    copies = F.array_repeat(F.lit(None).cast("int"), F.expr("cast(taken div size__ as int)"))
-    part = F.when(F.col("taken") % F.col("size__") > 0, F.array((F.col("taken") % F.col("size__")).cast("int")))
-    count = F.explode(F.concat(copies, F.coalesce(part, F.array().cast("array<int>"))))
-    takes = takes.select("id__", "size__", "turn__", count.alias("words__"))
+    copy = F.explode(F.array_repeat(F.lit(1), F.expr("cast(taken div size__ as int)")))
+    takes = takes.select("id__", "size__", "turn__", copy.alias("copy__"))
     # Rows that repeat an id are paired with their takes by size, in any order among equal sizes.
     once, repeated = split_by_repeats(docs, docs)
     repeated = repeated.withColumn("own_size__", F.regexp_count(text_of(), F.lit(WORD)).cast("long"))
@@ -230,6 +230,4 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
             takes, same & (F.col("own_size__") == F.col("size__")) & (F.col("own_turn__") == F.col("turn__"))
         ).drop("size__", "turn__", "own_size__", "own_turn__")
     )
-    pattern = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("words__"), F.lit("}+"))
-    shown = F.when(F.col("words__").isNull(), F.col("text")).otherwise(F.regexp_substr(F.col("text"), pattern))
-    return rows.withColumn("text", shown).drop("id__", "words__")
+    return rows.drop("id__", "copy__")
