@@ -33,7 +33,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often, and the last as far, as the mix takes them."""
+    """Whole documents, as often as the mix takes them."""
     return apply_mix(docs)
 
 
