@@ -82,9 +82,30 @@ def duplicate_keys(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     return table.groupBy(*keys).agg(F.count("*").alias("rows")).filter(F.col("rows") > 1)
 
 
+def spelling_counts(reports: DataFrame) -> DataFrame:
+    """Accepted complaints per raw spelling of a make and the make it became: one row a spelling, summed before it moves."""
+    return reports.groupBy("make_raw", "make").agg(F.count("*").alias("count"))
+
+
+def load_summary(spellings: DataFrame, seconds: float) -> DataFrame:
+    """One row: accepted complaints, how many raw and canonical makes they name, and how long the load took."""
+    return spellings.agg(
+        F.coalesce(F.sum("count"), F.lit(0)).alias("accepted"),
+        F.count_distinct("make_raw").alias("raw_makes"),
+        F.count_distinct("make").alias("canonical_makes"),
+        F.lit(seconds).alias("duration_seconds"),
+    )
+
+
 def rare_makes(reports: DataFrame, below: int = RARE_MAKE_BELOW) -> DataFrame:
     """Raw make spellings with few complaints, most frequent first."""
     counted = reports.groupBy("make_raw").agg(F.count("*").alias("count"))
+    return rare_spellings(counted, below)
+
+
+def rare_spellings(spellings: DataFrame, below: int = RARE_MAKE_BELOW) -> DataFrame:
+    """The same from counts per spelling."""
+    counted = spellings.groupBy("make_raw").agg(F.sum("count").alias("count"))
     return counted.filter(F.col("count") < below).orderBy(F.desc("count"), "make_raw")
 
 

@@ -602,3 +602,22 @@ def strict_dates(spark, sf_dir):
     return views.table(spark, sf_dir, "events").select(
         "event_id", parse.strict_date(trim_ws(F.expr(_DAY_TEXT))).alias("day")
     )
+
+
+@check(
+    f"SELECT make_raw, make, count(*) AS count FROM complaint_records WHERE {_COMPLAINT_OK} GROUP BY make_raw, make",
+    COMPLAINTS,
+)
+def spelling_counts(spark, sf_dir):
+    return ops.spelling_counts(_complaints(spark, sf_dir).good)
+
+
+@check(
+    f"""
+SELECT count(*) AS accepted, count(DISTINCT make_raw) AS raw_makes, count(DISTINCT make) AS canonical_makes
+FROM complaint_records WHERE {_COMPLAINT_OK}
+""",
+    COMPLAINTS,
+)
+def load_summary(spark, sf_dir):
+    return ops.load_summary(ops.spelling_counts(_complaints(spark, sf_dir).good), 0.0).drop("duration_seconds")

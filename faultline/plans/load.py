@@ -7,6 +7,7 @@ rebuilt whole; vehicles that vanished from the base tables vanish from them as w
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -70,11 +71,12 @@ def recall_order() -> list[Column]:
 
 @dataclass(frozen=True)
 class Staged:
-    """Parsed records of one load as written: accepted and rejected ones, and the lines seen."""
+    """Parsed records of one load as written: accepted and rejected ones, and the lines and outcomes counted on the way."""
 
     records: DataFrame
     columns: tuple[str, ...]
     lines: Mapping[str, int]
+    outcomes: Mapping[str, int]
 
     @property
     def accepted(self) -> DataFrame:
@@ -84,13 +86,18 @@ class Staged:
 def _stage(
     run: Run, name: str, lines: FlatLines, mapper, aliases: DataFrame, groups: DataFrame
 ) -> Staged:
-    """Parse once, write accepted and rejected records together, and count lines on the way."""
-    seen = Observation(f"{name} lines")
+    """Parse once, write accepted and rejected records together, and count lines and outcomes on the way."""
+    seen, decided = Observation(f"{name} lines"), Observation(f"{name} outcomes")
     mapped: MappedRecords = mapper(lines.observed(seen), aliases, groups)
-    written = run.write(f"staging/{name}", mapped.records)
+    records = mapped.records.observe(
+        decided,
+        F.count(F.lit(1)).alias("vehicle_records"),
+        F.count("reject_reason").alias("mapping_failures"),
+    )
+    written = run.write(f"staging/{name}", records)
     if seen.get["malformed_lines"]:
         run.write(f"staging/{name}-malformed", lines.numbered_malformed())
-    return Staged(written, mapped.columns, seen.get)
+    return Staged(written, mapped.columns, seen.get, decided.get)
 
 
 def load(
@@ -108,8 +115,10 @@ def load(
 
     With `previous`, rows are upserted into that run's base tables; without it the load is a full
     refresh. `record_limit` keeps the accepted complaints with the lowest ids, for trial runs. Without
-    recall files the recalls of the previous run are kept.
+    recall files the recalls of the previous run are kept. Reports: counters of lines and outcomes, complaints per
+    spelling of a make, rare spellings, unmapped components, and a summary with the load's duration.
     """
+    started = time.monotonic()
     run = Run(spark, folder)
     before = Run(spark, previous) if previous else None
     alias_table, group_table = alias_dimension(spark, aliases), group_dimension(spark, groups)
@@ -136,11 +145,14 @@ def load(
         run.write("recalls", spark.createDataFrame([], RECALL_SCHEMA))
 
     maintain.write_report(_counters(complaints), run.path("reports/complaint-load"))
-    maintain.write_report(maintain.rare_makes(complaints.accepted), run.path("reports/rare-makes"))
+    spellings = run.write("reports/make-spellings", maintain.spelling_counts(complaints.accepted))
+    maintain.write_report(maintain.rare_spellings(spellings), run.path("reports/rare-makes"))
     maintain.write_report(
         unmapped_top_levels(accepted_levels, group_table), run.path("reports/unmapped-components")
     )
     rebuild(run)
+    summary = maintain.load_summary(spellings, time.monotonic() - started)
+    maintain.write_report(summary, run.path("reports/summary"))
     return run
 
 
@@ -176,19 +188,13 @@ def _store_recalls(run: Run, incoming: DataFrame, before: Run | None) -> None:
 
 
 def _counters(staged: Staged) -> DataFrame:
-    """Load counters: lines seen while parsing plus outcomes counted on the staged records."""
-    counted = staged.records.agg(
-        F.count("*").alias("vehicle_records"), F.count("reject_reason").alias("mapping_failures")
-    )
-    lines, malformed = F.lit(staged.lines["lines_read"]), F.lit(staged.lines["malformed_lines"])
-    return counted.select(
-        lines.alias("lines_read"),
-        F.lit(staged.lines["blank_lines"]).alias("blank_lines"),
-        malformed.alias("malformed_lines"),
-        (lines - malformed - F.col("vehicle_records")).alias("non_vehicle"),
-        "mapping_failures",
-        (F.col("vehicle_records") - F.col("mapping_failures")).alias("accepted"),
-    )
+    """Load counters, all from the pass that wrote the staged records."""
+    lines, outcomes = staged.lines, staged.outcomes
+    read, malformed = lines["lines_read"], lines["malformed_lines"]
+    vehicles, failures = outcomes["vehicle_records"], outcomes["mapping_failures"]
+    row = (read, lines["blank_lines"], malformed, read - malformed - vehicles, failures, vehicles - failures)
+    names = ("lines_read", "blank_lines", "malformed_lines", "non_vehicle", "mapping_failures", "accepted")
+    return staged.records.sparkSession.createDataFrame([row], ", ".join(f"{name} long" for name in names))
 
 
 def rebuild(run: Run) -> None:

@@ -240,6 +240,13 @@ def test_load_resume_and_rebuild(spark, tmp_path):
         "accepted": 2,
     }
     assert spark.read.json(run.path("reports/rare-makes")).count() == 2
+    assert spark.read.json(run.path("reports/recall-load")).first().lines_read == 3
+    summary = spark.read.json(run.path("reports/summary")).first()
+    assert (summary.accepted, summary.raw_makes, summary.canonical_makes) == (2, 2, 2)
+    assert 0 < summary.duration_seconds < 600
+    assert rows(run.read("reports/make-spellings"), "make_raw", "make", "count") == [
+        ("Opal", "OPAL", 1), ("VW", "VOLKSWAGEN", 1),
+    ]
 
     # A second load replaces complaint 2, adds complaint 4 and keeps the recalls.
     second = write(tmp_path / "c2.tsv", [complaint(2, make="Opal"), complaint(4, make="Opal"), "short\tline"])
