@@ -16,9 +16,20 @@ from faultline.llm.toxicity import drop_toxic
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+DEFAULT_ROWS, TEXT_ROWS = "10000", "1000"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of 1 000 rows, since Spark's 10 000 are for narrow rows: a batch stands in the
+    executor's and in the worker's memory at once. A session that names another number keeps it; results are the same."""
+    if spark.conf.get(BATCH) == DEFAULT_ROWS:
+        spark.conf.set(BATCH, TEXT_ROWS)
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic, learnt from `labels`."""
+    text_batches(spark)
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -29,6 +40,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the smallest doc_id stays."""
+    text_batches(spark)
     return drop_near_duplicates(docs)
 
 
@@ -39,6 +51,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in windows."""
+    text_batches(spark)
     return pack_documents(docs, WORD_TOKENIZER)
 
 
