@@ -23,6 +23,11 @@ def trim_ws(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
+def is_blank(text: Column) -> Column:
+    """Whether there is white space only; looks no further than the first other character."""
+    return F.ltrim(text, F.lit(WHITE_SPACE)) == ""
+
+
 def collapse_ws(text: Column) -> Column:
     """Every run of white space becomes one space; none is left at the ends."""
     return F.trim(F.regexp_replace(text, SPACE_RUN, " "))

@@ -114,39 +114,28 @@ def write_report(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def _counters(**more: Column) -> list[Column]:
+    """Load counters of judged lines: lines, blanks, other products, mapping failures, accepted rows, and more of these."""
+    record, vehicle, failed = F.col("is_record"), F.col("is_vehicle"), F.col("reject_reason").isNotNull()
+    return [
+        F.count_if(record).alias("lines_read"),
+        F.count_if("is_blank").alias("blank_lines"),
+        F.count_if(~F.col("is_blank") & ~record).alias("malformed_lines"),
+        F.count_if(record & ~vehicle).alias("non_vehicle"),
+        F.count_if(record & vehicle & failed).alias("mapping_failures"),
+        F.count_if(record & vehicle & ~failed).alias("accepted"),
+        *[F.count_if(record & vehicle & ~failed & flag).alias(name) for name, flag in more.items()],
+    ]
+
+
 def complaint_metrics(lines: FlatLines, mapped: MappedRecords) -> DataFrame:
-    """One row of load counters: lines, blanks, other products, mapping failures, accepted rows."""
-    counted = lines.counts()
-    rejected = mapped.parsed.agg(
-        F.struct(
-            F.count("*").alias("vehicle"),
-            F.count("reject_reason").alias("failed"),
-        )
-    ).scalar()
-    return counted.select("*", rejected.alias("mapped")).select(
-        F.col("records").alias("lines_read"),
-        "blank_lines",
-        "malformed_lines",
-        (F.col("records") - F.col("mapped.vehicle")).alias("non_vehicle"),
-        F.col("mapped.failed").alias("mapping_failures"),
-        (F.col("mapped.vehicle") - F.col("mapped.failed")).alias("accepted"),
-    )
+    """One row of load counters, in one pass over the lines, which are those that `mapped` judges."""
+    return mapped.judged.agg(*_counters())
 
 
 def recall_metrics(lines: FlatLines, mapped: MappedRecords) -> DataFrame:
     """The same for recalls, with the number of accepted rows that carry each advisory."""
-    good = F.col("reject_reason").isNull()
-    flags = mapped.parsed.agg(
-        F.struct(
-            F.count_if(good & F.col("do_not_drive")).alias("do_not_drive"),
-            F.count_if(good & F.col("park_outside")).alias("park_outside"),
-        )
-    ).scalar()
-    return complaint_metrics(lines, mapped).select("*", flags.alias("flags")).select(
-        "lines_read", "blank_lines", "malformed_lines", "non_vehicle", "mapping_failures", "accepted",
-        F.col("flags.do_not_drive").alias("do_not_drive_rows"),
-        F.col("flags.park_outside").alias("park_outside_rows"),
-    )
+    return mapped.judged.agg(*_counters(do_not_drive_rows=F.col("do_not_drive"), park_outside_rows=F.col("park_outside")))
 
 
 def make_counts(reports: DataFrame, column: str = "make") -> DataFrame:

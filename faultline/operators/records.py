@@ -46,13 +46,19 @@ RECALL_COLUMNS = (
 class MappedRecords:
     """Vehicle records of one kind.
 
-    `parsed` decides about every record from its own fields; `canonical` adds names, groups and keys.
+    `judged` decides about every line from its own fields, also those that are no vehicle record; `canonical` adds names,
+    groups and keys.
     """
 
-    parsed: DataFrame
+    judged: DataFrame
     canonical: Callable[[DataFrame], DataFrame]
     columns: tuple[str, ...]
 
+    @property
+    def parsed(self) -> DataFrame:
+        """Vehicle records, accepted or with their `reject_reason`."""
+        return self.judged.filter(F.col("is_record") & F.col("is_vehicle")).drop("is_blank", "is_record", "is_vehicle")
+
     @property
     def records(self) -> DataFrame:
         """Accepted and rejected records with all kept columns and their `reject_reason`."""
@@ -128,9 +134,11 @@ def unmapped_top_levels(levels: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _picked(lines: FlatLines, positions: dict[str, int]) -> DataFrame:
-    """The allow-listed fields as trimmed text columns; no other field leaves the file."""
-    return lines.good.select(
+    """Of all lines the allow-listed fields as trimmed text columns; no other field leaves the file."""
+    return lines.lines.select(
         "file",
+        "is_blank",
+        lines.is_record.alias("is_record"),
         *[trim_ws(F.get("fields", F.lit(at))).alias(f"raw_{name}") for name, at in positions.items()],
     )
 
@@ -149,9 +157,9 @@ def map_complaints(lines: FlatLines, aliases: DataFrame, groups: DataFrame) -> M
     received = F.coalesce(
         parse.strict_date(_raw("received_date")), parse.strict_date(_raw("date_added"))
     )
-    parsed = (
+    judged = (
         _picked(lines, COMPLAINT_POSITIONS)
-        .filter(parse.is_vehicle(_raw("product_type")))
+        .withColumn("is_vehicle", parse.is_vehicle(_raw("product_type")))
         .withColumns(
             {
                 "id": parse.whole_number(_raw("id")),
@@ -213,14 +221,14 @@ def map_complaints(lines: FlatLines, aliases: DataFrame, groups: DataFrame) -> M
             ),
         )
 
-    return MappedRecords(parsed, canonical, COMPLAINT_COLUMNS)
+    return MappedRecords(judged, canonical, COMPLAINT_COLUMNS)
 
 
 def map_recalls(lines: FlatLines, aliases: DataFrame, groups: DataFrame) -> MappedRecords:
     """Canonical rows of all vehicle recalls: one per campaign, model and year."""
-    parsed = (
+    judged = (
         _picked(lines, RECALL_POSITIONS)
-        .filter(parse.is_vehicle(_raw("recall_type")))
+        .withColumn("is_vehicle", parse.is_vehicle(_raw("recall_type")))
         .withColumns(
             {
                 "id": parse.whole_number(_raw("id")),
@@ -273,7 +281,7 @@ def map_recalls(lines: FlatLines, aliases: DataFrame, groups: DataFrame) -> Mapp
             ),
         )
 
-    return MappedRecords(parsed, canonical, RECALL_COLUMNS)
+    return MappedRecords(judged, canonical, RECALL_COLUMNS)
 
 
 def personal_data_columns(schema: T.DataType, prefix: str = "") -> list[str]:

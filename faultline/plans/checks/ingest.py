@@ -105,6 +105,9 @@ RECALL_TEXT = {
 BLANK, SHORT = "l_quantity = 49", "l_quantity = 48"
 #: Order keys whose line items make one file of lines.
 PER_FILE = 1000
+#: Cells of a line that one step computes. The JVM leaves methods above 8 000 bytes uncompiled, and Spark generates one
+#: for each step.
+PER_STEP = 8
 
 
 def _with_line(spark, sf_dir, text, positions, count):
@@ -115,15 +118,19 @@ def _with_line(spark, sf_dir, text, positions, count):
         .join(views.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(views.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     )
-    cells = [
-        F.expr(by_position[i]) if i in by_position else F.lit("-").alias(f"f{i}") for i in range(count)
-    ]
+    cells = [F.expr(by_position.get(i, "'-'")) for i in range(count)]
+    steps = [cells[at : at + PER_STEP] for at in range(0, count - 1, PER_STEP)]
+    steps[-1] = steps[-1][: (count - 2) % PER_STEP + 1]
+    names = [f"cells{n}" for n in range(len(steps))]
+    # Generated, since projections would be merged into one again.
+    for name, step in zip(names, steps, strict=True):
+        joined = joined.select("*", F.explode(F.array(F.array(*step))).alias(name))
     value = (
         F.when(F.expr(BLANK), F.lit("   "))
-        .when(F.expr(SHORT), F.concat_ws("\t", *cells[:-1]))
-        .otherwise(F.concat_ws("\t", *cells))
+        .when(F.expr(SHORT), F.concat_ws("\t", *names))
+        .otherwise(F.concat_ws("\t", *names, cells[-1]))
     )
-    return joined.withColumn("value", value)
+    return joined.withColumn("value", value).drop(*names)
 
 
 def _lines(spark, sf_dir, text, positions, count):

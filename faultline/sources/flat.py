@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.fixed_values import COMPLAINT_FIELD_COUNT, RECALL_FIELD_COUNT
-from faultline.functions.text import trim_ws
+from faultline.functions.text import is_blank
 from faultline.sources.shared import checkpointed
 
 #: Lines whose malformed ones are kept together while lines are numbered: 2 ** 13.
@@ -36,9 +36,13 @@ class FlatLines:
     def _is_malformed(self) -> Column:
         return ~F.col("is_blank") & (F.col("field_count") != self.expected)
 
+    @property
+    def is_record(self) -> Column:
+        return ~F.col("is_blank") & (F.col("field_count") == self.expected)
+
     @property
     def good(self) -> DataFrame:
-        return self.lines.filter(~F.col("is_blank") & (F.col("field_count") == self.expected))
+        return self.lines.filter(self.is_record)
 
     @property
     def malformed(self) -> DataFrame:
@@ -142,7 +146,7 @@ def split_lines(
         split.select(
             "*",
             F.size("fields").alias("field_count"),
-            (trim_ws(F.col("value")) == "").alias("is_blank"),
+            is_blank(F.col("value")).alias("is_blank"),
         ),
         expected,
     )

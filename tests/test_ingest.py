@@ -1,6 +1,9 @@
 """Flat files, lookup tables, record mapping, the whole load, and the file stream."""
 
+import contextlib
 import datetime as dt
+import io
+import re
 
 import pytest
 from pyspark.sql import Observation
@@ -20,6 +23,7 @@ from faultline.operators.records import (
     personal_data_columns,
     unmapped_top_levels,
 )
+from faultline.plans import checks
 from faultline.plans.load import Run, load, rebuild
 from faultline.sources.dimensions import (
     alias_dimension,
@@ -279,3 +283,31 @@ def test_stream_of_files(spark, tmp_path):
     assert rows(current_complaints(spark, target), "id", "make") == [
         (1, "OPAL"), (2, "VOLKSWAGEN"), (3, "OPAL"),
     ]
+
+
+def _planned(spark, name, mode):
+    """The plan of a query over the smallest tables, as it is before adaptive changes."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        shown = io.StringIO()
+        with contextlib.redirect_stdout(shown):
+            checks.queries()[name](spark, "/root/testdata/sf0.001").explain(mode)
+        return shown.getvalue()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+@pytest.mark.parametrize("name", ["flat_split", "complaint_rows", "complaint_rejects", "ingest_metrics", "recall_rows", "unmapped_levels"])
+def test_generated_methods_are_small_enough_to_be_compiled(spark, name):
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", _planned(spark, name, "codegen"))]
+    assert sizes and max(sizes) < 8000
+
+
+@pytest.mark.parametrize("name", ["ingest_metrics", "recall_metrics"])
+def test_load_counters_read_the_lines_once(spark, name):
+    assert _planned(spark, name, "simple").count("FileScan parquet") == 3
+
+
+def test_blank_lines_hold_white_space_of_any_kind_only(spark):
+    rows = spark.createDataFrame([("",), (" \t 　",), (" x ",), ("\u200b",), (None,)], "value string")
+    assert [r.is_blank for r in split_lines(rows, 1).lines.collect()] == [True, True, False, False, None]
