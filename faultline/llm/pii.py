@@ -2,7 +2,7 @@
 
 High-recall generators propose overlapping spans (mail-like, number-like, secret-like). Each becomes
 features of its format (lengths, digits, groups, check digit) and of its context (what stands before and after).
-Gradient-boosted trees learn on a bounded sample of the candidates which of them look like verified personal
+Gradient-boosted trees learn on all candidates which of them look like verified personal
 data: a candidate counts as such if it covers a span that passed the checks of the fixed patterns, or is the
 value of an assignment to a name of a secret. Thresholds for each generator are calibrated on documents the trees have not
 seen. Selected candidates are added; the fixed spans always stay.
@@ -49,8 +49,9 @@ FEATURES = (
     "hex", "before_word", "after_word", "assigned", "named",
 )
 CONTEXT = 24
-SAMPLE_ROWS = 20_000
 PRECISION = 0.98
+#: Steps of the scores from 0 to 1 between which a threshold may lie.
+GRID = 10_000
 TREES, DEPTH = 10, 4
 
 SPAN = "array<struct<start:bigint,end:bigint,found:string,before:string,after:string>>"
@@ -201,42 +202,51 @@ def chance(model, feature) -> Column:
     return 1 / (1 + F.exp(-2 * margin))
 
 
-def fit(found: DataFrame, sample_rows: int = SAMPLE_ROWS, precision: float = PRECISION):
-    """Trees and a threshold for each generator, or None where the candidates show only one label.
+def step_of(score: Column) -> Column:
+    """The step of the grid a score is on; rounded first, as sums of the learner may differ in their last bits."""
+    return F.floor(F.round(score, 9) * GRID)
 
-    At most `sample_rows` candidates, chosen by a hash, are learnt from; documents whose crc32(doc_id) mod 4 is 3
-    calibrate: the threshold of a generator is the least score from which on `precision` of its candidates are right.
+
+def fit(found: DataFrame, precision: float = PRECISION):
+    """Trees and a threshold (a step of the grid) for each generator, or None where the candidates show only one label.
+
+    All candidates are learnt from, equal ones as one row with their number as its weight, but for those of documents whose
+    crc32(doc_id) mod 4 is 3, which calibrate: the threshold of a generator is the least step from which on `precision` of its
+    candidates are right. Only counts per generator and step, at most half of GRID each, reach the driver.
     """
     rows = found.select("doc_id", F.explode("candidates").alias("c")).select(
-        crc_remainder(F.col("doc_id"), 4).alias("part"),
+        (crc_remainder(F.col("doc_id"), 4) == 3).alias("calibrates"),
         "c.kind",
         "c.features.*",
         (F.col("c.covers") | (F.col("c.features.named") == 1)).cast("double").alias("label"),
-        F.xxhash64("doc_id", "c.start", "c.kind").alias("place"),
+        (F.xxhash64("doc_id", "c.start", "c.kind") % 2 == 0).alias("shown"),
     )
-    sample = checkpointed(rows.orderBy("place").limit(sample_rows))
-    learnt = sample.filter("part <> 3")
+    # Half of the candidates learnt from do without the name before them, so a value is known by its format, too.
+    named = F.when(F.col("calibrates") | F.col("shown"), F.col("named")).otherwise(0.0)
+    shapes = rows.withColumn("named", named).groupBy("calibrates", "kind", *FEATURES, "label").agg(F.count("*").cast("double").alias("n"))
+    shapes = checkpointed(shapes)
+    # No more partitions than there are cores: the learner passes over few rows many times.
+    learnt = shapes.filter(~F.col("calibrates")).coalesce(found.sparkSession.sparkContext.defaultParallelism)
     if learnt.select("label").distinct().count() < 2:
         return None
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="vector")
-    # Half of the sampled candidates do without the name before them, so a value is known by its format, too.
-    blind = learnt.withColumn("named", F.when(F.col("place") % 2 == 0, F.col("named")).otherwise(0.0))
-    model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=7).fit(
-        vectors.transform(blind.coalesce(1))
-    )
-    scored = sample.filter("part = 3").select("kind", "label", chance(model, lambda i: F.col(FEATURES[i])).alias("score"))
-    scores = scored.groupBy("kind", "score").agg(F.sum("label").alias("right"), F.count("*").alias("n")).collect()
+    model = GBTClassifier(
+        featuresCol="vector", labelCol="label", weightCol="n", maxIter=TREES, maxDepth=DEPTH, seed=7
+    ).fit(vectors.transform(learnt.drop("kind", "calibrates")))
+    step = step_of(chance(model, lambda i: F.col(FEATURES[i]))).alias("step")
+    scored = shapes.filter("calibrates").select("kind", "label", "n", step).filter(F.col("step") >= GRID // 2)
+    scores = scored.groupBy("kind", "step").agg(F.sum(F.col("label") * F.col("n")).alias("right"), F.sum("n").alias("n")).collect()
     thresholds = {}
     for kind in GENERATORS:
         right = n = 0
-        for row in sorted((r for r in scores if r.kind == kind), key=lambda r: -r.score):
+        for row in sorted((r for r in scores if r.kind == kind), key=lambda r: -r.step):
             right, n = right + row.right, n + row.n
-            if right >= precision * n and row.score >= 0.5:
-                thresholds[kind] = row.score
+            if right >= precision * n:
+                thresholds[kind] = row.step
     return model, thresholds
 
 
-def find_personal_data(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, precision: float = PRECISION) -> DataFrame:
+def find_personal_data(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     """Spans of personal data in each row of `docs` (doc_id, text; other columns are not read).
 
     A null text counts as empty; rows that repeat give repeated rows; an empty table gives none. Counts are
@@ -246,17 +256,17 @@ def find_personal_data(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, precisio
     Columns: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
     """
     found = checkpointed(found_spans(docs))
-    fitted = fit(found, sample_rows, precision)
+    fitted = fit(found, precision)
     none = F.filter("candidates", lambda c: F.lit(False))
     added = none
     if fitted:
         model, thresholds = fitted
-        score = lambda c: chance(model, lambda i: c["features"][FEATURES[i]])
+        step = lambda c: step_of(chance(model, lambda i: c["features"][FEATURES[i]]))
 
         def chosen(c: Column) -> Column:
             reached = F.lit(False)
             for kind, threshold in thresholds.items():
-                reached = reached | ((c["kind"] == kind) & (score(c) >= threshold))
+                reached = reached | ((c["kind"] == kind) & (step(c) >= threshold))
             return ~c["covers"] & reached
 
         added = F.filter("candidates", chosen)

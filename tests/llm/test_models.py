@@ -8,10 +8,11 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from llm_samples import DOCS, SF, documents, frame_of, needs_data, rows_of, table, text_table
 
 import corpus_pipeline
-from faultline.llm import queries
+from faultline.llm import pii, queries
 from faultline.llm.html_text import extract_pages, main_text
 from faultline.llm.labelled import labelled_sample
 from faultline.llm.neighbours import build_index, every_twentieth, search_index
@@ -91,6 +92,23 @@ def test_personal_data_of_documents_is_native_and_finds_secrets(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_trees_of_personal_data_learn_from_all_candidates(spark, monkeypatch):
+    learnt = []
+
+    class Classifier(pii.GBTClassifier):
+        def fit(self, rows):
+            learnt.append(rows.select(F.sum("n")).first()[0])
+            return super().fit(rows)
+
+    monkeypatch.setattr(pii, "GBTClassifier", Classifier)
+    texts = [(i, f"token={i:04}abcdefgh12 call +1 555 123 {i:04} or 12.34.56.78.90 me@x.org n=abcdefghijklmn. " * 200) for i in range(50)]
+    found = pii.found_spans(documents(spark, texts)).cache()
+    model, thresholds = pii.fit(found)
+    wanted = found.filter("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 3").agg(F.sum(F.size("candidates"))).first()[0]
+    assert found.agg(F.sum(F.size("candidates"))).first()[0] > 20_000
+    assert learnt == [wanted] and thresholds
+
+
 def test_redaction(spark):
     rows = [(1, "mail me@x.org or call +1 555 123 4567."), (2, None), (3, "nothing")]
     found = {r.doc_id: r.text for r in redact(documents(spark, rows)).collect()}
