@@ -12,9 +12,10 @@ link is fresh until a round has followed it; rounds go on until hardly any link
 are joined by one task, to which the vector of each of their neighbours is sent once.
 
 A query enters at its own node, if it has one, and at the best of a bounded list of random and of the longest nodes, and opens
-the best nodes of its beam, many queries and nodes at a time, until all nodes in the beam are open. A request carries one vector
-and the candidates of one cell; the vectors of a cell are held by the task while its requests pass by in a stream. The
-number of a node begins with its cell.
+the best nodes of its beam, many queries and nodes at a time, until all nodes in the beam are open. For that the nodes lie in
+shards, as many as a task can hold at a time in each. A request carries one vector and the candidates of one shard; the vectors
+of a shard are held by the task while its requests pass by in a stream. A round sends a query to every shard at most once, so
+what it sends grows with the queries, not with queries times cells. The number of a node begins with its cell.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ SETTLED = 0.01
 #: are near to many queries and far from all nodes; of both, those at which a query enters.
 REVERSED, BEAM, OPENED, ENTRIES, LONG_ENTRIES, ENTERED = 24, 400, 100, 64, 64, 32
 NEAREST = 20
+#: Shards of the nodes while they are searched, at least, and the components a shard may hold, for which there may be more.
+SHARDS, SHARD_NUMBERS = 24, 1 << 22
 #: Bits of a cell's number within its leaf, and of a node's number within its cell.
 PART_BITS, NODE_BITS = 20, 32
 LINK_TYPE = "a long, b long, s double"
@@ -52,13 +55,14 @@ LINK_TYPE = "a long, b long, s double"
 @dataclass
 class Index:
     """nodes (node, vec_id, v: packed numbers of the type `kind`), vectors (node, embedding), members (node, vec_id: the
-    smallest of equal vectors), links (node, near); the number of cells, the length of the longest vector, and components."""
+    smallest of equal vectors), links (node, near); the number of cells, of shards, the length of the longest vector, and components."""
 
     nodes: DataFrame
     vectors: DataFrame
     members: DataFrame
     links: DataFrame
     blocks: int
+    shards: int
     kind: str
     longest: float
     size: int
@@ -68,6 +72,10 @@ def cell_of(node: Column) -> Column:
     return F.shiftright(node, NODE_BITS).cast("int")
 
 
+def shards_of(count: int, size: int) -> int:
+    return max(SHARDS, -(-count * size // SHARD_NUMBERS))
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, embedding (doubles) of the rows with a known id and a vector whose components are all finite and not all
     zero; an id counts once."""
@@ -210,7 +218,7 @@ def _inside_cell(links: int, kind: str, longest: float):
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
-    """Runs of rows with one cell and one role, the first two columns."""
+    """Runs of rows with one cell or shard and one role, the first two columns."""
     for batch in batches:
         cells, roles = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         cuts = np.flatnonzero((np.diff(cells) != 0) | (np.diff(roles) != 0)) + 1
@@ -353,7 +361,8 @@ def build_index(vectors: DataFrame, block: int = BLOCK, links: int = LINKS) -> I
     named = nodes.select("node", F.col("vec_id").alias("first"))
     members = checkpointed(ranked.select("first", "vec_id").join(named, "first").select("node", "vec_id"))
     placed = checkpointed(single.join(nodes.select("node", "vec_id"), "vec_id").select("node", "embedding"))
-    return Index(nodes.select("node", "vec_id", "v"), placed, members, reached, blocks, kind, longest, size)
+    nodes = nodes.select("node", "vec_id", "v")
+    return Index(nodes, placed, members, reached, blocks, shards_of(count, size), kind, longest, size)
 
 
 # Search.
@@ -387,36 +396,40 @@ def _entering(ids: np.ndarray, x: np.ndarray):
     return run
 
 
-def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Requests a, v, least, wanted as one row for each cell that holds some of the wanted nodes."""
-    for batch in batches:
-        for low in range(0, batch.num_rows, 500):
-            part = batch.slice(low, 500)
-            counts = np.diff(part.column(3).offsets.to_numpy())
-            wanted, asking = part.column(3).flatten().to_numpy(), np.repeat(np.arange(len(counts)), counts)
-            order = np.lexsort((wanted, asking))
-            wanted, asking = wanted[order], asking[order]
-            cell = wanted >> NODE_BITS
-            new = np.concatenate([[True], (cell[1:] != cell[:-1]) | (asking[1:] != asking[:-1])])[: len(cell)]
-            begins = np.flatnonzero(new)
-            at = pa.array(asking[begins])
-            lists = pa.ListArray.from_arrays(pa.array([*begins, len(cell)], pa.int32()), pa.array(wanted))
-            columns = [
-                pa.array(cell[begins].astype(np.int32)), pa.array(np.ones(len(begins), np.int32)),
-                *(part.column(k).take(at) for k in range(3)), lists,
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["cell", "role", "id", "v", "least", "wanted"])
+def _by_shard(shards: int):
+    """Requests a, v, least, wanted as one row for each shard that holds some of the wanted nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 500):
+                part = batch.slice(low, 500)
+                counts = np.diff(part.column(3).offsets.to_numpy())
+                wanted, asking = part.column(3).flatten().to_numpy(), np.repeat(np.arange(len(counts)), counts)
+                shard = wanted % shards
+                order = np.lexsort((wanted, shard, asking))
+                wanted, shard, asking = wanted[order], shard[order], asking[order]
+                new = np.concatenate([[True], (shard[1:] != shard[:-1]) | (asking[1:] != asking[:-1])])[: len(shard)]
+                begins = np.flatnonzero(new)
+                at = pa.array(asking[begins])
+                lists = pa.ListArray.from_arrays(pa.array([*begins, len(shard)], pa.int32()), pa.array(wanted))
+                columns = [
+                    pa.array(shard[begins].astype(np.int32)), pa.array(np.ones(len(begins), np.int32)),
+                    *(part.column(k).take(at) for k in range(3)), lists,
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "role", "id", "v", "least", "wanted"])
+
+    return run
 
 
 def _scoring(kind: str, longest: float):
-    """Inner products of requests with the vectors of their cell, which come before them in the stream: cell, role, id, v,
+    """Inner products of requests with the vectors of their shard, which come before them in the stream: shard, role, id, v,
     least, wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held, known = None, [], None
+        shard, held, known = None, [], None
         for at, role, part in _segments(batches):
-            if at != cell:
-                cell, held, known = at, [], None
+            if at != shard:
+                shard, held, known = at, [], None
             if role == 0:
                 held.append((part.column(2).to_numpy(), part.column(3).to_pylist()))
                 continue
@@ -443,13 +456,13 @@ def _scoring(kind: str, longest: float):
 
 def _ask(requests: DataFrame, index: Index) -> DataFrame:
     """a, b, s for the nodes b that a request (a, v, least, wanted) wants and whose score s is above `least`."""
-    request_type = "cell int, role int, id long, v binary, least double, wanted array<long>"
-    asked = requests.select("a", "v", F.col("least").cast("double"), "wanted").mapInArrow(_by_cell, request_type)
+    request_type = "shard int, role int, id long, v binary, least double, wanted array<long>"
+    asked = requests.select("a", "v", F.col("least").cast("double"), "wanted").mapInArrow(_by_shard(index.shards), request_type)
     held = index.nodes.select(
-        cell_of(F.col("node")).alias("cell"), F.lit(0).alias("role"), F.col("node").alias("id"), "v",
+        F.pmod("node", F.lit(index.shards)).cast("int").alias("shard"), F.lit(0).alias("role"), F.col("node").alias("id"), "v",
         F.lit(None).cast("double").alias("least"), F.lit(None).cast("array<long>").alias("wanted"),
     )
-    ordered = held.unionByName(asked).repartition("cell").sortWithinPartitions("cell", "role")
+    ordered = held.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "role")
     return ordered.mapInArrow(_scoring(index.kind, index.longest), LINK_TYPE)
 
 

@@ -15,7 +15,7 @@ import corpus_pipeline
 from faultline.llm import pii, queries
 from faultline.llm.html_text import extract_pages, main_text
 from faultline.llm.labelled import labelled_sample
-from faultline.llm.neighbours import build_index, every_twentieth, search_index
+from faultline.llm.neighbours import SHARD_NUMBERS, SHARDS, _by_shard, build_index, every_twentieth, search_index, shards_of
 from faultline.llm.pii import find_personal_data, redact
 from faultline.llm.quality import kinds_of, learn, score_quality, terms
 from faultline.llm.toxicity import Machine, drop_toxic, kernel_map, plain_words, score_toxicity, train, triples
@@ -198,6 +198,21 @@ def test_neighbours_in_rounds_of_small_cells(spark):
     assert recall(found, nearest(rows, range(0, 6000, 20))) >= 0.95
 
 
+def test_requests_of_a_query_do_not_grow_with_the_cells(spark):
+    def asked(cells):
+        wanted = [(cell << 32) + place for cell in range(cells) for place in range(1, 1025, 1024 * 24 // (cells * 20))]
+        requests = spark.createDataFrame([(a, b"", 0.0, wanted) for a in range(3)], "a long, v binary, least double, wanted array<long>")
+        kind = "shard int, role int, id long, v binary, least double, wanted array<long>"
+        rows = requests.mapInArrow(_by_shard(SHARDS), kind).collect()
+        for a in range(3):
+            assert sorted(node for r in rows if r.id == a for node in r.wanted) == sorted(wanted)
+        assert all(node % SHARDS == r.shard for r in rows for node in r.wanted)
+        return len(rows)
+
+    assert max(asked(20), asked(200)) <= 3 * SHARDS
+    assert shards_of(100, 10) == SHARDS and shards_of(10**9, 64) * SHARD_NUMBERS >= 64 * 10**9
+
+
 def test_neighbours_where_queries_have_another_size(spark):
     rows = [(k, [1.0, float(k), 2.0, 3.0]) for k in range(1, 60) if k % 20] + [(20, [1.0, 2.0, 3.0]), (40, [1.0, 2.0, 3.0])]
     assert rows_of(every_twentieth(vectors(spark, rows))) == []
