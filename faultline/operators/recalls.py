@@ -186,30 +186,27 @@ def recall_fold(
 ) -> DataFrame:
     """A vehicle's recall rows folded into campaigns, urgent ones first, then the newest.
 
-    Component names are made distinct per vehicle and campaign before they are collected.
+    Rows are shuffled once to be folded, with the distinct component names among the aggregates, and the folded
+    campaigns once to be ranked, without what only chose the newest row. The newest row has the latest date.
     """
     by = ("vehicle_key", "campaign_number")
     newest = F.max(F.struct(_newest_first(rank).alias("at"), F.struct(*text).alias("text")))
-    per_name = recalls.groupBy(*by, "component_name").agg(
+    folded = recalls.groupBy(*by).agg(
         newest.alias("newest"),
-        F.max("report_received_date").alias("report_received_date"),
+        F.array_sort(F.collect_set("component_name")).alias("component_names"),
         F.max("potentially_affected").alias("potentially_affected"),
         F.max("do_not_drive").alias("do_not_drive"),
         F.max("park_outside").alias("park_outside"),
     )
-    folded = per_name.groupBy(*by).agg(
-        F.max("newest").alias("newest"),
-        F.array_sort(F.collect_list("component_name")).alias("component_names"),
-        F.max("report_received_date").alias("report_received_date"),
-        F.max("potentially_affected").alias("potentially_affected"),
-        F.max("do_not_drive").alias("do_not_drive"),
-        F.max("park_outside").alias("park_outside"),
+    folded = folded.select(
+        *by, "newest.text.*", "component_names", F.col("newest.at.date").alias("report_received_date"),
+        "potentially_affected", "do_not_drive", "park_outside",
     )
     order = Window.partitionBy("vehicle_key").orderBy(
         F.desc("urgent"), F.desc("report_received_date"), "campaign_number"
     )
     return folded.withColumn("urgent", urgent()).select(
-        *by, F.row_number().over(order).alias("position"), "newest.text.*", "component_names",
+        *by, F.row_number().over(order).alias("position"), *text, "component_names",
         "report_received_date", "potentially_affected", "do_not_drive", "park_outside", "urgent",
         advisory_label(F.col("do_not_drive"), F.col("park_outside")).alias("advisory"),
     )

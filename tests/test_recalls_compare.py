@@ -72,6 +72,21 @@ def test_summary_sees_the_newest_row_only_while_fold_sees_all(spark):
     assert rows(ops.urgent_campaigns(seeded(spark), newest())) == [("beryl|river|2015", "C3")]
 
 
+def test_fold_shuffles_rows_once_and_campaigns_once(spark):
+    fold = ops.recall_fold(seeded(spark), newest())
+    plan = fold._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 2
+
+
+def test_fold_of_null_dates_and_names(spark):
+    made = [recall(1, "C1", day=None, affected=3), recall(2, "C1", day=days(2), group="SEATS"), recall(3, "C1", day=days(1)),
+            recall(4, "C2", day=None)]
+    made[2] = (*made[2][:7], None, *made[2][8:])
+    fold = ops.recall_fold(recalls(spark, made), newest()).orderBy("position")
+    found = [tuple(r) for r in fold.select("campaign_number", "component_group", "component_names", "report_received_date").collect()]
+    assert found == [("C1", "SEATS", ["ENGINE", "SEATS"], days(2)), ("C2", "ENGINE", ["ENGINE"], None)]
+
+
 def test_vehicle_recalls_newest_first(spark):
     found = ops.vehicle_recalls(seeded(spark), ["id"], [F.col("id")]).filter("vehicle_key = 'opal|river|2015'")
     assert [r.id for r in found.collect()] == [1, 4, 2, 5]
