@@ -34,8 +34,12 @@ def vehicle_entries(measures: DataFrame) -> DataFrame:
 
 def vehicle_catalog(measures: DataFrame, recalls: DataFrame) -> DataFrame:
     """Catalogue with the number of recall campaigns, 0 without any; other recalls are left out."""
-    entries = vehicle_entries(measures)
-    counted = entries.join(recall_counts(recalls), "vehicle_key", "left")
+    return counted_catalog(measures, recall_counts(recalls))
+
+
+def counted_catalog(measures: DataFrame, counts: DataFrame) -> DataFrame:
+    """The catalogue from `recall_counts` that are already there."""
+    counted = vehicle_entries(measures).join(counts, "vehicle_key", "left")
     return counted.withColumn("recall_count", F.coalesce("recall_count", F.lit(0).cast("bigint")))
 
 

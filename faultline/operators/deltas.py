@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.measures import DIMENSIONS, MEASURES, report_cells, summed
-from faultline.operators.catalog import vehicle_catalog
+from faultline.operators.catalog import counted_catalog, recall_counts
 from faultline.operators.profile import component_rows, flat_profiles, vehicle_profiles
 from faultline.operators.taxonomy import component_taxonomy
 
@@ -48,11 +48,14 @@ def refresh_profiles(profiles: DataFrame, cells: DataFrame, deltas: DataFrame) -
 
 def refresh_catalog(vehicles: DataFrame, cells: DataFrame, deltas: DataFrame, recalls: DataFrame) -> DataFrame:
     """The catalogue after the differences. Recalls are read for touched vehicles only."""
+    theirs = recalls.join(touched(deltas), "vehicle_key", "left_semi")
+    return refresh_counted_catalog(vehicles, cells, deltas, recall_counts(theirs))
+
+
+def refresh_counted_catalog(vehicles: DataFrame, cells: DataFrame, deltas: DataFrame, counts: DataFrame) -> DataFrame:
+    """The catalogue after the differences, from `recall_counts` that are already there and hold the touched vehicles."""
     keys = touched(deltas)
-    fresh = vehicle_catalog(
-        cells.join(keys, "vehicle_key", "left_semi"), recalls.join(keys, "vehicle_key", "left_semi")
-    )
-    return _refreshed(vehicles, fresh, keys)
+    return _refreshed(vehicles, counted_catalog(cells.join(keys, "vehicle_key", "left_semi"), counts), keys)
 
 
 def touched_groups(cells: DataFrame, deltas: DataFrame) -> DataFrame:

@@ -68,6 +68,12 @@ def test_reports_are_hashed_not_sorted_before_the_shuffle(spark):
         assert "HashAggregate" in aggregates[-1], name
 
 
+@needs_data
+def test_refreshed_catalog_counts_recalls_once(spark):
+    plan = entry.queries()["refreshed_catalog"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan
+
+
 @needs_data
 def test_scans_read_only_the_needed_columns(spark):
     plan = entry.queries()["profile_timeline"](spark, SF)._jdf.queryExecution().executedPlan().toString()
