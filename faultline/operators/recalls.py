@@ -64,18 +64,23 @@ def campaign_detail(
     )
 
 
+def covered_vehicles(recalls: DataFrame) -> DataFrame:
+    """campaign_number, vehicle_key, make, model, model_year: every vehicle of every campaign, once."""
+    named = recalls.select("campaign_number", "vehicle_key", "make", "model", "model_year").distinct()
+    return named.groupBy("campaign_number", "vehicle_key").agg(
+        F.min("make").alias("make"),
+        F.min("model").alias("model"),
+        F.min("model_year").alias("model_year"),
+    )
+
+
 def campaign_vehicles(recalls: DataFrame, limit: int | None = None) -> DataFrame:
     """The vehicles of every campaign by make, model and year (newest first), the first `limit` if given.
 
     A vehicle's place is the number of vehicles of earlier models, counted over sums, and its place within its
     model, so a campaign that covers very many vehicles is not ranked in one task.
     """
-    named = recalls.select("campaign_number", "vehicle_key", "make", "model", "model_year").distinct()
-    distinct = named.groupBy("campaign_number", "vehicle_key").agg(
-        F.min("make").alias("make"),
-        F.min("model").alias("model"),
-        F.min("model_year").alias("model_year"),
-    )
+    distinct = covered_vehicles(recalls)
     by_model = ("campaign_number", "make", "model")
     earlier = Window.partitionBy("campaign_number").orderBy("make", "model").rowsBetween(Window.unboundedPreceding, -1)
     models = distinct.groupBy(*by_model).agg(F.count("*").alias("vehicles")).select(
@@ -243,10 +248,13 @@ def recall_coverage(listed: DataFrame, model_rows: int | None = None) -> DataFra
 
 
 def nested_coverage(coverage: DataFrame) -> DataFrame:
-    """Coverage as makes > models > years, one row per campaign."""
+    """Coverage as makes > models > years (newest first, unknown last), one row per campaign.
+
+    Takes `covered_vehicles` or `recall_coverage`: years of a model need no places to be in order.
+    """
     years = coverage.groupBy("campaign_number", "make", "model").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("year_position", "model_year"))),
+            F.sort_array(F.collect_list(F.struct("model_year")), asc=False),
             lambda e: e.model_year,
         ).alias("years")
     )

@@ -187,7 +187,7 @@ FROM ({_CAMPAIGN_VEHICLES}) GROUP BY campaign_number
 )
 def recall_coverage_nested(spark, sf_dir):
     """Coverage nested as makes > models > years, counted from its arrays."""
-    coverage = ops.recall_coverage(ops.campaign_vehicles(views.recalls(spark, sf_dir)))
+    coverage = ops.covered_vehicles(views.recalls(spark, sf_dir))
     zero = F.lit(0).cast("bigint")
     return ops.nested_coverage(coverage).select(
         "campaign_number",

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -49,6 +50,14 @@ def test_campaign_vehicles_and_coverage(spark):
     assert [(m.model, m.years) for m in c1.makes[0].models] == [("LAKE", [2017]), ("RIVER", [2015])]
 
 
+def test_nested_coverage_needs_no_places(spark):
+    made = [recall(k, "C1", year=y) for k, y in enumerate([2015, None, 2017, 2016, 2017])] + [recall(9, "C1", model="LAKE")]
+    nested = ops.nested_coverage(ops.covered_vehicles(recalls(spark, made)))
+    assert not re.search("Window|Join", nested._jdf.queryExecution().executedPlan().toString())
+    found = [(m.model, m.years) for m in nested.first().makes[0].models]
+    assert found == [("LAKE", [2015]), ("RIVER", [2017, 2016, 2015, None])]
+
+
 def test_advisories_count_flagged_rows_only(spark):
     found = ops.latest_advisories(seeded(spark), limit=5).collect()
     assert [(r.campaign_number, r.vehicle_count, r.report_received_date) for r in found] == [
