@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.sources.shared import checkpointed, shared_folder  # noqa: F401
+from faultline.sources.shared import checkpointed, forget, release, shared_folder  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -17,13 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of what earlier rounds of a loop no longer need: Spark removes shuffle files, broadcasts and checkpoints
-    of frames that its driver has forgotten, which otherwise happens whenever the driver happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def stored(frame: DataFrame) -> tuple[DataFrame, str]:
     """The rows, written as a compressed table in the shared folder, and where; for what is large and read often."""
     spark = frame.sparkSession
@@ -32,12 +24,6 @@ def stored(frame: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(frame.schema).parquet(folder), folder
 
 
-def forget(spark: SparkSession, folder: str) -> None:
-    """Delete a table written by `stored`."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_of(column: str = "text") -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -7,7 +7,9 @@ odd spellings that follow from its values. The oracles start from the same field
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.fixed_values import (
@@ -41,7 +43,7 @@ from faultline.plans.checks.views import (
     sql_strip,
 )
 from faultline.sources.flat import read_recall_lines, split_lines
-from faultline.sources.shared import shared_folder
+from faultline.sources.shared import checkpointed, forget, release, shared_folder
 
 
 def _day(column: str) -> str:
@@ -105,6 +107,8 @@ RECALL_TEXT = {
 BLANK, SHORT = "l_quantity = 49", "l_quantity = 48"
 #: Order keys whose line items make one file of lines.
 PER_FILE = 1000
+#: Lines whose files are written in one round, and rounds at most: each reads the line items again.
+LINES_PER_ROUND, MOST_ROUNDS = 800_000, 8
 #: Cells of a line that one step computes. The JVM leaves methods above 8 000 bytes uncompiled, and Spark generates one
 #: for each step.
 PER_STEP = 8
@@ -282,16 +286,28 @@ FROM (
     (),
 )
 def malformed_line_numbers(spark, sf_dir):
-    """Recall lines of a range of orders make a file; its malformed lines come back with their numbers."""
+    """Recall lines of a range of orders make a file; its malformed lines come back with their numbers. Files are written,
+    numbered and deleted in rounds, so that a share of all lines, and of what is shuffled for them, is on disk at a time."""
+    count = views.table(spark, sf_dir, "lineitem").count()
+    rounds = max(1, min(MOST_ROUNDS, -(-count // LINES_PER_ROUND)))
+    lines = _with_line(spark, sf_dir, RECALL_TEXT, RECALL_POSITIONS, RECALL_FIELD_COUNT)
+    lines = lines.withColumn("part", F.expr(f"l_orderkey DIV {PER_FILE}"))
+    found = [_numbered_in_files(lines.filter(F.pmod("part", F.lit(rounds)) == turn)) for turn in range(rounds)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _numbered_in_files(lines):
+    """part, line, expected, actual of the malformed lines, each part written to a file and read again."""
+    spark = lines.sparkSession
     folder = f"{shared_folder(spark)}/recall-lines-{uuid.uuid4().hex}"
-    lines = _with_line(spark, sf_dir, RECALL_TEXT, RECALL_POSITIONS, RECALL_FIELD_COUNT).withColumn(
-        "part", F.expr(f"l_orderkey DIV {PER_FILE}")
-    )
     ordered = lines.repartition("part").sortWithinPartitions("part", "l_orderkey", "l_linenumber", "l_quantity")
     ordered.select("part", "value").write.partitionBy("part").text(folder)
-    found = read_recall_lines(spark, folder).numbered_malformed()
     part = F.regexp_extract("file", "/part=([0-9]+)/", 1).cast("long")
-    return found.select(part.alias("part"), "line", "expected", "actual")
+    found = read_recall_lines(spark, folder).numbered_malformed().select(part.alias("part"), "line", "expected", "actual")
+    found = checkpointed(found)
+    forget(spark, folder)
+    release(spark)
+    return found
 
 
 @check(f"SELECT * EXCLUDE (raw_id, top_level) FROM complaint_records WHERE {_COMPLAINT_OK}", COMPLAINTS)

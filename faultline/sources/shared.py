@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,3 +24,16 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the shared folder, so that no later loss of an executor matters."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of what earlier rounds of a loop no longer need: Spark removes shuffle files, broadcasts and checkpoints
+    of frames that its driver has forgotten, which otherwise happens whenever the driver happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def forget(spark: SparkSession, folder: str) -> None:
+    """Delete a folder written by an operator."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

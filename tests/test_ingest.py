@@ -3,6 +3,7 @@
 import contextlib
 import datetime as dt
 import io
+import os
 import re
 
 import pytest
@@ -24,6 +25,7 @@ from faultline.operators.records import (
     unmapped_top_levels,
 )
 from faultline.plans import checks
+from faultline.plans.checks import ingest
 from faultline.plans.load import Run, load, rebuild
 from faultline.sources.dimensions import (
     alias_dimension,
@@ -31,7 +33,7 @@ from faultline.sources.dimensions import (
     group_dimension,
     read_mapping,
 )
-from faultline.sources.flat import MalformedLine, read_complaint_lines, read_flat, split_lines
+from faultline.sources.flat import MalformedLine, read_complaint_lines, read_flat, read_recall_lines, split_lines
 from faultline.streaming.incremental import current_complaints, stream_complaints
 from samples import rows
 
@@ -102,6 +104,44 @@ def test_lines_are_numbered_over_splits(spark, tmp_path):
     assert len(expected) > 1000 and expected == sorted(expected)
 
 
+def test_files_of_lines_are_on_disk_a_round_at_a_time(spark, tmp_path, monkeypatch):
+    """Every line is written to its file and numbered, yet no round leaves its files to the next."""
+    day = dt.datetime(2001, 2, 3)
+    items = [
+        (order, order % 3, order % 2, number, float(48 if (order // 300 + number) % 4 == 0 else 49 if number == 2 else 5), 0.0, 0.0, "R", "F", day)
+        for order in range(0, 9000, 300)
+        for number in (1, 2, 3)
+    ]
+    given = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double"
+    given += ", l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame(items, given).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = [(order, "O", 10.0, day, "1-URGENT") for order in range(0, 9000, 300)]
+    given = "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+    spark.createDataFrame(orders, given).write.parquet(f"{tmp_path}/orders.parquet")
+    parts = [(key, f"part {key}", "Brand#1", "LARGE", key) for key in range(3)]
+    given = "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
+    spark.createDataFrame(parts, given).write.parquet(f"{tmp_path}/part.parquet")
+    kept, read = [], []
+
+    def reading(spark, folder):
+        lines = read_recall_lines(spark, folder)
+        kept.append([name for name in os.listdir(os.path.dirname(folder)) if name.startswith("recall-lines-")])
+        read.append(lines.lines.count())
+        return lines
+
+    monkeypatch.setattr(ingest, "read_recall_lines", reading)
+    monkeypatch.setattr(ingest, "shared_folder", lambda spark: str(tmp_path))
+    monkeypatch.setattr(ingest, "LINES_PER_ROUND", 30, raising=False)
+    found = ingest.malformed_line_numbers(spark, str(tmp_path))
+    places = {}
+    for order, _, _, number, quantity, *_ in items:
+        places.setdefault(order // 1000, []).append(quantity)
+    expected = [(part, at, 29, 28) for part, own in places.items() for at, q in enumerate(own, 1) if q == 48]
+    assert sorted(map(tuple, found.collect())) == sorted(expected) and len(expected) > 10
+    assert len(read) == 3 and sum(read) == len(items) and max(read) < len(items)
+    assert all(len(names) == 1 for names in kept) and not [n for n in os.listdir(tmp_path) if n.startswith("recall-lines-")]
+
+
 def test_lines_of_no_file_have_no_number(spark):
     lines = split_lines(spark.createDataFrame([("a",)], "value string"), 2)
     assert lines.malformed.count() == 1
