@@ -8,14 +8,17 @@ that one very long vector does not make the others alike.
 Trees of random projections, fitted on a bounded sample, put near nodes into one cell, and the graph begins with the exact
 neighbours inside the cells of each tree. Then rounds join the graph with itself: each node is a pivot whose links, followed
 in both directions, are compared with one another, and what is nearer to an end than its worst link becomes a candidate. A
-link is fresh until a round has followed it; rounds go on until hardly any link is, however many that takes. Pivots of one cell
-are joined by one task, to which the vector of each of their neighbours is sent once.
+link is fresh until a round has followed it; rounds go on until hardly any link is, however many that takes.
+
+Nodes are numbered in the order of their cells, and a run of numbers is a part of the graph: its links, its vectors and what is
+sent to it are packed arrays in few rows, of a bounded size each, that one task takes at a time. In a round a part sends its links
+to the parts that own their ends, asks for the vectors of its pivots' members once each, and sends what it found to the owners.
 
 A query enters at its own node, if it has one, and at the best of a bounded list of random and of the longest nodes, and opens
 the best nodes of its beam, many queries and nodes at a time, until all nodes in the beam are open. For that the nodes lie in
 shards, as many as a task can hold at a time in each. A request carries one vector and the candidates of one shard; the vectors
 of a shard are held by the task while its requests pass by in a stream. A round sends a query to every shard at most once, so
-what it sends grows with the queries, not with queries times cells. The number of a node begins with its cell.
+what it sends grows with the queries, not with queries times cells.
 """
 
 from __future__ import annotations
@@ -47,9 +50,15 @@ REVERSED, BEAM, OPENED, ENTRIES, LONG_ENTRIES, ENTERED = 24, 400, 100, 64, 64, 3
 NEAREST = 20
 #: Shards of the nodes while they are searched, at least, and the components a shard may hold, for which there may be more.
 SHARDS, SHARD_NUMBERS = 24, 1 << 22
-#: Bits of a cell's number within its leaf, and of a node's number within its cell.
-PART_BITS, NODE_BITS = 20, 32
+#: Nodes of a part of the graph and numbers of its vectors, at most, and parts, unless they held hardly any node.
+PART_NODES, PART_NUMBERS, PARTS, FEW_NODES = 4096, 1 << 19, 24, 256
+#: Bits of a cell's number within its leaf, and of a node's number beside that of its place in a part.
+PART_BITS, NODE_BITS = 20, 44
 LINK_TYPE = "a long, b long, s double"
+#: What is sent to a part: packed arrays, and a count. Roles: its links; its vectors; links to its nodes; its pivots and their
+#: members; numbers of nodes whose vectors a part wants; those vectors; candidates for its nodes.
+MESSAGE = "part int, role int, a binary, b binary, s binary, f binary, n long"
+STATE, VECTORS, ENDS, PIVOTS, WANTED, SENT, FOUND = range(7)
 
 
 @dataclass
@@ -68,8 +77,10 @@ class Index:
     size: int
 
 
-def cell_of(node: Column) -> Column:
-    return F.shiftright(node, NODE_BITS).cast("int")
+def part_nodes_of(count: int, size: int) -> int:
+    """Nodes of a part of the graph."""
+    most = max(1, min(PART_NODES, PART_NUMBERS // max(1, size)))
+    return min(most, max(-(-count // PARTS), FEW_NODES))
 
 
 def shards_of(count: int, size: int) -> int:
@@ -105,8 +116,9 @@ def _packed(x: np.ndarray) -> pa.Array:
     return pa.array([row.tobytes() for row in x], pa.binary())
 
 
-def _unpacked(values, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(values), kind).reshape(len(values), -1).astype(np.float64)
+def _unpacked(values, kind: str, count: int | None = None) -> np.ndarray:
+    """As many vectors as there are values, or `count`."""
+    return np.frombuffer(b"".join(values), kind).reshape(len(values) if count is None else count, -1).astype(np.float64)
 
 
 def _lifted(x: np.ndarray, longest: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,7 +178,7 @@ def _in_leaves(kind: str, size: int, trees, depth: int):
 
 def _in_cells(single: DataFrame, count: int, kind: str, size: int, block: int) -> tuple[DataFrame, int]:
     """node, vec_id, v, and the cell in each tree; and how many cells the first tree has. Where a leaf holds more than a
-    cell may, ids split it."""
+    cell may, ids split it. Nodes are numbered from 0 in the order of the first tree's cells."""
     most = max(1, min(SAMPLED, SAMPLED_NUMBERS // max(1, size)))
     share = min(1.0, most / max(1, count))
     in_sample = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20))
@@ -188,22 +200,109 @@ def _in_cells(single: DataFrame, count: int, kind: str, size: int, block: int) -
         cells = cells.join(F.broadcast(parts), leaf == F.col("leaf"))
         cells = cells.withColumn(f"cell{tree}", F.shiftleft(leaf, PART_BITS) + part).drop("leaf", "parts")
         blocks = blocks or int(parts.agg(F.sum("parts")).first()[0] or 0)
-    place = F.row_number().over(Window.partitionBy("cell0").orderBy("vec_id")).cast("long")
-    node = F.shiftleft(F.col("cell0").cast("long"), NODE_BITS) + place
+    cells = checkpointed(cells.drop("leaves"))
+    # One row per cell.
+    sizes = sorted(cells.groupBy("cell0").count().collect())
+    begins = np.cumsum([0, *(row["count"] for row in sizes)]).tolist()
+    begins = [(row["cell0"], begin) for row, begin in zip(sizes, begins, strict=False)]
+    begins = single.sparkSession.createDataFrame(begins, "cell0 int, begin long")
+    place = F.row_number().over(Window.partitionBy("cell0").orderBy("vec_id"))
+    node = F.col("begin") + place - 1
+    cells = cells.join(F.broadcast(begins), "cell0")
     return checkpointed(cells.select(node.alias("node"), "vec_id", "v", *[f"cell{t}" for t in range(BEGINNINGS)])), blocks
 
 
 # The graph.
 
 
-def _inside_cell(links: int, kind: str, longest: float):
-    """Exact neighbours of the nodes of a cell in their cell."""
+def _rows_of(messages: list[tuple]) -> pa.RecordBatch:
+    """Messages (part, role, a, b, s, f, n) whose arrays may be None, or packed before."""
+    columns = [list(column) for column in zip(*messages, strict=True)]
+    packed = [pa.array([x.tobytes() if isinstance(x, np.ndarray) else x for x in column], pa.binary()) for column in columns[2:6]]
+    arrays = [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *packed, pa.array(columns[6], pa.int64())]
+    return pa.RecordBatch.from_arrays(arrays, names=["part", "role", "a", "b", "s", "f", "n"])
+
+
+def _dealt(role: int, owner: np.ndarray, *columns: np.ndarray | None) -> list[tuple]:
+    """Messages with the rows of a, b, s, f for each owner."""
+    order = np.argsort(owner, kind="stable")
+    owner = owner[order]
+    begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])[: len(owner)])
+    columns = [None if column is None else column[order] for column in columns]
+    return [
+        (int(owner[low]), role, *(None if column is None else column[low:high] for column in columns), int(high - low))
+        for low, high in zip(begins, [*begins[1:], len(owner)], strict=True)
+    ]
+
+
+def _by_part(step, *arguments):
+    """`step` for the messages of each part, which come one after the other; a dictionary of role to messages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, {}
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if row[0] != part:
+                    if held and (sent := step(part, held, *arguments)):
+                        yield _rows_of(sent)
+                    part, held = row[0], {}
+                held.setdefault(row[1], []).append(row[2:])
+        if held and (sent := step(part, held, *arguments)):
+            yield _rows_of(sent)
+
+    return run
+
+
+def _to_parts(messages: DataFrame, parts: int) -> DataFrame:
+    return messages.repartition(parts, "part").sortWithinPartitions("part")
+
+
+def _all_of(messages: list[tuple], column: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(m[column] for m in messages), kind)
+
+
+def _links_of(held: dict, links: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """near (-1 where there is none), nearness, fresh of the nodes of a part, the best links first."""
+    near, _, s, fresh, _ = held[STATE][0]
+    return (np.frombuffer(near, "<i8").reshape(-1, links), np.frombuffer(s, "<f8").reshape(-1, links),
+            np.frombuffer(fresh, "?").reshape(-1, links))
+
+
+def _state(part: int, near: np.ndarray, s: np.ndarray, fresh: np.ndarray) -> tuple:
+    return part, STATE, near, None, s, fresh, int(fresh.sum())
+
+
+def _packing(links: int):
+    """Vectors and no links yet of the nodes (part, v) of each part, which come in their order."""
+
+    def messages(part: int, vectors: list[bytes]) -> pa.RecordBatch:
+        there = (len(vectors), links)
+        state = _state(part, np.full(there, -1, "<i8"), np.full(there, -np.inf), np.zeros(there, "?"))
+        return _rows_of([(part, VECTORS, None, None, np.frombuffer(b"".join(vectors), "u1"), None, len(vectors)), state])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, vectors = None, []
+        for batch in batches:
+            for at, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if at != part:
+                    if vectors:
+                        yield messages(part, vectors)
+                    part, vectors = at, []
+                vectors.append(v)
+        if vectors:
+            yield messages(part, vectors)
+
+    return run
+
+
+def _inside_cell(links: int, kind: str, longest: float, per: int):
+    """Exact neighbours of the nodes of a cell in their cell, as messages to the owners of the nodes."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         x, square, rest = _lifted(_unpacked(block["v"].tolist(), kind), longest)
         ids = block["node"].to_numpy()
         k = min(links, len(ids) - 1)
-        parts = []
+        found = []
         for start in range(0, len(ids), 512) if k > 0 else ():
             part = slice(start, start + 512)
             scores = _nearness(x[part] @ x.T, square[part, None], square, rest[part, None], rest)
@@ -211,12 +310,147 @@ def _inside_cell(links: int, kind: str, longest: float):
             scores[own, own + start] = -np.inf
             best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
             near = np.take_along_axis(scores, best, 1).ravel()
-            parts.append(pd.DataFrame({"a": np.repeat(ids[part], k), "b": ids[best].ravel(), "s": near}))
-        return pd.concat(parts) if parts else pd.DataFrame({"a": [], "b": [], "s": []}).astype({"a": "int64", "b": "int64"})
+            found.append((np.repeat(ids[part], k), ids[best].ravel(), near))
+        if not found:
+            return _rows_of([(0, FOUND, None, None, None, None, 0)]).slice(0, 0).to_pandas()
+        a, b, s = map(np.concatenate, zip(*found, strict=True))
+        return _rows_of(_dealt(FOUND, a // per, a, b, s, None)).to_pandas()
 
     return run
 
 
+def _chance(one: np.ndarray, two: np.ndarray, turn: int) -> np.ndarray:
+    """A number from 0 to 1 for each pair, another one each turn."""
+    x = one.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ two.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= np.uint64((turn * 0x165667B19E3779F9) % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+
+
+def _first(group: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are the n with the smallest keys of their group, and the rank of each from 0."""
+    order = np.lexsort((key, group))
+    group = group[order]
+    begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])[: len(group)])
+    rank = np.arange(len(group)) - np.repeat(begins, np.diff([*begins, len(group)]))
+    return order[rank < n], rank[rank < n]
+
+
+def _followed(near: np.ndarray, fresh: np.ndarray, base: int, turn: int) -> np.ndarray:
+    """Which links a round follows: fresh ones first, in another order each round, so that none waits for ever."""
+    if near.shape[1] <= FORWARD:
+        return near >= 0
+    own = np.arange(base, base + len(near))[:, None]
+    key = np.where(near >= 0, _chance(np.broadcast_to(own, near.shape), near, turn) + ~fresh, 3.0)
+    chosen = np.zeros(near.shape, dtype=bool)
+    np.put_along_axis(chosen, np.argsort(key, axis=1)[:, :FORWARD], True, 1)
+    return chosen & (near >= 0)
+
+
+def _send_ends(part: int, held: dict, per: int, links: int, turn: int | None) -> list[tuple]:
+    """The links of a part to the owners of their ends: for each end as many as it may follow back, fresh ones first, or in no
+    turn the best."""
+    near, s, fresh = _links_of(held, links)
+    row, column = np.nonzero(near >= 0)
+    a, b, f, s = row + part * per, near[row, column], fresh[row, column], s[row, column]
+    key = -s if turn is None else _chance(b, a, turn) + ~f
+    best, _ = _first(b, key, REVERSED if turn is None else BACKWARD)
+    return [(part, STATE, *held[STATE][0]), *_dealt(ENDS, b[best] // per, a[best], b[best], s[best], f[best])]
+
+
+def _turned(held: dict, base: int, key_of, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the links to a part's nodes the first n of each node: its place, the rank, the other end, fresh."""
+    ends = held.get(ENDS, [])
+    a, b, s, f = _all_of(ends, 0, "<i8"), _all_of(ends, 1, "<i8"), _all_of(ends, 2, "<f8"), _all_of(ends, 3, "?")
+    best, rank = _first(b, key_of(a, b, s, f), n)
+    return b[best] - base, rank, a[best], f[best]
+
+
+def _ask(part: int, held: dict, per: int, links: int, turn: int) -> list[tuple]:
+    """The pivots of a part and their members, and what they want of each part."""
+    near, _, fresh = _links_of(held, links)
+    base = part * per
+    members = np.full((len(near), links + BACKWARD), -1, "<i8")
+    new = np.zeros(members.shape, dtype=bool)
+    followed = _followed(near, fresh, base, turn)
+    members[:, :links], new[:, :links] = np.where(followed, near, -1), fresh & followed
+    place, rank, one, f = _turned(held, base, lambda a, b, s, f: _chance(b, a, turn) + ~f, BACKWARD)
+    members[place, links + rank], new[place, links + rank] = one, f
+    asking = new.any(axis=1)
+    members, new = members[asking], new[asking]
+    wanted = np.unique(members[members >= 0])
+    pivots = (part, PIVOTS, members, None, None, new, len(members))
+    return [pivots, *_dealt(WANTED, wanted // per, wanted, np.full(len(wanted), part), None, None)]
+
+
+def _answer(part: int, held: dict, per: int, links: int) -> list[tuple]:
+    """Vectors, and the nearness a candidate must exceed, to those who want them; pivots stay where they are."""
+    sent = [(part, PIVOTS, *pivots) for pivots in held.get(PIVOTS, [])]
+    near, s, _ = _links_of(held, links)
+    least = np.where(near[:, -1] >= 0, s[:, -1], -np.inf)
+    x = np.frombuffer(held[VECTORS][0][2], "u1").reshape(len(near), -1)
+    for ids, to, *_ in held.get(WANTED, []):
+        ids, to = np.frombuffer(ids, "<i8"), np.frombuffer(to, "<i8")
+        sent.append((int(to[0]), SENT, ids, None, x[ids - part * per], least[ids - part * per], len(ids)))
+    return sent
+
+
+def _join(part: int, held: dict, per: int, links: int, kind: str, longest: float) -> list[tuple]:
+    """Candidates of a part's pivots. Members of a pivot are compared if one of the two is fresh; what is above `least` of an
+    end is a candidate for it."""
+    answers = held.get(SENT, [])
+    if not answers:
+        return []
+    ids, least = _all_of(answers, 0, "<i8"), _all_of(answers, 3, "<f8")
+    order = np.argsort(ids)
+    ids, least = ids[order], least[order]
+    x, square, rest = _lifted(_unpacked([m[2] for m in answers], kind, len(order))[order], longest)
+    members, _, _, fresh, count = held[PIVOTS][0]
+    members, fresh = np.frombuffer(members, "<i8").reshape(count, -1), np.frombuffer(fresh, "?").reshape(count, -1)
+    found, size = [], 0
+    for low in range(0, count, 256):
+        some, new = members[low : low + 256], fresh[low : low + 256]
+        there, place = some >= 0, np.searchsorted(ids, some)
+        v = x[place]
+        near = _nearness(
+            v @ v.transpose(0, 2, 1), square[place][:, :, None], square[place][:, None, :],
+            rest[place][:, :, None], rest[place][:, None, :],
+        )
+        good = there[:, :, None] & there[:, None, :] & (new[:, :, None] | new[:, None, :])
+        good &= (some[:, :, None] != some[:, None, :]) & (near > least[place][:, :, None])
+        pivot, one, two = np.nonzero(good)
+        found.append((some[pivot, one], some[pivot, two], near[good]))
+        size += len(pivot)
+        if size > MOST_HELD:
+            found = [_best_of(*map(np.concatenate, zip(*found, strict=True)), links)]
+            size = len(found[0][0])
+    a, b, s = _best_of(*map(np.concatenate, zip(*found, strict=True)), links) if found else (np.zeros(0, "<i8"),) * 3
+    return _dealt(FOUND, a // per, a, b, s, None)
+
+
+def _merge(part: int, held: dict, per: int, links: int, turn: int) -> list[tuple]:
+    """The best links of a part's nodes: those they have, of which the followed ones are no longer fresh, and what was found."""
+    near, s, fresh = _links_of(held, links)
+    found, base = held.get(FOUND, []), part * per
+    row, column = np.nonzero(near >= 0)
+    left = fresh & ~_followed(near, fresh, base, turn)
+    a = np.concatenate([row, _all_of(found, 0, "<i8") - base])
+    b = np.concatenate([near[row, column], _all_of(found, 1, "<i8")])
+    s = np.concatenate([s[row, column], _all_of(found, 2, "<f8")])
+    f = np.concatenate([left[row, column], np.ones(len(a) - len(row), dtype=bool)])
+    # A link the node has comes before the same one found again.
+    order = np.argsort((a << NODE_BITS) + b, kind="stable")
+    a, b, s, f = a[order], b[order], s[order], f[order]
+    once = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+    a, b, s, f = a[once], b[once], s[once], f[once]
+    best, rank = _first(a, -s, links)
+    merged = np.full(near.shape, -1, "<i8"), np.full(near.shape, -np.inf), np.zeros(near.shape, dtype=bool)
+    for packed, column in zip(merged, (b, s, f), strict=True):
+        packed[a[best], rank] = column[best]
+    return [_state(part, *merged)]
+
+
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
     """Runs of rows with one cell or shard and one role, the first two columns."""
     for batch in batches:
@@ -227,105 +461,56 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.
                 yield cells[start], roles[start], batch.slice(start, end - start)
 
 
-def _best_of(a: np.ndarray, b: np.ndarray, s: np.ndarray, n: int) -> pa.RecordBatch:
+def _best_of(a: np.ndarray, b: np.ndarray, s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The n best different links of each node."""
     order = np.lexsort((b, a))
     a, b, s = a[order], b[order], s[order]
-    first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
-    a, b, s = a[first], b[first], s[first]
-    order = np.lexsort((-s, a))
-    a, b, s = a[order], b[order], s[order]
-    begins = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])[: len(a)])
-    rank = np.arange(len(a)) - np.repeat(begins, np.diff([*begins, len(a)]))
-    good = rank < n
-    return pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good]), pa.array(s[good])], names=["a", "b", "s"])
-
-
-def _joining(kind: str, longest: float, links: int):
-    """Candidates of a cell's pivots. Rows: cell, role, id, v, least, members, fresh; the vectors of all members (role 0) come
-    before the pivots (role 1). Members of a pivot are compared if one of the two is fresh; what is above `least` of
-    an end is a candidate for it."""
-
-    def compared(part: pa.RecordBatch, ids, x, square, rest, least):
-        counts = np.diff(part.column(5).offsets.to_numpy())
-        members, fresh = part.column(5).flatten().to_numpy(), part.column(6).flatten().to_numpy(zero_copy_only=False)
-        there = np.arange(max(1, counts.max(initial=0))) < counts[:, None]
-        place, new = np.zeros(there.shape, dtype=np.int64), np.zeros(there.shape, dtype=bool)
-        place[there], new[there] = np.searchsorted(ids, members), fresh
-        v = x[place]
-        near = _nearness(
-            v @ v.transpose(0, 2, 1), square[place][:, :, None], square[place][:, None, :],
-            rest[place][:, :, None], rest[place][:, None, :],
-        )
-        good = there[:, :, None] & there[:, None, :] & (new[:, :, None] | new[:, None, :])
-        good &= (place[:, :, None] != place[:, None, :]) & (near > least[place][:, :, None])
-        pivot, one, two = np.nonzero(good)
-        return ids[place[pivot, one]], ids[place[pivot, two]], near[good]
+    once = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+    a, b, s = a[once], b[once], s[once]
+    best, _ = _first(a, -s, n)
+    return a[best], b[best], s[best]
+
+
+def _round(state: DataFrame, vectors: DataFrame, turn: int, parts: int, per: int, links: int, kind: str, longest: float) -> DataFrame:
+    """The links of all parts after one round."""
+    sent = state.mapInArrow(_by_part(_send_ends, per, links, turn), MESSAGE)
+    asked = _to_parts(sent, parts).mapInArrow(_by_part(_ask, per, links, turn), MESSAGE)
+    asked = _to_parts(asked.unionByName(vectors).unionByName(state), parts)
+    answered = _to_parts(asked.mapInArrow(_by_part(_answer, per, links), MESSAGE), parts)
+    found = answered.mapInArrow(_by_part(_join, per, links, kind, longest), MESSAGE)
+    merged = _to_parts(found.unionByName(state), parts).mapInArrow(_by_part(_merge, per, links, turn), MESSAGE)
+    return checkpointed(merged)
+
+
+def _reached(per: int, links: int):
+    """node, near: the links of each node in both directions, of the reversed ones the best."""
+
+    def lists(part: int, held: dict) -> pa.RecordBatch:
+        near, _, _ = _links_of(held, links)
+        row, column = np.nonzero(near >= 0)
+        place, _, one, _ = _turned(held, part * per, lambda a, b, s, f: -s, REVERSED)
+        a, b = np.concatenate([row, place]), np.concatenate([near[row, column], one])
+        key = np.unique((a << NODE_BITS) + b)
+        a, b = key >> NODE_BITS, key & ((1 << NODE_BITS) - 1)
+        there, begins = np.unique(a, return_index=True)
+        lists = pa.ListArray.from_arrays(pa.array([*begins, len(b)], pa.int32()), pa.array(b))
+        return pa.RecordBatch.from_arrays([pa.array(there + part * per), lists], names=["node", "near"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held, known, found, size = None, [], None, [], 0
-        for at, role, part in _segments(batches):
-            if at != cell:
-                cell, held, known = at, [], None
-            if role == 0:
-                held.append((part.column(2).to_numpy(), part.column(3).to_pylist(), part.column(4).to_numpy()))
-                continue
-            if known is None:
-                ids, least = np.concatenate([h[0] for h in held]), np.concatenate([h[2] for h in held])
-                order = np.argsort(ids)
-                vectors = _lifted(_unpacked([v for h in held for v in h[1]], kind), longest)
-                known, held = (ids[order], *(c[order] for c in vectors), least[order]), []
-            for low in range(0, part.num_rows, 256):
-                found.append(compared(part.slice(low, 256), *known))
-                size += len(found[-1][0])
-                if size > MOST_HELD:
-                    best = _best_of(*map(np.concatenate, zip(*found, strict=True)), links)
-                    found, size = [tuple(column.to_numpy() for column in best.columns)], best.num_rows
-                    if size > MOST_HELD // 2:
-                        yield best
-                        found, size = [], 0
-        if found:
-            yield _best_of(*map(np.concatenate, zip(*found, strict=True)), links)
+        part, held = None, {}
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if row[0] != part:
+                    if held:
+                        yield lists(part, held)
+                    part, held = row[0], {}
+                held.setdefault(row[1], []).append(row[2:])
+        if held:
+            yield lists(part, held)
 
     return run
 
 
-def _best(links: DataFrame, n: int, by: str = "a") -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("s"), "b" if by == "a" else "a"))
-    return links.withColumn("rank", rank).filter(F.col("rank") <= n)
-
-
-def _round(graph: DataFrame, nodes: DataFrame, turn_no: int, links: int, joining) -> DataFrame:
-    """The graph after one round."""
-    # Fresh links first, in another order each round, so that none waits for ever.
-    turn = Window.partitionBy("a").orderBy(F.desc("fresh"), F.xxhash64("a", "b", F.lit(turn_no)), "b")
-    turned = graph.withColumn("turn", F.row_number().over(turn))
-    near = turned.filter(F.col("turn") <= FORWARD).select(F.col("a").alias("id"), F.struct("b", "fresh").alias("m"))
-    back = Window.partitionBy("b").orderBy(F.desc("fresh"), F.xxhash64("b", "a", F.lit(turn_no)), "a")
-    reverse = graph.withColumn("turn", F.row_number().over(back)).filter(F.col("turn") <= BACKWARD)
-    reverse = reverse.select(F.col("b").alias("id"), F.struct(F.col("a").alias("b"), "fresh").alias("m"))
-    # At most FORWARD + BACKWARD members of a pivot.
-    pivots = near.union(reverse).groupBy("id").agg(F.collect_list("m").alias("m")).filter(F.exists("m", lambda m: m["fresh"]))
-    pivots = checkpointed(pivots.select(cell_of(F.col("id")).alias("cell"), "id", F.col("m.b").alias("members"), F.col("m.fresh").alias("fresh")))
-    worst = graph.groupBy(F.col("a").alias("node")).agg(F.min("s").alias("worst"), F.count("*").alias("n"))
-    least = F.when(F.col("n") >= links, F.col("worst")).otherwise(float("-inf")).alias("least")
-    ends = nodes.select("node", "v").join(worst, "node").select(F.col("node").alias("id"), "v", least)
-    held = pivots.select("cell", F.explode("members").alias("id")).distinct().join(ends, "id").select(
-        "cell", F.lit(0).alias("role"), "id", "v", "least",
-        F.lit(None).cast("array<long>").alias("members"), F.lit(None).cast("array<boolean>").alias("fresh"),
-    )
-    asked = pivots.select(
-        "cell", F.lit(1).alias("role"), "id", F.lit(None).cast("binary").alias("v"),
-        F.lit(None).cast("double").alias("least"), "members", "fresh",
-    )
-    ordered = held.unionByName(asked).repartition("cell").sortWithinPartitions("cell", "role")
-    found = ordered.mapInArrow(joining, LINK_TYPE).withColumn("fresh", F.lit(True))
-    left = F.col("fresh") & (F.col("turn") > FORWARD)
-    merged = turned.select("a", "b", "s", left.alias("fresh")).unionByName(found)
-    merged = merged.groupBy("a", "b").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
-    return checkpointed(_best(merged, links).select("a", "b", "s", "fresh"))
-
-
 def _length() -> Column:
     return F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x * x))
 
@@ -343,21 +528,24 @@ def build_index(vectors: DataFrame, block: int = BLOCK, links: int = LINKS) -> I
     count, longest = single.agg(F.count("*"), F.max(_length())).first()
     longest, kind = float(longest or 1.0), _kind_of(vectors)
     nodes, blocks = _in_cells(single, count, kind, size, block)
-    begun = None
+    per = part_nodes_of(count, size)
+    parts = max(1, -(-count // per))
+    own = nodes.select((F.col("node") / per).cast("int").alias("part"), "node", "v").repartition(parts, "part")
+    own = own.sortWithinPartitions("part", "node").select("part", "v")
+    packed = checkpointed(own.mapInArrow(_packing(links), MESSAGE))
+    vectors_of, state = packed.filter(F.col("role") == VECTORS), packed.filter(F.col("role") == STATE)
+    begun = state
     for tree in range(BEGINNINGS):
         found = nodes.select("node", "v", f"cell{tree}").groupBy(f"cell{tree}")
-        found = found.applyInPandas(_inside_cell(links, kind, longest), LINK_TYPE)
-        begun = found if begun is None else begun.unionByName(found)
-    begun = begun.groupBy("a", "b").agg(F.max("s").alias("s"))
-    graph = checkpointed(_best(begun, links).select("a", "b", "s", F.lit(True).alias("fresh")))
-    for turn_no in count_from(1):
-        graph = _round(graph, nodes, turn_no, links, _joining(kind, longest, links))
+        begun = begun.unionByName(found.applyInPandas(_inside_cell(links, kind, longest, per), MESSAGE))
+    state = checkpointed(_to_parts(begun, parts).mapInArrow(_by_part(_merge, per, links, 0), MESSAGE))
+    for turn in count_from(1):
+        state = _round(state, vectors_of, turn, parts, per, links, kind, longest)
         release(vectors.sparkSession)
-        if graph.filter("fresh").count() <= SETTLED * count * links:
+        if (state.agg(F.sum("n")).first()[0] or 0) <= SETTLED * count * links:
             break
-    outward = graph.select(F.col("a").alias("node"), F.col("b").alias("near"))
-    inward = _best(graph, REVERSED, by="b").select(F.col("b").alias("node"), F.col("a").alias("near"))
-    reached = checkpointed(outward.union(inward).groupBy("node").agg(F.collect_set("near").alias("near")))
+    ends = _to_parts(state.mapInArrow(_by_part(_send_ends, per, links, None), MESSAGE), parts)
+    reached = checkpointed(ends.mapInArrow(_reached(per, links), "node long, near array<long>"))
     named = nodes.select("node", F.col("vec_id").alias("first"))
     members = checkpointed(ranked.select("first", "vec_id").join(named, "first").select("node", "vec_id"))
     placed = checkpointed(single.join(nodes.select("node", "vec_id"), "vec_id").select("node", "embedding"))
@@ -454,7 +642,7 @@ def _scoring(kind: str, longest: float):
     return run
 
 
-def _ask(requests: DataFrame, index: Index) -> DataFrame:
+def _scored(requests: DataFrame, index: Index) -> DataFrame:
     """a, b, s for the nodes b that a request (a, v, least, wanted) wants and whose score s is above `least`."""
     request_type = "shard int, role int, id long, v binary, least double, wanted array<long>"
     asked = requests.select("a", "v", F.col("least").cast("double"), "wanted").mapInArrow(_by_shard(index.shards), request_type)
@@ -501,7 +689,7 @@ def search_index(index: Index, queries: DataFrame, nearest: int = NEAREST, beam:
             F.collect_list("b").alias("seen"), F.when(F.count("*") > beam, F.min("s")).otherwise(float("-inf")).alias("least")
         )
         requests = near.join(seen, "a").join(packed, "a").select("a", "v", "least", F.array_except("near", "seen").alias("wanted"))
-        found = _ask(requests, index).withColumn("closed", F.lit(False))
+        found = _scored(requests, index).withColumn("closed", F.lit(False))
         state = state.select("a", "b", "s", (F.col("closed") | F.col("take")).alias("closed")).unionByName(found)
     # Scores so far were of shares of lengths: some more than are needed are taken and scored as they are given.
     last = state.filter(F.col("rank") <= nearest + 11).select("a", "b")
