@@ -51,10 +51,11 @@ NEAREST = 20
 #: Shards of the nodes while they are searched, at least, and the components a shard may hold, for which there may be more.
 SHARDS, SHARD_NUMBERS = 24, 1 << 22
 #: Nodes of a part of the graph and numbers of its vectors, at most, and parts, unless they held hardly any node.
-PART_NODES, PART_NUMBERS, PARTS, FEW_NODES = 4096, 1 << 19, 24, 256
+PART_NODES, PART_NUMBERS, PARTS, FEW_NODES = 8192, 1 << 19, 24, 256
 #: Bits of a cell's number within its leaf, and of a node's number beside that of its place in a part.
 PART_BITS, NODE_BITS = 20, 44
-LINK_TYPE = "a long, b long, s double"
+#: A query's vector and beam: its nodes, their scores and which are open, and how many are not; or what was found for it.
+BEAM_TYPE = "a long, role int, v binary, b binary, s binary, f binary, n long"
 #: What is sent to a part: packed arrays, and a count. Roles: its links; its vectors; links to its nodes; its pivots and their
 #: members; numbers of nodes whose vectors a part wants; those vectors; candidates for its nodes.
 MESSAGE = "part int, role int, a binary, b binary, s binary, f binary, n long"
@@ -116,9 +117,8 @@ def _packed(x: np.ndarray) -> pa.Array:
     return pa.array([row.tobytes() for row in x], pa.binary())
 
 
-def _unpacked(values, kind: str, count: int | None = None) -> np.ndarray:
-    """As many vectors as there are values, or `count`."""
-    return np.frombuffer(b"".join(values), kind).reshape(len(values) if count is None else count, -1).astype(np.float64)
+def _unpacked(values, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(values), kind).reshape(len(values), -1).astype(np.float64)
 
 
 def _lifted(x: np.ndarray, longest: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,7 +231,7 @@ def _dealt(role: int, owner: np.ndarray, *columns: np.ndarray | None) -> list[tu
     columns = [None if column is None else column[order] for column in columns]
     return [
         (int(owner[low]), role, *(None if column is None else column[low:high] for column in columns), int(high - low))
-        for low, high in zip(begins, [*begins[1:], len(owner)], strict=True)
+        for low, high in zip(begins, [*begins[1:], len(owner)], strict=False)
     ]
 
 
@@ -254,7 +254,7 @@ def _by_part(step, *arguments):
 
 
 def _to_parts(messages: DataFrame, parts: int) -> DataFrame:
-    return messages.repartition(parts, "part").sortWithinPartitions("part")
+    return messages.repartitionById(parts, "part").sortWithinPartitions("part")
 
 
 def _all_of(messages: list[tuple], column: int, kind: str) -> np.ndarray:
@@ -328,9 +328,19 @@ def _chance(one: np.ndarray, two: np.ndarray, turn: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
 
 
-def _first(group: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows are the n with the smallest keys of their group, and the rank of each from 0."""
-    order = np.lexsort((key, group))
+def _ordered(group: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The order by group, whole numbers from 0, and by key within 2 ** -30 of its size. One sort of joint numbers is several
+    times as fast as a sort by two columns."""
+    bits = np.uint64(max(1, int(group.max(initial=0)).bit_length()))
+    x = np.ascontiguousarray(key, dtype="<f8").view(np.uint64)
+    x = np.where(x >> np.uint64(63), ~x, x | np.uint64(1 << 63))
+    return np.argsort(group.astype(np.uint64) << (np.uint64(64) - bits) | x >> bits)
+
+
+def _first(group: np.ndarray, key: np.ndarray, n: int, tie: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are the n with the smallest keys of their group, and the rank of each from 0. Groups are numbered densely,
+    or `tie` decides between equal keys."""
+    order = _ordered(group, key) if tie is None else np.lexsort((tie, key, group))
     group = group[order]
     begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])[: len(group)])
     rank = np.arange(len(group)) - np.repeat(begins, np.diff([*begins, len(group)]))
@@ -355,7 +365,7 @@ def _send_ends(part: int, held: dict, per: int, links: int, turn: int | None) ->
     row, column = np.nonzero(near >= 0)
     a, b, f, s = row + part * per, near[row, column], fresh[row, column], s[row, column]
     key = -s if turn is None else _chance(b, a, turn) + ~f
-    best, _ = _first(b, key, REVERSED if turn is None else BACKWARD)
+    best, _ = _first(b, key, REVERSED if turn is None else BACKWARD, a)
     return [(part, STATE, *held[STATE][0]), *_dealt(ENDS, b[best] // per, a[best], b[best], s[best], f[best])]
 
 
@@ -363,7 +373,7 @@ def _turned(held: dict, base: int, key_of, n: int) -> tuple[np.ndarray, np.ndarr
     """Of the links to a part's nodes the first n of each node: its place, the rank, the other end, fresh."""
     ends = held.get(ENDS, [])
     a, b, s, f = _all_of(ends, 0, "<i8"), _all_of(ends, 1, "<i8"), _all_of(ends, 2, "<f8"), _all_of(ends, 3, "?")
-    best, rank = _first(b, key_of(a, b, s, f), n)
+    best, rank = _first(b, key_of(a, b, s, f), n, a)
     return b[best] - base, rank, a[best], f[best]
 
 
@@ -405,28 +415,33 @@ def _join(part: int, held: dict, per: int, links: int, kind: str, longest: float
     ids, least = _all_of(answers, 0, "<i8"), _all_of(answers, 3, "<f8")
     order = np.argsort(ids)
     ids, least = ids[order], least[order]
-    x, square, rest = _lifted(_unpacked([m[2] for m in answers], kind, len(order))[order], longest)
+    # In their own type until they are compared, to hold many.
+    x = _all_of(answers, 2, kind).reshape(len(ids), -1)[order]
+    lifted = [_lifted(x[low : low + 4096].astype(np.float64), longest)[1:] for low in range(0, len(ids), 4096)]
+    square, rest = (np.concatenate(column) for column in zip(*lifted, strict=True))
     members, _, _, fresh, count = held[PIVOTS][0]
     members, fresh = np.frombuffer(members, "<i8").reshape(count, -1), np.frombuffer(fresh, "?").reshape(count, -1)
     found, size = [], 0
     for low in range(0, count, 256):
         some, new = members[low : low + 256], fresh[low : low + 256]
         there, place = some >= 0, np.searchsorted(ids, some)
-        v = x[place]
+        v = x[place].astype(np.float64) / longest
         near = _nearness(
             v @ v.transpose(0, 2, 1), square[place][:, :, None], square[place][:, None, :],
             rest[place][:, :, None], rest[place][:, None, :],
         )
         good = there[:, :, None] & there[:, None, :] & (new[:, :, None] | new[:, None, :])
         good &= (some[:, :, None] != some[:, None, :]) & (near > least[place][:, :, None])
-        pivot, one, two = np.nonzero(good)
-        found.append((some[pivot, one], some[pivot, two], near[good]))
-        size += len(pivot)
+        at = np.flatnonzero(good)
+        row, two = at // members.shape[1], at % members.shape[1]
+        one, two = place.ravel()[row], place.ravel()[row - row % members.shape[1] + two]
+        found.append((one, two, near.ravel()[at]))
+        size += len(at)
         if size > MOST_HELD:
             found = [_best_of(*map(np.concatenate, zip(*found, strict=True)), links)]
             size = len(found[0][0])
-    a, b, s = _best_of(*map(np.concatenate, zip(*found, strict=True)), links) if found else (np.zeros(0, "<i8"),) * 3
-    return _dealt(FOUND, a // per, a, b, s, None)
+    a, b, s = _best_of(*map(np.concatenate, zip(*found, strict=True)), links)
+    return _dealt(FOUND, ids[a] // per, ids[a], ids[b], s, None)
 
 
 def _merge(part: int, held: dict, per: int, links: int, turn: int) -> list[tuple]:
@@ -440,7 +455,7 @@ def _merge(part: int, held: dict, per: int, links: int, turn: int) -> list[tuple
     s = np.concatenate([s[row, column], _all_of(found, 2, "<f8")])
     f = np.concatenate([left[row, column], np.ones(len(a) - len(row), dtype=bool)])
     # A link the node has comes before the same one found again.
-    order = np.argsort((a << NODE_BITS) + b, kind="stable")
+    order = np.argsort(((a << NODE_BITS) + b << 1) + (np.arange(len(a)) >= len(row)))
     a, b, s, f = a[order], b[order], s[order], f[order]
     once = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
     a, b, s, f = a[once], b[once], s[once], f[once]
@@ -462,8 +477,8 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.
 
 
 def _best_of(a: np.ndarray, b: np.ndarray, s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The n best different links of each node."""
-    order = np.lexsort((b, a))
+    """The n best different links of each node, by the places of nodes."""
+    order = np.argsort((a << 32) + b)
     a, b, s = a[order], b[order], s[order]
     once = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
     a, b, s = a[once], b[once], s[once]
@@ -482,6 +497,11 @@ def _round(state: DataFrame, vectors: DataFrame, turn: int, parts: int, per: int
     return checkpointed(merged)
 
 
+def _lists(values: np.ndarray, q: np.ndarray, count: int) -> pa.ListArray:
+    """The values of each q below `count`, which come in its order."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(q, np.arange(count + 1)).astype(np.int32)), pa.array(values))
+
+
 def _reached(per: int, links: int):
     """node, near: the links of each node in both directions, of the reversed ones the best."""
 
@@ -492,9 +512,8 @@ def _reached(per: int, links: int):
         a, b = np.concatenate([row, place]), np.concatenate([near[row, column], one])
         key = np.unique((a << NODE_BITS) + b)
         a, b = key >> NODE_BITS, key & ((1 << NODE_BITS) - 1)
-        there, begins = np.unique(a, return_index=True)
-        lists = pa.ListArray.from_arrays(pa.array([*begins, len(b)], pa.int32()), pa.array(b))
-        return pa.RecordBatch.from_arrays([pa.array(there + part * per), lists], names=["node", "near"])
+        lists = _lists(b, a, len(near))
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(near)) + part * per), lists], names=["node", "near"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = None, {}
@@ -530,7 +549,7 @@ def build_index(vectors: DataFrame, block: int = BLOCK, links: int = LINKS) -> I
     nodes, blocks = _in_cells(single, count, kind, size, block)
     per = part_nodes_of(count, size)
     parts = max(1, -(-count // per))
-    own = nodes.select((F.col("node") / per).cast("int").alias("part"), "node", "v").repartition(parts, "part")
+    own = nodes.select((F.col("node") / per).cast("int").alias("part"), "node", "v").repartitionById(parts, "part")
     own = own.sortWithinPartitions("part", "node").select("part", "v")
     packed = checkpointed(own.mapInArrow(_packing(links), MESSAGE))
     vectors_of, state = packed.filter(F.col("role") == VECTORS), packed.filter(F.col("role") == STATE)
@@ -569,7 +588,7 @@ def _query_packed(size: int):
 
 
 def _entering(ids: np.ndarray, x: np.ndarray):
-    """The best of the common entries for each query."""
+    """The best of the common entries for each query, as found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = min(ENTERED, len(ids))
@@ -578,8 +597,133 @@ def _entering(ids: np.ndarray, x: np.ndarray):
                 part = batch.slice(low, 4096)
                 scores = _unpacked(part.column(1).to_pylist(), "<f8") @ x.T
                 best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                a, near = np.repeat(part.column(0).to_numpy(), k), np.take_along_axis(scores, best, 1).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(ids[best].ravel()), pa.array(near)], names=["a", "b", "s"])
+                yield _found(part.column(0).to_numpy(), ids[best], np.take_along_axis(scores, best, 1))
+
+    return run
+
+
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows a, b, s as found."""
+    for batch in batches:
+        if batch.num_rows:
+            yield _found(*(column.to_numpy() for column in batch.columns))
+
+
+def _found(a: np.ndarray, b, s) -> pa.RecordBatch:
+    """Nodes found for each query a: an array, or one, of each."""
+    packed = [pa.array([row.tobytes() for row in column], pa.binary()) for column in (b, s)]
+    none = pa.nulls(len(a), pa.binary())
+    columns = [pa.array(a), pa.array(np.ones(len(a), np.int32)), none, *packed, none, pa.array(np.zeros(len(a), np.int64))]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "role", "v", "b", "s", "f", "n"])
+
+
+def _by_query(step):
+    """`step` for some queries at a time: their states (role 0) and, for each, what was found for it (role 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states, found = [], []
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if row[1] == 1:
+                    found.append((len(states) - 1, row))
+                    continue
+                if len(states) == 200:
+                    yield step(states, found)
+                    states, found = [], []
+                states.append(row)
+        if states:
+            yield step(states, found)
+
+    return run
+
+
+def _beams(states: list[tuple]) -> tuple[np.ndarray, ...]:
+    """query, node, score, closed of the nodes in the beams."""
+    b, s, closed = (np.frombuffer(b"".join(row[k] for row in states), kind) for k, kind in ((3, "<i8"), (4, "<f8"), (5, "?")))
+    return np.repeat(np.arange(len(states)), [len(row[5]) for row in states]), b, s, closed
+
+
+def _of_found(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query, node, score of what was found."""
+    b, s = (np.frombuffer(b"".join(row[k] or b"" for _, row in found), kind) for k, kind in ((3, "<i8"), (4, "<f8")))
+    return np.repeat(np.array([q for q, _ in found], dtype=np.int64), [len(row[3]) // 8 for _, row in found]), b, s
+
+
+def _taken(q: np.ndarray, b: np.ndarray, s: np.ndarray, closed: np.ndarray, opened: int) -> np.ndarray:
+    """The places of the nodes that are opened next."""
+    free = np.flatnonzero(~closed)
+    best, _ = _first(q[free], -s[free], opened)
+    return free[best]
+
+
+def _opening(opened: int):
+    """Requests for the links of the nodes a query opens next."""
+
+    def step(states: list[tuple], found: list[tuple]) -> pa.RecordBatch:
+        q, b, s, closed = _beams(states)
+        taken = _taken(q, b, s, closed, opened)
+        wanted = _lists(b[taken], q[taken], len(states))
+        columns = [pa.array([row[0] for row in states], pa.int64()), pa.array([b""] * len(states), pa.binary())]
+        columns += [pa.array(np.zeros(len(states))), wanted]
+        batch = pa.RecordBatch.from_arrays(columns, names=["a", "v", "least", "wanted"])
+        return batch.filter(pa.array(np.diff(wanted.offsets.to_numpy()) > 0))
+
+    return _by_query(step)
+
+
+def _asking(beam: int):
+    """Requests for the scores of the nodes found that are not in the beam."""
+
+    def step(states: list[tuple], found: list[tuple]) -> pa.RecordBatch:
+        q, b, s, _ = _beams(states)
+        near_q, near, _ = _of_found(found)
+        new = np.setdiff1d((near_q << NODE_BITS) + near, (q << NODE_BITS) + b)
+        held, least = np.bincount(q, minlength=len(states)), np.full(len(states), np.inf)
+        np.minimum.at(least, q, s)
+        wanted = _lists(new & ((1 << NODE_BITS) - 1), new >> NODE_BITS, len(states))
+        columns = [pa.array([row[0] for row in states], pa.int64()), pa.array([row[2] for row in states], pa.binary())]
+        columns += [pa.array(np.where(held > beam, least, -np.inf)), wanted]
+        batch = pa.RecordBatch.from_arrays(columns, names=["a", "v", "least", "wanted"])
+        return batch.filter(pa.array(np.diff(wanted.offsets.to_numpy()) > 0))
+
+    return _by_query(step)
+
+
+def _keeping(beam: int, opened: int):
+    """The beams after what they opened is closed and what was found has come in; n: how many nodes are not open yet."""
+
+    def step(states: list[tuple], found: list[tuple]) -> pa.RecordBatch:
+        q, b, s, closed = _beams(states)
+        closed = closed.copy()
+        closed[_taken(q, b, s, closed, opened)] = True
+        new_q, new, scores = _of_found(found)
+        q, b, s = np.concatenate([q, new_q]), np.concatenate([b, new]), np.concatenate([s, scores])
+        closed = np.concatenate([closed, np.zeros(len(new), dtype=bool)])
+        order = np.argsort((q << NODE_BITS) + b)
+        q, b, s, closed = q[order], b[order], s[order], closed[order]
+        once = np.concatenate([[True], (q[1:] != q[:-1]) | (b[1:] != b[:-1])])[: len(q)]
+        q, b, s, closed = q[once], b[once], s[once], closed[once]
+        best, _ = _first(q, -s, beam + 1)
+        q, b, s, closed = q[best], b[best], s[best], closed[best]
+        cuts = np.searchsorted(q, np.arange(len(states) + 1))
+        rows = list(zip(cuts, cuts[1:], strict=False))
+        packed = [pa.array([column[low:high].tobytes() for low, high in rows], pa.binary()) for column in (b, s, closed)]
+        columns = [pa.array([row[0] for row in states], pa.int64()), pa.array(np.zeros(len(states), np.int32))]
+        columns += [pa.array([row[2] for row in states], pa.binary()), *packed, pa.array([int((~closed[low:high]).sum()) for low, high in rows], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "role", "v", "b", "s", "f", "n"])
+
+    return _by_query(step)
+
+
+def _best_nodes(n: int):
+    """a, b for the n best nodes of each beam."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = [np.frombuffer(b, "<i8")[:n] for b in batch.column(3).to_pylist()]
+            if nodes:
+                a = np.repeat(batch.column(0).to_numpy(), [len(b) for b in nodes])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.concatenate(nodes))], names=["a", "b"])
 
     return run
 
@@ -609,6 +753,33 @@ def _by_shard(shards: int):
     return run
 
 
+def _following(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes that requests reach from the nodes they want, whose links come before them in the stream."""
+    shard, held, known = None, [], None
+    for at, role, part in _segments(batches):
+        if at != shard:
+            shard, held, known = at, [], None
+        counts, lists = np.diff(part.column(5).offsets.to_numpy()), part.column(5).flatten().to_numpy()
+        if role == 0:
+            held.append((part.column(2).to_numpy(), counts, lists))
+            continue
+        if known is None:
+            ids, sizes, near = map(np.concatenate, zip(*held, strict=True))
+            order = np.argsort(ids)
+            known, held = (ids[order], sizes[order], (np.cumsum(sizes) - sizes)[order], near), []
+        ids, sizes, begins, near = known
+        place = np.searchsorted(ids, lists)
+        size = sizes[place]
+        # The places of all links of the wanted nodes, one list after the other.
+        at_link = np.arange(size.sum()) + np.repeat(begins[place] - (np.cumsum(size) - size), size)
+        asking = np.repeat(np.repeat(np.arange(len(counts)), counts), size)
+        key = np.unique((asking << NODE_BITS) + near[at_link])
+        cuts = np.searchsorted(key >> NODE_BITS, np.arange(len(counts) + 1))
+        reached = key & ((1 << NODE_BITS) - 1)
+        rows = [reached[low:high] for low, high in zip(cuts, cuts[1:], strict=False)]
+        yield _found(part.column(2).to_numpy(), rows, [np.zeros(0)] * len(rows))
+
+
 def _scoring(kind: str, longest: float):
     """Inner products of requests with the vectors of their shard, which come before them in the stream: shard, role, id, v,
     least, wanted."""
@@ -636,22 +807,29 @@ def _scoring(kind: str, longest: float):
                     own = slice(k, k + 20_000)
                     s[own] = np.einsum("ij,ij->i", q[asking[own]], x[np.searchsorted(ids, wanted[own])])
                 good = s > some.column(4).to_numpy()[asking]
-                asked = some.column(2).to_numpy()[asking[good]]
-                yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(wanted[good]), pa.array(s[good])], names=["a", "b", "s"])
+                cuts = np.searchsorted(asking[good], np.arange(len(counts) + 1))
+                rows = list(zip(cuts, cuts[1:], strict=False))
+                b, s = wanted[good], s[good]
+                yield _found(some.column(2).to_numpy(), [b[low:high] for low, high in rows], [s[low:high] for low, high in rows])
 
     return run
 
 
-def _scored(requests: DataFrame, index: Index) -> DataFrame:
-    """a, b, s for the nodes b that a request (a, v, least, wanted) wants and whose score s is above `least`."""
+def _ask_shards(requests: DataFrame, index: Index, v: str, wanted: str, answering) -> DataFrame:
+    """What `answering` finds for requests (a, v, least, wanted), from the columns v or wanted of the nodes."""
     request_type = "shard int, role int, id long, v binary, least double, wanted array<long>"
-    asked = requests.select("a", "v", F.col("least").cast("double"), "wanted").mapInArrow(_by_shard(index.shards), request_type)
-    held = index.nodes.select(
-        F.pmod("node", F.lit(index.shards)).cast("int").alias("shard"), F.lit(0).alias("role"), F.col("node").alias("id"), "v",
-        F.lit(None).cast("double").alias("least"), F.lit(None).cast("array<long>").alias("wanted"),
+    asked = requests.mapInArrow(_by_shard(index.shards), request_type)
+    rows = index.nodes if wanted == "null" else index.links
+    held = rows.select(
+        F.pmod("node", F.lit(index.shards)).cast("int").alias("shard"), F.lit(0).alias("role"), F.col("node").alias("id"),
+        F.expr(v).cast("binary").alias("v"), F.lit(None).cast("double").alias("least"), F.expr(wanted).cast("array<long>").alias("wanted"),
     )
-    ordered = held.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "role")
-    return ordered.mapInArrow(_scoring(index.kind, index.longest), LINK_TYPE)
+    ordered = held.unionByName(asked).repartitionById(index.shards, "shard").sortWithinPartitions("shard", "role")
+    return ordered.mapInArrow(answering, BEAM_TYPE)
+
+
+def _with_found(state: DataFrame, found: DataFrame) -> DataFrame:
+    return state.unionByName(found).repartition("a").sortWithinPartitions("a", "role")
 
 
 def search_index(index: Index, queries: DataFrame, nearest: int = NEAREST, beam: int = BEAM, opened: int = OPENED) -> DataFrame:
@@ -670,29 +848,23 @@ def search_index(index: Index, queries: DataFrame, nearest: int = NEAREST, beam:
     entries = {row.node: row.embedding for row in by_chance.union(by_length).collect()}
     points = np.array(list(entries.values()), dtype=np.float64).reshape(len(entries), max(1, index.size)) / index.longest
     packed = checkpointed(distinct.mapInArrow(_query_packed(index.size), "a long, v binary"))
-    entered = packed.mapInArrow(_entering(np.array(list(entries), dtype=np.int64), points), LINK_TYPE)
+    entered = packed.mapInArrow(_entering(np.array(list(entries), dtype=np.int64), points), BEAM_TYPE)
     own = distinct.join(index.vectors, "embedding").select("a", F.col("node").alias("b"), (_length() / index.longest).alias("s"))
-    best = Window.partitionBy("a").orderBy(F.desc("s"), "b")
-    open_best = Window.partitionBy("a", "closed").orderBy(F.desc("s"), "b")
-    state = own.union(entered).groupBy("a", "b").agg(F.max("s").alias("s")).withColumn("closed", F.lit(False))
+    none = F.lit(b"")
+    state = packed.select("a", F.lit(0).alias("role"), "v", none.alias("b"), none.alias("s"), none.alias("f"), F.lit(0).cast("long").alias("n"))
+    found = entered.unionByName(own.mapInArrow(_own, BEAM_TYPE))
+    requests = "a long, v binary, least double, wanted array<long>"
     while True:
-        kept = state.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= beam + 1)
-        kept = kept.withColumn("take", ~F.col("closed") & (F.row_number().over(open_best) <= opened))
-        state = checkpointed(kept.select("a", "b", "s", "closed", "take", "rank"))
+        state = checkpointed(_with_found(state, found).mapInArrow(_keeping(beam, opened), BEAM_TYPE))
         release(queries.sparkSession)
-        if state.filter("take").isEmpty():
+        if not state.agg(F.sum("n")).first()[0]:
             break
-        front = state.filter("take").select("a", F.col("b").alias("node")).join(index.links, "node")
-        # At most `opened` lists of LINKS + REVERSED nodes, and one of the nodes in the beam.
-        near = front.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-        seen = state.groupBy("a").agg(
-            F.collect_list("b").alias("seen"), F.when(F.count("*") > beam, F.min("s")).otherwise(float("-inf")).alias("least")
-        )
-        requests = near.join(seen, "a").join(packed, "a").select("a", "v", "least", F.array_except("near", "seen").alias("wanted"))
-        found = _scored(requests, index).withColumn("closed", F.lit(False))
-        state = state.select("a", "b", "s", (F.col("closed") | F.col("take")).alias("closed")).unionByName(found)
+        # At most `opened` nodes, and their LINKS + REVERSED links each.
+        front = _ask_shards(state.mapInArrow(_opening(opened), requests), index, "null", "near", _following)
+        wanted = _with_found(state, front).mapInArrow(_asking(beam), requests)
+        found = _ask_shards(wanted, index, "v", "null", _scoring(index.kind, index.longest))
     # Scores so far were of shares of lengths: some more than are needed are taken and scored as they are given.
-    last = state.filter(F.col("rank") <= nearest + 11).select("a", "b")
+    last = state.mapInArrow(_best_nodes(nearest + 11), "a long, b long")
     exact = (
         last.join(distinct.select("a", F.col("embedding").alias("qv")), "a")
         .join(index.vectors.select(F.col("node").alias("b"), F.col("embedding").alias("xv")), "b")

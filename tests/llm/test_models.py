@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from llm_samples import DOCS, SF, documents, frame_of, needs_data, rows_of, table, text_table
 
 import corpus_pipeline
-from faultline.llm import pii, queries
+from faultline.llm import neighbours, pii, queries
+from faultline.llm.common import checkpointed
 from faultline.llm.html_text import extract_pages, main_text
 from faultline.llm.labelled import labelled_sample
 from faultline.llm.neighbours import SHARD_NUMBERS, SHARDS, _by_shard, build_index, every_twentieth, search_index, shards_of
@@ -213,6 +214,33 @@ def test_requests_of_a_query_do_not_grow_with_the_cells(spark):
     assert shards_of(100, 10) == SHARDS and shards_of(10**9, 64) * SHARD_NUMBERS >= 64 * 10**9
 
 
+def test_links_and_beams_are_kept_as_arrays(spark, monkeypatch):
+    """What a round deals out is a few packed rows for each part and query, not one for each link or candidate."""
+    x = np.random.default_rng(3).normal(size=(1200, 12)).astype(np.float32).astype(np.float64)
+    frame = vectors(spark, [(k, v.tolist()) for k, v in enumerate(x)])
+    rows = []
+
+    def kept(frame):
+        done = checkpointed(frame)
+        rows.append(done.count())
+        return done
+
+    monkeypatch.setattr(neighbours, "checkpointed", kept)
+    index = build_index(frame, block=100)
+    parts = -(-1200 // neighbours.part_nodes_of(1200, 12))
+    assert rows.count(parts) >= 3 and max(rows) <= 1200
+    rows.clear()
+    found = frame_of(search_index(index, frame.filter("vec_id % 20 = 0"), beam=150))
+    assert max(rows) <= 60 * 31 and recall(found, nearest(list(enumerate(x.tolist())), range(0, 1200, 20))) >= 0.9
+
+
+def test_neighbours_of_equal_vectors_and_of_one(spark):
+    assert rows_of(every_twentieth(vectors(spark, [(0, [1.0, 2.0])]))) == []
+    rows = [(k, [1.0, 2.0]) for k in range(30)]
+    found = frame_of(every_twentieth(vectors(spark, rows)))
+    assert found["vec_id"].tolist() == nearest(rows, [0])[0] + nearest(rows, [20])[20]
+
+
 def test_neighbours_where_queries_have_another_size(spark):
     rows = [(k, [1.0, float(k), 2.0, 3.0]) for k in range(1, 60) if k % 20] + [(20, [1.0, 2.0, 3.0]), (40, [1.0, 2.0, 3.0])]
     assert rows_of(every_twentieth(vectors(spark, rows))) == []
